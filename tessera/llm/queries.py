@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, mixing, quality_rules, secrets, sharding, simhash
+from tessera.llm import debruijn, decontaminate, mixing, quality_rules, secrets, sharding, simhash, substring_sa
 from tessera.llm.shared import table
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_sa.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing_report(table(spark, sf_dir, "documents"))
 
@@ -31,12 +35,16 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(docs).drop("text", "lang")
 
 
+def op9_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debruijn.remove_later(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mixing, op3_secret_scan, op4_sharding, op6_decontamination, op8_quality_rules, op10_simhash)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_mixing, op3_secret_scan, op4_sharding, op6_decontamination, op8_quality_rules, op9_span_dedup, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
