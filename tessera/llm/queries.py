@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import debruijn, decontaminate, mixing, quality_rules, secrets, sharding, simhash, substring_sa
+from tessera.llm import debruijn, decontaminate, mixing, pii, quality_rules, secrets, sharding, simhash, substring_sa
 from tessera.llm.shared import table
 
 
@@ -30,6 +30,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data_report(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return quality_rules.quality_rules(docs).drop("text", "lang")
@@ -44,7 +48,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_mixing, op3_secret_scan, op4_sharding, op6_decontamination, op8_quality_rules, op9_span_dedup, op10_simhash)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_mixing, op3_secret_scan, op4_sharding, op6_decontamination, op7_personal_data, op8_quality_rules, op9_span_dedup, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
