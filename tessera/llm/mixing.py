@@ -123,7 +123,7 @@ def mix_plan(rows: DataFrame, sizes: DataFrame, n_shards: int = N_SHARDS, seed:
     tree = F.broadcast(tree) if n_sources + n_shards * BLOCKS_PER_SHARD <= BROADCAST_ROWS else tree
     placed = placed.withColumns({"mix_taken": taken, "__block": F.when(taken > 0, F.floor(start / block)).cast("int")}).join(tree, ["__src", "__block"], "left")
     out = placed.withColumns({"mix_size": F.col("__size"), "mix_source_size": F.col("source_size"), "mix_target": F.col("target"), "mix_shard": F.col("__shard")})
-    return out.select(*[f"`{c}`" for c in rows.columns if not c.startswith("__")], "mix_size", "mix_source_size", "mix_target", "mix_taken", "mix_shard")
+    return out.select(*[f"`{c}`" for c in rows.columns if c not in ("__size", "__hash")], "mix_size", "mix_source_size", "mix_target", "mix_taken", "mix_shard")
 
 
 def mixing_report(docs: DataFrame, **options) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import debruijn, decontaminate, mixing, pii, quality_rules, secrets, sharding, simhash, substring_sa
+from tessera.llm import debruijn, decontaminate, kneser_ney, mixing, pii, quality_rules, secrets, sharding, simhash, substring_sa
 from tessera.llm.shared import table
 
 
@@ -26,6 +26,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharding_report(table(spark, sf_dir, "documents"))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -48,8 +52,37 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_mixing, op3_secret_scan, op4_sharding, op6_decontamination, op7_personal_data, op8_quality_rules, op9_span_dedup, op10_simhash)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_mixing, op3_secret_scan, op4_sharding, op5_quality_classifier, op6_decontamination, op7_personal_data, op8_quality_rules, op9_span_dedup, op10_simhash)}
+
+
+#: Words removed where a window of 20 starts earlier too.
+_SPANS_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 19), ' ') AS k FROM d, unnest(range(1, len(w) - 18)) AS u(i)),
+first AS (SELECT k, min(struct_pack(a := doc_id, b := i)) AS f, count(*) AS n FROM win GROUP BY k),
+gone AS (SELECT DISTINCT doc_id, i + j AS p FROM win JOIN first USING (k), unnest(range(0, 20)) AS v(j)
+         WHERE n > 1 AND NOT (f.a = doc_id AND f.b = i)),
+word AS (SELECT doc_id, p, w[p] AS x FROM d, unnest(range(1, len(w) + 1)) AS u(p)),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS t, count(*) AS n FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+#: Words in windows of benchmark items, and the items with such windows.
+_LEAKS_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+iw AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(list_slice(w, i, i + least(len(w), 10) - 1), ' ') AS k
+       FROM b, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS u(i) WHERE len(w) > 0),
+dw AS (SELECT doc_id, l.n, i, array_to_string(list_slice(w, i, i + l.n - 1), ' ') AS k FROM d, (SELECT DISTINCT n FROM iw) AS l, unnest(range(1, len(w) - l.n + 2)) AS u(i)),
+hit AS (SELECT doc_id, item_id, n, i FROM dw JOIN iw USING (n, k)),
+words AS (SELECT doc_id, count(DISTINCT i + j) AS n_hit FROM hit, unnest(range(0, n)) AS v(j) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS s FROM hit) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_decontamination": _LEAKS_SQL, "op9_span_dedup": _SPANS_SQL}

@@ -27,3 +27,17 @@ def cut(df: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def aside(docs: DataFrame, *needed: str) -> DataFrame:
+    """docs with all columns renamed to __d0, __d1 and so on, and ``needed`` beside them under their names.
+
+    Whatever else docs has, and however it is called, can't clash then; see ``back``.
+    """
+    renamed = docs.toDF(*[f"__d{i}" for i in range(len(docs.columns))])
+    return renamed.withColumns({c: renamed[f"__d{docs.columns.index(c)}"] for c in needed})
+
+
+def back(df: DataFrame, docs: DataFrame, *added: str) -> DataFrame:
+    """The columns of docs again, and ``added``."""
+    return df.select(*[df[f"__d{i}"].alias(c) for i, c in enumerate(docs.columns)], *added)
