@@ -57,8 +57,8 @@ def _candidates(docs: DataFrame, runs: DataFrame, width: int, k: int) -> DataFra
         starts = np.repeat(at[doc] + lo - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
         hashes = span_hash(prefix_hash(values), starts, starts + width)
         windows = lists(signed(hashes), counts)
-        rows = rows.take(pa.array(doc))
-        return {"gram": signed(gram), "digest": signed(digest), "doc_id": rows.column(0), "th": rows.column(1), "lo": lo.astype(np.int64), "n": n.astype(np.int64), "windows": windows}
+        ids, hashes_of = (rows.column(i).take(pa.array(doc)) for i in range(2))  # not the texts
+        return {"gram": signed(gram), "digest": signed(digest), "doc_id": ids, "th": hashes_of, "lo": lo.astype(np.int64), "n": n.astype(np.int64), "windows": windows}
 
     return emit_blocks(docs, find, "gram bigint, digest bigint, doc_id bigint, th bigint, lo bigint, n bigint, windows array<bigint>", ["doc_id", "__th"])
 
