@@ -134,12 +134,12 @@ def _candidates(docs: DataFrame, runs: DataFrame, width: int, k: int) -> DataFra
             a = int(off[doc[i]] + lo[i])
             p = a + int(anchor[i])
             ctx[i] = raw[a:p] + raw[p + k : a + int(n[i]) - 1 + width]
-        rows = rows.take(pa.array(doc))
+        ids, hashes_of = (rows.column(i).take(pa.array(doc)) for i in range(2))  # not the texts
         return {
             "gram": signed(gram),
             "digest": signed(digest),
-            "doc_id": rows.column(0),
-            "th": rows.column(1),
+            "doc_id": ids,
+            "th": hashes_of,
             "lo": lo.astype(np.int64),
             "n": n.astype(np.int64),
             "anchor": anchor.astype(np.int32),
