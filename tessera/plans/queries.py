@@ -430,6 +430,91 @@ def act_ids(spark: SparkSession, d: str) -> DataFrame:
     return view(spark, d, "sections").select("section_id", C.act_of(F.col("section_id")).alias("act_id"))
 
 
+@query("+ x AS (SELECT DISTINCT q.query_id, a.act_id, a.act_name, a.in_force_from, a.ord FROM queries q JOIN applies_to p ON q.concept = p.concept_id JOIN sections s USING (section_id) JOIN acts a USING (act_id) WHERE a.status <> 'repealed') SELECT query_id, act_name, strftime(in_force_from::DATE, '%-d %B %Y') AS since, row_number() OVER (PARTITION BY query_id ORDER BY in_force_from DESC, ord) AS n FROM x")
+def commencement_notes(spark: SparkSession, d: str) -> DataFrame:
+    return temporal.commencement_notes(_asked(spark, d).select("query_id", "act_id"), view(spark, d, "acts"))
+
+
+@query("SELECT concat('This engine answers questions about Indian employment and labour law as covered by the ', string_agg(act_name, ', ' ORDER BY act_priority DESC, act_name) FILTER (n < m), ' and the ', max(act_name) FILTER (n = m), '.') AS scope FROM (SELECT act_name, act_priority, row_number() OVER (ORDER BY act_priority DESC, act_name) AS n, count(*) OVER () AS m FROM acts WHERE status <> 'repealed')")
+def scope_sentence(spark: SparkSession, d: str) -> DataFrame:
+    return temporal.scope_text(view(spark, d, "acts"))
+
+
+@query("SELECT c.concept_id, p.section_id, p.relevance, row_number() OVER (PARTITION BY c.concept_id ORDER BY CASE WHEN relevance = 'primary' THEN 0 ELSE 1 END, section_id) AS place FROM concepts c JOIN applies_to p USING (concept_id)")
+def sorted_mappings(spark: SparkSession, d: str) -> DataFrame:
+    each = ontology.sorted_mappings(view(spark, d, "applies_to")).select("concept_id", F.posexplode("maps_to").alias("i", "m"))
+    return each.select("concept_id", "m.section_id", "m.relevance", (F.col("i") + 1).cast("bigint").alias("place"))
+
+
+@query("+ pairs AS (SELECT concat('N', l_partkey % 25, '_S', l_partkey * CASE WHEN l_tax > 0.06 THEN 100000 ELSE 1 END) AS section_id, concat('C', CAST(floor(l_partkey / 16) AS BIGINT) * CASE WHEN l_linenumber = 7 THEN -1 ELSE 1 END) AS concept_id, CASE WHEN l_returnflag = 'N' THEN 'primary' WHEN l_returnflag = 'A' THEN 'supporting' ELSE 'other' END AS relevance FROM lineitem) SELECT section_id, concept_id, CASE WHEN s.ord IS NULL THEN 'unknown section' WHEN c.ord IS NULL THEN 'unknown concept' ELSE 'bad relevance' END AS problem FROM pairs LEFT JOIN sections s USING (section_id) LEFT JOIN concepts c USING (concept_id) WHERE s.ord IS NULL OR c.ord IS NULL OR relevance = 'other'")
+def mapping_errors(spark: SparkSession, d: str) -> DataFrame:
+    pairs = table(spark, d, "lineitem").selectExpr("concat('N', l_partkey % 25, '_S', l_partkey * CASE WHEN l_tax > 0.06 THEN 100000 ELSE 1 END) AS section_id", "concat('C', CAST(floor(l_partkey / 16) AS BIGINT) * CASE WHEN l_linenumber = 7 THEN -1 ELSE 1 END) AS concept_id", "CASE WHEN l_returnflag = 'N' THEN 'primary' WHEN l_returnflag = 'A' THEN 'supporting' ELSE 'other' END AS relevance")
+    return ontology.mapping_errors(pairs, view(spark, d, "sections"), view(spark, d, "concepts"))
+
+
+@query("SELECT concept_id, name FROM concepts UNION ALL SELECT concat('S', s_suppkey), s_name FROM supplier")
+def merge_concepts(spark: SparkSession, d: str) -> DataFrame:
+    old = _concepts(spark, d)
+    more = table(spark, d, "supplier").selectExpr("concat('S', s_suppkey) AS concept_id", "s_name AS name", "'' AS description", "cast(array() AS array<string>) AS aliases", "cast(s_suppkey AS bigint) AS ord")
+    again = old.withColumn("name", F.lit("changed"))
+    return ontology.merge_concepts(old, again.unionByName(more)).select("concept_id", "name")
+
+
+@query("+ adj AS (SELECT concat('C', l_partkey % 50) AS t, concat('C', l_suppkey % 60) AS c, min(l_orderkey) AS o FROM lineitem GROUP BY 1, 2), g AS (SELECT query_id, concept AS name FROM queries) SELECT DISTINCT g.query_id, adj.c AS name FROM g JOIN adj ON adj.t = g.name WHERE adj.c <> g.name")
+def companion_concepts(spark: SparkSession, d: str) -> DataFrame:
+    adjacency = table(spark, d, "lineitem").selectExpr("concat('C', l_partkey % 50) AS trigger_name", "concat('C', l_suppkey % 60) AS companion_name", "l_orderkey").groupBy("trigger_name", "companion_name").agg(F.min("l_orderkey").alias("companion_ord"))
+    grounded = view(spark, d, "queries").select("query_id", F.col("concept").alias("name"), F.lit(1).alias("ord"))
+    return grounding.companions_for(grounded, adjacency).select("query_id", "name")
+
+
+@query("+ g AS (SELECT query_id, concept AS c, 1 AS own FROM queries UNION ALL SELECT query_id, concat('C', query_id % 7), 0 FROM queries) SELECT query_id, section_id, CASE WHEN max(CASE WHEN own = 1 AND relevance = 'primary' THEN 1 ELSE 0 END) = 1 THEN 'primary' ELSE 'supporting' END AS relevance FROM g JOIN applies_to p ON p.concept_id = g.c GROUP BY query_id, section_id")
+def merged_relevance(spark: SparkSession, d: str) -> DataFrame:
+    concepts = view(spark, d, "concepts").select("concept_id", F.col("concept_id").alias("name"))
+    q = view(spark, d, "queries")
+    return grounding.relevance_for(q.select("query_id", F.col("concept").alias("name")), q.select("query_id", F.expr("concat('C', query_id % 7)").alias("name")), concepts, view(spark, d, "applies_to"))
+
+
+@query(_LIVE.rstrip() + _WALKED + "SELECT k.query_id, c.source_section_id, c.target_section_id FROM kept k JOIN (SELECT * FROM cites) c ON c.source_section_id = k.section_id JOIN kept t ON t.query_id = k.query_id AND t.section_id = c.target_section_id WHERE k.n <= 12 AND t.n <= 12", recursive=True)
+def walked_edges(spark: SparkSession, d: str) -> DataFrame:
+    return _traversed(spark, d)["edges"].select("query_id", "source_section_id", "target_section_id")
+
+
+@query(_LIVE.rstrip() + _BFS.replace("w.hop < 3", "w.hop < 2") + "SELECT query_id, max(hop) AS hops_taken FROM (SELECT query_id, section_id, min(hop) AS hop FROM walk GROUP BY query_id, section_id) WHERE hop > 0 GROUP BY query_id", recursive=True)
+def hops_taken(spark: SparkSession, d: str) -> DataFrame:
+    return _traversed(spark, d)["hops"].select("query_id", "hops_taken")
+
+
+_FACTS = "SELECT o_orderkey AS query_id, CAST(o_orderkey % 4 AS INT) AS n_extracted, CAST(o_custkey % 3 AS INT) AS n_ungrounded, CAST(o_custkey % 2 AS INT) AS n_grounded, CASE WHEN o_orderstatus = 'F' THEN CAST(1 AS DOUBLE) WHEN o_orderstatus = 'O' THEN CAST(0.6 AS DOUBLE) END AS seed, CASE WHEN o_orderkey % 3 = 0 THEN true WHEN o_orderkey % 3 = 1 THEN false END AS sufficient, CAST(o_custkey % 5 AS INT) AS n_retrieved, CAST(o_orderkey % 6 AS INT) AS n_cited, CAST(o_orderkey % 6 AS INT) - CAST(o_orderkey % 2 AS INT) AS n_verified, o_orderkey % 7 = 0 AS has_conflict FROM orders"
+
+
+@query(f"+ f AS ({_FACTS}), g AS (SELECT query_id, has_conflict, CASE WHEN n_extracted > 0 THEN greatest(0, least(1, (n_extracted - n_ungrounded)::DOUBLE / n_extracted)) WHEN n_grounded > 0 THEN 1 ELSE 0 END AS a, coalesce(seed, 0) AS b, CASE WHEN sufficient THEN 1 WHEN sufficient IS NOT NULL AND n_retrieved > 0 THEN 0.5 ELSE 0 END AS c, CASE WHEN n_cited > 0 THEN greatest(0, n_verified::DOUBLE / n_cited) ELSE 0 END AS e FROM f), h AS (SELECT query_id, CASE WHEN has_conflict THEN least(0.5, 0.35 * a + 0.25 * b + 0.2 * c + 0.2 * e) ELSE 0.35 * a + 0.25 * b + 0.2 * c + 0.2 * e END AS conf FROM g) SELECT query_id, round(conf + 0.0003, 2) AS confidence, CASE WHEN conf < 0.3999 THEN 'insufficient_evidence' ELSE 'ok' END AS status FROM h".replace("+ f AS", "WITH f AS"))
+def confidence_scores(spark: SparkSession, d: str) -> DataFrame:
+    facts = spark.sql(_FACTS.replace("FROM orders", "FROM {orders}"), orders=table(spark, d, "orders"))
+    return answers.confidence(facts).select("query_id", F.round(F.col("confidence") + 0.0003, 2).alias("confidence"), "status")
+
+
+@query("SELECT event_id, CASE WHEN event_type IN ('error') THEN 'error' WHEN user_id % 5 = 0 THEN 'rejected' WHEN user_id % 7 = 0 THEN 'out_of_domain' WHEN value > 10 THEN 'ok' ELSE 'insufficient_evidence' END AS status, CASE WHEN value >= 70 AND user_id % 2 = 0 THEN 'high' WHEN value >= 40 THEN 'moderate' ELSE 'low' END AS band FROM events")
+def answer_status(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "events")
+    error = F.when(F.col("event_type") == "error", "x")
+    flag = F.when(F.col("user_id") % 5 == 0, "evasion").otherwise(F.when(F.col("user_id") % 2 == 0, " None. ").otherwise("N/A"))
+    guard = F.when(F.col("value") > 10, "ok").otherwise("insufficient_evidence")
+    return rows.select("event_id", answers.resolve_status(error, flag, F.col("user_id") % 7 != 0, guard).alias("status"), answers.confidence_band(F.col("value") / 100, F.col("user_id") % 2 != 0).alias("band"))
+
+
+@query("SELECT page_id, trim(regexp_replace(regexp_replace(replace(html, chr(12), ' '), '-\\s+', '-', 'g'), '\\s+', ' ', 'g')) AS text FROM pages")
+def clean_pages(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", T.clean_text(F.col("html")).alias("text"))
+
+
+@query()
+def quantities_said(spark: SparkSession, d: str) -> DataFrame:
+    """Amounts with units in orders' terms, spelled numbers included."""
+    words = F.array(*[F.lit(w) for w in (*T.UNITS, *T.TENS)])
+    said = F.concat_ws(" ", F.element_at(words, (F.col("o_orderkey") % F.size(words) + 1).cast("int")), F.lit("days and"), (F.col("o_custkey") % 90 + 1).cast("string"), F.lit("calendar months"))
+    return table(spark, d, "orders").select("o_orderkey", F.explode(T.quantities(said)).alias("q")).select("o_orderkey", "q.amount", "q.unit")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
