@@ -92,7 +92,7 @@ def segments(docs: DataFrame, width: int = WIDTH, k: int = K) -> DataFrame:
     places = cut(_candidates(docs, runs, width, k).join(runs, ["gram", "digest"]))
     plain = places.where("kinds = 1").select("doc_id", "th", F.col("lo").alias("at"), "n", F.col("digest").alias("seg"))
     opened = places.where("kinds > 1 and size(windows) > 0").groupBy("gram", "digest").agg(F.first("cnt").alias("cnt"), F.first("windows").alias("windows"))
-    pieces = _pieces(opened)
+    pieces = cut(_pieces(opened))  # written, so that a digest with many places can be split in the join
     mixed = places.where("kinds > 1").select("gram", "digest", "doc_id", "th", "lo").join(pieces, ["gram", "digest"])
     mixed = mixed.select("doc_id", "th", "lo", F.explode("pieces").alias("p")).select("doc_id", "th", (F.col("lo") + F.col("p.i")).alias("at"), F.col("p.n").alias("n"), F.col("p.seg").alias("seg"))
     return plain.unionByName(mixed)
@@ -113,6 +113,7 @@ def paths(found: DataFrame) -> DataFrame:
     nodes = cut(nodes.select("seg", "first", F.when(F.col("after0") == F.col("after1"), F.col("after0")).otherwise(0).alias("next"), F.when(F.col("before0") == F.col("before1"), F.col("before0")).otherwise(0).alias("prev")))
     glued = nodes.where("prev != 0").alias("b").join(nodes.where("next != 0").alias("a"), (F.col("b.prev") == F.col("a.seg")) & (F.col("a.next") == F.col("b.seg")) & (F.col("a.seg") != F.col("b.seg")))
     nodes = nodes.join(glued.select(F.col("b.seg").alias("seg"), F.lit(True).alias("glued")), "seg", "left").select("seg", "first", F.coalesce("glued", F.lit(False)).alias("glued"))
+    nodes = cut(nodes)  # likewise for a segment with many places
     placed = linked.select("doc_id", "th", "at", "n", "seg", "before").join(nodes, "seg")
     head = F.when(F.col("glued") & (F.col("before") != 0), 0).otherwise(1)
     numbered = placed.withColumn("path", F.sum(head).over(text))
