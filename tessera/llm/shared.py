@@ -2,33 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
+from tessera.sources.tables import cut, table
+
+__all__ = ["BROADCAST_ROWS", "aside", "back", "cut", "table"]
 
 #: Rows of a table that may be broadcast; above it the join is left to shuffle.
 BROADCAST_ROWS = 100_000
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; only where none is set (tests) one is chosen."""
-    if not (folder := spark.conf.get("spark.checkpoint.dir", None)):
-        folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
-    return folder
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write df once to the shared folder and read it back, so that its lineage ends there."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def aside(docs: DataFrame, *needed: str) -> DataFrame:
     """docs with all columns renamed to __d0, __d1 and so on, and ``needed`` beside them under their names.
 
