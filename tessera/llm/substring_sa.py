@@ -34,9 +34,10 @@ from tessera.llm.textblock import covered, emit_blocks, map_blocks, prefix_hash,
 
 WIDTH = 400
 K = 300
-MAX_RUNS = 4_000
-#: Letters sorted together.
+MAX_RUNS = 1_000
+#: Letters sorted together, and letters dealt to one task.
 BATCH_LETTERS = 150_000
+TASK_LETTERS = 400_000
 
 
 def _shared(a: bytes, b: bytes) -> int:
@@ -180,7 +181,8 @@ def _sorted_groups(mixed: DataFrame, width: int, k: int) -> DataFrame:
         if held:
             yield flush()
 
-    return mixed.repartition("gram").sortWithinPartitions("gram", "digest").mapInArrow(run, "doc_id bigint, th bigint, a bigint, b bigint")
+    letters = mixed.agg(F.sum(F.octet_length("ctx"))).first()[0] or 0
+    return mixed.repartition(max(1, -(-letters // TASK_LETTERS)), "gram").sortWithinPartitions("gram", "digest").mapInArrow(run, "doc_id bigint, th bigint, a bigint, b bigint")
 
 
 def _counted_windows(mixed: DataFrame, width: int, k: int) -> DataFrame:
