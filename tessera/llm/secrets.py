@@ -58,14 +58,14 @@ def entropy_windows(s: str, limit: float, width: int = WINDOW) -> list[tuple[int
     counts: dict[str, int] = {}
     total, spans = 0.0, []
     for i, ch in enumerate(s):
-        c = counts.get(ch, 0)
-        total += _C_LOG_C[c + 1] - _C_LOG_C[c]
-        counts[ch] = c + 1
         if i >= width:
             old = s[i - width]
             c = counts[old]
             total += _C_LOG_C[c - 1] - _C_LOG_C[c]
             counts[old] = c - 1
+        c = counts.get(ch, 0)
+        total += _C_LOG_C[c + 1] - _C_LOG_C[c]
+        counts[ch] = c + 1
         if i >= width - 1 and math.log2(width) - total / width >= limit - 1e-9:
             start = i - width + 1
             if spans and start <= spans[-1][1]:
