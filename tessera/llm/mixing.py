@@ -29,7 +29,7 @@ from tessera.llm.textblock import whole_text
 
 WEIGHTS = (1, 2, 3)
 MAX_ROUNDS = 3
-ROWS_PER_BUCKET = 20_000
+ROWS_PER_BUCKET = 4_000
 N_SHARDS = 16
 BLOCKS_PER_SHARD = 64
 WORD = r"[^\x20\x09-\x0D]+"
