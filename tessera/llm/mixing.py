@@ -106,23 +106,24 @@ def mix_plan(rows: DataFrame, sizes: DataFrame, n_shards: int = N_SHARDS, seed:
     n_rows, n_sources, words = sizes.count(), targets.count(), (targets.agg(F.sum("source_size")).first()[0] or 0)
     n_buckets = max(1, -(-n_rows // ROWS_PER_BUCKET))
     block = max(1, -(-words // (n_shards * BLOCKS_PER_SHARD)))
+    targets = targets.withColumnsRenamed({"source": "__source", "source_size": "__source_size", "target": "__target"})
     few = (lambda df: F.broadcast(df)) if n_sources <= BROADCAST_ROWS else (lambda df: df)
     bucket = F.shiftright(F.shiftrightunsigned("__hash", 33) * n_buckets, 31)
-    with_source = lambda df: df.withColumn("__bucket", bucket).join(few(targets.withColumnRenamed("source", "__source")), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
+    with_source = lambda df: df.withColumn("__bucket", bucket).join(few(targets), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
     sums = with_source(sizes).groupBy("__src", "__bucket").agg(F.sum("__size").alias("__words"))
     line = Window.partitionBy("__src").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("__src", "__bucket", F.coalesce(F.sum("__words").over(line), F.lit(0)).alias("__offset"))
     inside = Window.partitionBy("__src", "__bucket").orderBy("__hash", "doc_id", "__size").rowsBetween(Window.unboundedPreceding, -1)
     placed = with_source(rows).withColumn("__start", F.coalesce(F.sum("__size").over(inside), F.lit(0))).join(offsets, ["__src", "__bucket"])
     start = F.col("__start") + F.col("__offset")
-    rounds = F.when(F.col("source_size") > 0, F.expr("__quota div source_size")).otherwise(F.lit(0))
-    rest = F.col("__quota") - rounds * F.col("source_size")
+    rounds = F.when(F.col("__source_size") > 0, F.expr("__quota div __source_size")).otherwise(F.lit(0))
+    rest = F.col("__quota") - rounds * F.col("__source_size")
     extra = F.greatest(F.lit(0), F.least(F.col("__size"), rest - start))
     taken = rounds * F.col("__size") + extra
     tree = shard_tree(targets, n_shards, block, seed)
     tree = F.broadcast(tree) if n_sources + n_shards * BLOCKS_PER_SHARD <= BROADCAST_ROWS else tree
     placed = placed.withColumns({"mix_taken": taken, "__block": F.when(taken > 0, F.floor(start / block)).cast("int")}).join(tree, ["__src", "__block"], "left")
-    out = placed.withColumns({"mix_size": F.col("__size"), "mix_source_size": F.col("source_size"), "mix_target": F.col("target"), "mix_shard": F.col("__shard")})
+    out = placed.withColumns({"mix_size": F.col("__size"), "mix_source_size": F.col("__source_size"), "mix_target": F.col("__target"), "mix_shard": F.col("__shard")})
     return out.select(*[f"`{c}`" for c in rows.columns if c not in ("__size", "__hash")], "mix_size", "mix_source_size", "mix_target", "mix_taken", "mix_shard")
 
 
