@@ -173,7 +173,7 @@ def score(docs: DataFrame, table: DataFrame, order: int = ORDER, broadcast_grams
             lang = np.array([number.get(x, -1) for x in rows.column(1).to_pylist()], dtype=np.int64)
             grams, doc = block_grams(buf, off, order)
             sums = np.bincount(doc, weights=known.get(grams | (np.maximum(lang, 0)[doc] << 8 * order)), minlength=n)
-            return {"n_grams": np.bincount(doc, minlength=n).astype(np.int64), "logp": pa.array(sums, mask=lang < 0)}
+            return {"n_grams": np.bincount(doc, minlength=n).astype(np.int64), "logp": pa.array(sums.astype(float), mask=lang < 0)}
 
         return map_blocks(docs, look, "n_grams bigint, logp double", ["doc_id", "lang", "fold"])
 
