@@ -4,8 +4,10 @@ A candidate is a run of 20 or more characters from the alphabets that keys are
 written in.  Within it every window of 20 characters gets its Shannon entropy,
 kept up to date as the window slides: one count falls, one rises, and the sum of
 c*log2(c) follows.  Each class of characters (hexadecimal, alphanumeric,
-base64) has its own limit.  Windows at or above the limit join into spans.  The
-allow-list suppresses spans found by entropy, never those of a known format.
+base64) has its own limit, and the class is that of the window: hexadecimal stretches
+of a candidate are held against their own limit whatever stands around them.  Windows at or above the limit join into spans.  The
+allow-list suppresses windows found by entropy, never spans of a known format: those that
+overlap a match, and for words such as EXAMPLE also those that begin or end within WINDOW characters of it.
 
 Cases: null and empty texts have no spans; very long texts are scanned whole, in
 one pass; repeated rows get equal answers; an empty table gives an empty result;
@@ -36,6 +38,7 @@ KINDS = ("assign", "access", "hex", "entropy")
 WINDOW = 20
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 HEX_CLASS = re.compile(r"[0-9A-Fa-f]+\Z")
+HEX_RUN = re.compile(r"[0-9A-Fa-f]{20,}")
 ALNUM_CLASS = re.compile(r"[0-9A-Za-z]+\Z")
 #: Bits per character that a window of each class must reach.
 LIMITS = {"hex": 3.0, "alnum": 3.7, "base64": 3.7}
@@ -46,6 +49,8 @@ ALLOW = (
     re.compile(r"0123456789|abcdefghij|ABCDEFGHIJ"),
     re.compile(r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\Z", re.I),
 )
+#: Of these, the first names its whole neighbourhood a placeholder; the others only stand for themselves.
+REACH = (WINDOW, 0, 0, 0)
 _C_LOG_C = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 1)]
 
 
@@ -75,15 +80,43 @@ def entropy_windows(s: str, limit: float, width: int = WINDOW) -> list[tuple[int
     return [tuple(x) for x in spans]
 
 
+def _like_key(s: str) -> bool:
+    return any(ch.isdigit() for ch in s) and any(ch.isalpha() for ch in s)  # a long word or number is no key
+
+
+def allowed_parts(s: str) -> Iterator[tuple[int, int]]:
+    """[start, end) of the parts of a candidate that no match of the allow-list reaches."""
+    blocked = sorted((m.start() - reach, m.end() + reach) for p, reach in zip(ALLOW, REACH, strict=True) for m in p.finditer(s))
+    at = 0
+    for a, b in [*blocked, (len(s), len(s))]:
+        if a - at >= WINDOW:
+            yield at, a
+        at = max(at, b)
+
+
 def entropy_spans(text: str) -> Iterator[tuple[int, int]]:
     for m in CANDIDATE.finditer(text):
-        s = m[0]
-        if not any(ch.isdigit() for ch in s) or not any(ch.isalpha() for ch in s):
-            continue  # a long word or number is no key
-        if any(p.search(s) for p in ALLOW):
+        if not _like_key(m[0]):
             continue
-        for a, b in entropy_windows(s, LIMITS[char_class(s)]):
-            yield m.start() + a, m.start() + b
+        for lo, hi in allowed_parts(m[0]):
+            s = m[0][lo:hi]
+            if not _like_key(s):
+                continue
+            found = entropy_windows(s, LIMITS[char_class(s)])
+            if char_class(s) != "hex":
+                for h in HEX_RUN.finditer(s):
+                    if _like_key(h[0]):
+                        found += [(h.start() + a, h.start() + b) for a, b in entropy_windows(h[0], LIMITS["hex"])]
+            end = None
+            for a, b in sorted(found):
+                if end is not None and a <= end:
+                    end = max(end, b)
+                    continue
+                if end is not None:
+                    yield m.start() + lo + start, m.start() + lo + end
+                start, end = a, b
+            if end is not None:
+                yield m.start() + lo + start, m.start() + lo + end
 
 
 def scan(text: str) -> tuple[int, int, int, str, str, int]:

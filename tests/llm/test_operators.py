@@ -134,6 +134,23 @@ def test_op3_entropy_and_allow_list():
     assert marked == {j for i in range(len(s) - 19) if h(s[i : i + 20]) >= 3.7 - 1e-9 for j in range(i, i + 20)}
 
 
+def test_op3_class_and_allow_list_are_of_the_window():
+    rng = random.Random(5)
+    found = lambda t: list(secrets.entropy_spans(t))
+    for n in (32, 40, 64):
+        for _ in range(200):
+            key = "".join(rng.choice("0123456789ABCDEF") for _ in range(n))
+            alone = found(key)
+            inside = found("KEY=" + key)
+            assert all(any(a <= s + 4 and e + 4 <= b for a, b in inside) for s, e in alone)
+    assert found("a=907182645309182736459071826453") == []  # a long number is still no key
+    rest = "Zq8vT1xP0mK7wN3rB5yL9cH2"
+    long = (rest + "/") * 4
+    assert found(long + "AAAAAAAA" + rest) == [(0, 100), (108, 132)]
+    assert found(long + "sample/" + long) == [(0, 80), (126, 207)]
+    assert found("wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY") == []
+
+
 def test_op3_redact(spark):
     out = secrets.redact(frame(spark, ["my token = abcdefghijklmnop.", None])).orderBy("doc_id").collect()
     assert [r.text for r in out] == ["my <secret>", None]
