@@ -7,13 +7,16 @@ language and order come from counts of counts.  Probabilities are made from the
 lowest order up, by joins of the n-grams that occur anywhere in the corpus with
 counts, context sums and the probability of their suffixes, all dealt by their keys.
 
-A document's perplexity is the mean of these over all its n-grams.  The table of
+A document's perplexity is the mean of these over all its n-grams; its worst perplexity is that of its
+most surprising WORST n-grams in a row, which one toxic word moves however long the text is.  The table of
 probabilities goes to the tasks if it has at most BROADCAST_GRAMS rows; beyond
-that the documents' own n-gram counts are joined with it instead.
+that the documents' own n-grams, with their places, are joined with it instead.
 
 Trusted documents are those that labels call good and not toxic.  One half of
-them (by hash of the id) trains; the other half, unseen, gives each language its quantile,
-the limit of perplexity.
+them (by hash of the id) trains; the other half, unseen, gives each language the quantiles
+that may be its two limits.  Of all pairs of QUANTILES that pair is taken that
+parts the unseen half from the labelled documents that aren't trusted (of the same half of ids) best: share of trusted ones
+kept plus share of others dropped.  A language without such others takes QUANTILE for both.
 
 Cases: null and empty texts and those with fewer than MIN_BYTES bytes aren't judged: perplexity null
 or weak, kept true; so are documents of languages without trusted text; a null
@@ -35,6 +38,8 @@ from tessera.llm.textblock import LOWER, blocks, map_blocks, whole_text
 
 ORDER = 5
 QUANTILE = 0.99
+QUANTILES = (0.9, 0.92, 0.94, 0.96, 0.97, 0.98, 0.99, 0.995)
+WORST = 6
 MIN_BYTES = 100
 #: Labelled ids that may be broadcast; with more, labels are joined by shuffle.
 BROADCAST_IDS = 2_000_000
@@ -58,10 +63,12 @@ def block_grams(buf: np.ndarray, off: np.ndarray, order: int = ORDER) -> tuple[n
 
 
 def with_trust(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs (doc_id, text, lang) with fold: 0 trusted and training, 1 trusted and held out, 2 not trusted."""
-    trusted = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).where("q = 1 and t = 0").select("doc_id", F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(2)).cast("int").alias("half"))
-    trusted = F.broadcast(trusted) if labels.count() <= BROADCAST_IDS else trusted
-    return docs.join(trusted, "doc_id", "left").select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("half", F.lit(2)).alias("fold"))
+    """docs (doc_id, text, lang) with fold: 0 trusted and training, 1 trusted and held out, 3 labelled, not trusted and held out, 2 all others."""
+    half = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(2)).cast("int")
+    labelled = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t"))
+    labelled = labelled.select("doc_id", F.when(F.expr("q = 1 and t = 0"), half).when(F.expr("q < 1 or t > 0"), half + 2).alias("half"))
+    labelled = F.broadcast(labelled) if labels.count() <= BROADCAST_IDS else labelled
+    return docs.join(labelled, "doc_id", "left").select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("half", F.lit(2)).alias("fold"))
 
 
 def gram_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
@@ -155,8 +162,26 @@ class GramTable:
         return out
 
 
+def worst_windows(logp: np.ndarray, doc: np.ndarray, n: int, width: int = WORST) -> np.ndarray:
+    """For each of n texts the least sum of ``width`` values in a row; 0 for shorter texts.
+
+    Sums are made term by term, so equal windows have equal sums wherever they stand.
+    """
+    out = np.zeros(n)
+    if (m := len(logp) - width + 1) > 0:
+        sums = np.zeros(m)
+        for i in range(width):
+            sums += logp[i : i + m]
+        inside = doc[:m] == doc[width - 1 :]
+        sums, own = sums[inside], doc[:m][inside]
+        if len(own):
+            first = np.flatnonzero(np.diff(own, prepend=-1))
+            out[own[first]] = np.minimum.reduceat(sums, first)
+    return out
+
+
 def score(docs: DataFrame, table: DataFrame, order: int = ORDER, broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
-    """doc_id, lang, fold, n_grams, logp (sum over the document's n-grams); logp null without a model."""
+    """doc_id, lang, fold, n_grams, logp (sum over the document's n-grams), worst (least sum of WORST in a row); null without a model."""
     langs = [r.lang for r in table.select("lang").distinct().limit(BROADCAST_ROWS + 1).collect()]
     if len(langs) <= BROADCAST_ROWS and table.count() <= broadcast_grams:
         number = {x: i for i, x in enumerate(sorted(langs))}
@@ -172,33 +197,76 @@ def score(docs: DataFrame, table: DataFrame, order: int = ORDER, broadcast_grams
             n = len(off) - 1
             lang = np.array([number.get(x, -1) for x in rows.column(1).to_pylist()], dtype=np.int64)
             grams, doc = block_grams(buf, off, order)
-            sums = np.bincount(doc, weights=known.get(grams | (np.maximum(lang, 0)[doc] << 8 * order)), minlength=n)
-            return {"n_grams": np.bincount(doc, minlength=n).astype(np.int64), "logp": pa.array(sums.astype(float), mask=lang < 0)}
+            found = known.get(grams | (np.maximum(lang, 0)[doc] << 8 * order))
+            sums = np.bincount(doc, weights=found, minlength=n)
+            return {"n_grams": np.bincount(doc, minlength=n).astype(np.int64), "logp": pa.array(sums.astype(float), mask=lang < 0), "worst": pa.array(worst_windows(found, doc, n), mask=lang < 0)}
 
-        return map_blocks(docs, look, "n_grams bigint, logp double", ["doc_id", "lang", "fold"])
+        return map_blocks(docs, look, "n_grams bigint, logp double, worst double", ["doc_id", "lang", "fold"])
 
     def own(buf: np.ndarray, off: np.ndarray, rows: pa.RecordBatch) -> dict:
         grams, doc = block_grams(buf, off, order)
         cut_at = np.searchsorted(doc, np.arange(len(off)))
-        parts = [np.unique(grams[a:b], return_counts=True) for a, b in zip(cut_at[:-1], cut_at[1:], strict=True)]
-        return {"own": pa.array([[{"g": g, "n": n} for g, n in zip(u.tolist(), c.tolist(), strict=True)] for u, c in parts], pa.list_(pa.struct([("g", pa.int64()), ("n", pa.int64())])))}
+        parts = []
+        for a, b in zip(cut_at[:-1], cut_at[1:], strict=True):
+            u, n = np.unique(grams[a:b], return_counts=True)
+            places = np.split(np.argsort(grams[a:b], kind="stable"), np.cumsum(n)[:-1])
+            parts.append([{"g": g, "at": at} for g, at in zip(u.tolist(), places, strict=False)])
+        return {"own": pa.array(parts, pa.list_(pa.struct([("g", pa.int64()), ("at", pa.list_(pa.int32()))])))}
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_grams, logp, worst = [], [], []
+            for found in batch.column(batch.num_columns - 1):
+                values = np.concatenate([np.full(len(x["at"]), np.nan if x["logp"] is None else x["logp"], dtype=np.float32) for x in found.as_py()])
+                line = np.zeros(len(values), dtype=np.float32)
+                line[np.concatenate([np.array(x["at"], dtype=np.int64) for x in found.as_py()])] = values
+                known = not np.isnan(line).any()
+                n_grams.append(len(line))
+                logp.append(float(line.sum(dtype=np.float64)) if known else None)
+                worst.append(float(worst_windows(line, np.zeros(len(line), dtype=np.int64), 1)[0]) if known else None)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n_grams, pa.int64()), pa.array(logp, pa.float64()), pa.array(worst, pa.float64())], names=[*batch.schema.names[:-1], "n_grams", "logp", "worst"])
 
     keyed = docs.withColumn("th", F.xxhash64(whole_text()))
-    each = map_blocks(keyed.dropDuplicates(["doc_id", "th", "lang"]), own, "own array<struct<g:bigint,n:bigint>>", ["doc_id", "th", "lang"])
-    each = each.select("doc_id", "th", "lang", F.explode("own").alias("x")).select("doc_id", "th", "lang", "x.g", "x.n")
-    sums = each.join(table, ["lang", "g"], "left").groupBy("doc_id", "th", "lang").agg(F.sum("n").alias("n_grams"), F.sum(F.col("n") * F.col("logp").cast("float")).alias("logp"))
+    each = map_blocks(keyed.dropDuplicates(["doc_id", "th", "lang"]), own, "own array<struct<g:bigint,at:array<int>>>", ["doc_id", "th", "lang"])
+    each = each.select("doc_id", "th", "lang", F.explode("own").alias("x")).select("doc_id", "th", "lang", "x.g", "x.at")
+    lines = each.join(table, ["lang", "g"], "left").groupBy("doc_id", "th", "lang").agg(F.collect_list(F.struct("at", "logp")).alias("found"))
+    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in lines.schema if f.name != "found")
+    sums = lines.mapInArrow(whole, f"{kept}, n_grams bigint, logp double, worst double")
     sums = sums.withColumnsRenamed({c: f"__{c}" for c in ("doc_id", "th", "lang")})
     same = F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.col("th") == F.col("__th")) & (F.col("lang") == F.col("__lang"))
-    return keyed.join(sums, same, "left").select("doc_id", "lang", "fold", F.coalesce("n_grams", F.lit(0).cast("bigint")).alias("n_grams"), "logp")
+    return keyed.join(sums, same, "left").select("doc_id", "lang", "fold", F.coalesce("n_grams", F.lit(0).cast("bigint")).alias("n_grams"), "logp", "worst")
+
+
+def choose_limits(held: DataFrame, quantile: float = QUANTILE) -> DataFrame:
+    """(lang, max_perplexity, max_worst) from held-out rows (lang, fold, perplexity, worst_perplexity)."""
+    qs = [*QUANTILES, quantile]
+    at = lambda c: F.percentile_approx(c, qs, F.lit(100_000))
+    grid = held.where("fold = 1").groupBy("lang").agg(at("perplexity").alias("means"), at("worst_perplexity").alias("worsts"))
+    grid = cut(grid)
+    few = lambda df: F.broadcast(df) if grid.count() <= BROADCAST_ROWS else df
+    # rows with equal places among the limits are one cell; a limit keeps what lies at or below it
+    below = lambda c, limits: F.size(F.filter(F.slice(limits, 1, len(QUANTILES)), lambda x: x < F.col(c)))
+    cells = held.join(few(grid), "lang").groupBy("lang", below("perplexity", F.col("means")).alias("i"), below("worst_perplexity", F.col("worsts")).alias("j"))
+    cells = cells.agg(F.count_if(F.col("fold") == 1).alias("good"), F.count_if(F.col("fold") == 3).alias("bad"))
+    pairs = F.array(*[F.struct(F.lit(i).alias("a"), F.lit(j).alias("b")) for i in range(len(QUANTILES)) for j in range(len(QUANTILES))])
+    tried = cells.withColumn("pair", F.explode(pairs)).withColumn("keeps", (F.col("i") <= F.col("pair.a")) & (F.col("j") <= F.col("pair.b")))
+    counted = lambda c, how: F.sum(F.when(how, F.col(c)).otherwise(0))
+    tried = tried.groupBy("lang", "pair").agg(counted("good", F.col("keeps")).alias("kept"), F.sum("good").alias("good"), counted("bad", ~F.col("keeps")).alias("gone"), F.sum("bad").alias("bad"))
+    merit = F.round(F.col("kept") / F.col("good") + F.col("gone") / F.col("bad"), 9)
+    best = tried.groupBy("lang").agg(F.max(F.when(F.col("bad") > 0, F.struct(merit.alias("merit"), "kept", "pair"))).alias("best"))
+    last = F.lit(len(qs))
+    pick = lambda limits, c: F.element_at(limits, F.coalesce(F.col(f"best.pair.{c}") + 1, last))
+    return grid.join(few(best), "lang", "left").select("lang", pick("means", "a").alias("max_perplexity"), pick("worsts", "b").alias("max_worst_perplexity"))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, order: int = ORDER, **options) -> DataFrame:
-    """doc_id, lang, n_grams, perplexity (of a byte), max_perplexity (of the language), kept."""
+    """doc_id, lang, n_grams, perplexity (of a byte), max_perplexity (of the language), kept, and the same two of the worst window."""
     rows = with_trust(docs.select("doc_id", "text", "lang"), labels)
     table = probabilities(cut(gram_counts(rows, order)), order)
-    scored = cut(score(rows, table, order, **options).withColumn("perplexity", F.when(F.col("n_grams") > 0, F.exp(-F.col("logp") / F.col("n_grams")))))
+    mean, worst = F.exp(-F.col("logp") / F.col("n_grams")), F.exp(-F.col("worst") / WORST)
+    scored = cut(score(rows, table, order, **options).withColumns({"perplexity": F.when(F.col("n_grams") > 0, mean), "worst_perplexity": F.when(F.col("n_grams") >= WORST, worst)}))
     judged = F.col("n_grams") >= MIN_BYTES
-    limits = cut(scored.where(judged & (F.col("fold") == 1)).groupBy("lang").agg(F.percentile_approx("perplexity", F.lit(quantile), F.lit(100_000)).alias("max_perplexity")))
+    limits = cut(choose_limits(scored.where(judged & F.col("fold").isin(1, 3)), quantile))
     out = scored.join(F.broadcast(limits) if limits.count() <= BROADCAST_ROWS else limits, "lang", "left")
-    far = judged & (F.col("perplexity") > F.col("max_perplexity"))
-    return out.select("doc_id", "lang", "n_grams", "perplexity", "max_perplexity", (~F.coalesce(far, F.lit(False))).alias("kept"))
+    far = judged & ((F.col("perplexity") > F.col("max_perplexity")) | (F.col("worst_perplexity") > F.col("max_worst_perplexity")))
+    return out.select("doc_id", "lang", "n_grams", "perplexity", "max_perplexity", (~F.coalesce(far, F.lit(False))).alias("kept"), "worst_perplexity", "max_worst_perplexity")

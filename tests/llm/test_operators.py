@@ -185,6 +185,21 @@ def test_op5_probabilities_and_both_ways(spark):
     assert (sums.s <= 1 + 1e-9).all() and (table.where("logp > 0").count() == 0)
 
 
+def test_op5_one_bad_word_in_a_long_text(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choice(["ta", "re", "no", "li", "se"]) for _ in range(rng.randint(1, 4))) for _ in range(300)]
+    text = lambda n: [rng.choice(words) for _ in range(n)]
+    good = [text(rng.choice([60, 900])) for _ in range(160)]
+    bad = [text(900) for _ in range(60)]
+    for w in bad:
+        w[rng.randrange(len(w))] = "zzyxquk"
+    df = frame(spark, [" ".join(w) for w in good + bad]).withColumn("lang", F.lit("en"))
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(120)] + [(i, 1, 1) for i in range(160, 190)], "doc_id long, quality int, toxic int")
+    for options in ({}, {"broadcast_grams": 0}):
+        kept = kneser_ney.quality_scores(df, labels, **options).toPandas().set_index("doc_id").sort_index().kept
+        assert not kept[190:].any() and kept[120:160].mean() > 0.9
+
+
 @pytest.mark.parametrize("block_words", [2_000_000, 12])
 def test_op6_against_brute_force(spark, block_words):
     rng = random.Random(6)
