@@ -7,7 +7,9 @@ document is ahead of another of its source by more than one round.  The quota is
 blocks of words.  A binary tree over the output shards deals the blocks of all sources: each node gives
 its left half a uniform draw without replacement, so the counts of sources that
 a shard gets are multivariate hypergeometric, and the sums over shards are exact.
-Inside a shard the order is a local hash.
+A round of a document stands at round*source_size + its start on the line of its source's quota; where it
+crosses an edge of blocks it is split, so every dealt block is filled.  ``mixing_report`` names the shard of a
+document's first word and all its pieces; each piece has a hash, and inside a shard the order is by that hash.
 
 A line is never sorted whole: documents fall in buckets by hash, small tables of
 bucket sums give each bucket its offset, and running sums stay within buckets.  A source that
@@ -98,9 +100,10 @@ def shard_tree(targets: DataFrame, n_shards: int, block: int, seed: int = 1) ->
 
 
 def mix_plan(rows: DataFrame, sizes: DataFrame, n_shards: int = N_SHARDS, seed: int = 1, **options) -> DataFrame:
-    """rows (of ``sized``) with mix_size, mix_source_size, mix_target, mix_taken, mix_shard.
+    """rows (of ``sized``) with mix_size, mix_source_size, mix_target, mix_taken, mix_shard, mix_shards, mix_pieces.
 
-    ``sizes`` has source, __size and __hash of the same rows, cheap to read several times.
+    mix_shard is the shard of the first word, mix_shards has the shard where each round begins, and mix_pieces
+    (start on the source's line, words, shard, hash) all words taken.  ``sizes`` has source, __size and __hash of the same rows, cheap to read several times.
     """
     targets = cut(source_targets(sizes, **options))
     n_rows, n_sources, words = sizes.count(), targets.count(), (targets.agg(F.sum("source_size")).first()[0] or 0)
@@ -120,18 +123,28 @@ def mix_plan(rows: DataFrame, sizes: DataFrame, n_shards: int = N_SHARDS, seed:
     rest = F.col("__quota") - rounds * F.col("__source_size")
     extra = F.greatest(F.lit(0), F.least(F.col("__size"), rest - start))
     taken = rounds * F.col("__size") + extra
-    tree = shard_tree(targets, n_shards, block, seed)
-    tree = F.broadcast(tree) if n_sources + n_shards * BLOCKS_PER_SHARD <= BROADCAST_ROWS else tree
-    placed = placed.withColumns({"mix_taken": taken, "__block": F.when(taken > 0, F.floor(start / block)).cast("int")}).join(tree, ["__src", "__block"], "left")
-    out = placed.withColumns({"mix_size": F.col("__size"), "mix_source_size": F.col("__source_size"), "mix_target": F.col("__target"), "mix_shard": F.col("__shard")})
-    return out.select(*[f"`{c}`" for c in rows.columns if c not in ("__size", "__hash")], "mix_size", "mix_source_size", "mix_target", "mix_taken", "mix_shard")
+    # the shards of a source's blocks in their order; all sources together have at most n_shards * BLOCKS_PER_SHARD blocks and one more each
+    dealt = shard_tree(targets, n_shards, block, seed).groupBy("__src").agg(F.transform(F.array_sort(F.collect_list(F.struct("__block", "__shard"))), lambda x: x["__shard"]).alias("__shards"))
+    placed = placed.withColumns({"mix_taken": taken, "__start": start}).join(few(dealt), "__src", "left")
+    n_rounds = F.when(F.col("mix_taken") > 0, rounds + F.when(extra > 0, 1).otherwise(0)).otherwise(0).cast("int")
+    placed = placed.withColumn("__from", F.when(n_rounds > 0, F.transform(F.sequence(F.lit(0), n_rounds - 1), lambda r: r * F.col("__source_size") + F.col("__start"))).otherwise(F.array().cast("array<bigint>")))
+    until = lambda at: F.least(at + F.col("__size"), F.col("__quota"))
+    spans = lambda at: F.sequence(F.floor(at / block), F.floor((until(at) - 1) / block))
+    piece = lambda at, b: F.struct(
+        F.greatest(at, b * block).alias("start"), (F.least(until(at), (b + 1) * block) - F.greatest(at, b * block)).alias("words"), F.get("__shards", b.cast("int")).alias("shard"),
+        F.xxhash64(F.lit(seed), F.lit("piece"), "__src", F.greatest(at, b * block)).alias("hash"),
+    )
+    pieces = F.flatten(F.transform("__from", lambda at: F.transform(spans(at), lambda b: piece(at, b))))
+    shards = F.transform("__from", lambda at: F.get("__shards", F.floor(at / block).cast("int")))
+    out = placed.withColumns({"mix_size": F.col("__size"), "mix_source_size": F.col("__source_size"), "mix_target": F.col("__target"), "mix_shard": F.get(shards, F.lit(0)), "mix_shards": shards, "mix_pieces": pieces})
+    return out.select(*[f"`{c}`" for c in rows.columns if c not in ("__size", "__hash")], "mix_size", "mix_source_size", "mix_target", "mix_taken", "mix_shard", "mix_shards", "mix_pieces")
 
 
 def mixing_report(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, size, source_size, target, taken, shard."""
+    """doc_id, size, source_size, target, taken, shard, pieces."""
     sizes = cut(sized(docs.select("doc_id", "source", "text")).select("doc_id", "source", "__size", "__hash"))
     out = mix_plan(sizes, sizes, **options)
-    return out.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken"), F.col("mix_shard").alias("shard"))
+    return out.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken"), F.col("mix_shard").alias("shard"), F.col("mix_pieces").alias("pieces"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
@@ -143,4 +156,4 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     sizes = cut(rows.select("doc_id", "source", "__size", "__hash"))
     plan = mix_plan(rows, sizes, **options)
     copies = F.when(F.col("mix_size") > 0, F.floor(F.col("mix_taken") / F.col("mix_size") + 0.5)).otherwise(F.lit(0)).cast("int")
-    return plan.where(copies > 0).select(*[f"`{c}`" for c in docs.columns], F.explode(F.sequence(F.lit(1), copies)).alias("mix_copy"), "mix_shard")
+    return plan.where(copies > 0).select(*[f"`{c}`" for c in docs.columns], F.posexplode(F.slice("mix_shards", 1, copies)).alias("__copy", "mix_shard")).select(*[f"`{c}`" for c in docs.columns], (F.col("__copy") + 1).alias("mix_copy"), "mix_shard")

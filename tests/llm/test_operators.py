@@ -104,6 +104,25 @@ def test_op2_caps_reshare(spark):
     assert abs(got[1].target - 1780 / 3) < 1e-9 and abs(got[2].target - 2 * 1780 / 3) < 1e-9
 
 
+def test_op2_shards_get_what_the_tree_deals(spark):
+    rows = [(i, "w " * (1 + i * 7 % 90), "en", ("a", "b", "c")[i % 50 // 24], 1) for i in range(1000)]
+    df = spark.createDataFrame(rows, DOCS)
+    sizes = mixing.sized(df)
+    targets, words = mixing.source_targets(sizes), sizes.agg(F.sum("__size")).first()[0]
+    block = -(-words // (mixing.N_SHARDS * mixing.BLOCKS_PER_SHARD))
+    quota, want = {r["__src"]: r["__quota"] for r in targets.collect()}, {}
+    assert any(r.target > 2 * r.source_size for r in targets.collect())
+    for r in mixing.shard_tree(targets, mixing.N_SHARDS, block).collect():
+        key = ("abc"[r["__src"] - 1], r["__shard"])
+        want[key] = want.get(key, 0) + min(block, quota[r["__src"]] - r["__block"] * block)
+    got = mixing.mixing_report(df)
+    assert all(sum(p.words for p in r.pieces) == r.taken and (not r.pieces or r.shard == r.pieces[0].shard) for r in got.collect())
+    flat = got.join(df.select("doc_id", "source"), "doc_id").select("source", F.explode("pieces").alias("p")).groupBy("source", "p.shard").agg(F.sum("p.words").alias("n"))
+    assert {(r.source, r.shard): r.n for r in flat.collect()} == want
+    copies = mixing.mix(df).where("source = 'c'").groupBy("doc_id").agg(F.count("*").alias("n"), F.count_distinct("mix_shard").alias("k")).collect()
+    assert max(r.n for r in copies) == 3 and max(r.k for r in copies) > 1
+
+
 def test_op2_copies_are_whole(spark):
     df = frame(spark, [("w " * (1 + i % 37)) for i in range(60)])
     out = mixing.mix(df)
