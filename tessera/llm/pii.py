@@ -29,7 +29,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import cut
+from tessera.llm.shared import aside, back, cut
 from tessera.llm.textblock import whole_text
 
 _LOCAL = r"[A-Za-z0-9._%+-]"
@@ -182,19 +182,19 @@ def boost(cells: list[tuple[dict, int, int]], rounds: int = ROUNDS, rate: float
     return model
 
 
-def _proposed(docs: DataFrame) -> DataFrame:
-    """doc_id, the base spans of each kind, and all proposals with their categories."""
+def _proposed(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns of ``carry``, the base spans of each kind, and all proposals with their categories."""
     text = whole_text()
-    found = docs.select("doc_id", *[x.alias(k) for k, x in base_spans(text).items()], *[spans(text, p, F.rlike(text, F.lit(g))).alias(f"p_{k}") for k, (p, g) in PROPOSALS.items()])
+    found = docs.select("doc_id", *carry, *[x.alias(k) for k, x in base_spans(text).items()], *[spans(text, p, F.rlike(text, F.lit(g))).alias(f"p_{k}") for k, (p, g) in PROPOSALS.items()])
     slim = lambda c: F.transform(c, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))
     cell = lambda i: lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), *[v.cast("int").alias(k) for k, v in _categories(i, x).items()])
     cands = F.concat(*[F.transform(f"p_{k}", cell(i)) for i, k in enumerate(PROPOSALS)])
-    return found.select("doc_id", *[slim(k).alias(k) for k in BASE_KINDS], cands.alias("cands"))
+    return found.select("doc_id", *carry, *[slim(k).alias(k) for k in BASE_KINDS], cands.alias("cands"))
 
 
-def find_personal_data(docs: DataFrame) -> DataFrame:
-    """doc_id, the spans of each base kind, and ``extra``: selected proposals that touch none of them."""
-    found = cut(_proposed(docs.select("doc_id", "text")))
+def find_personal_data(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns of ``carry``, the spans of each base kind, and ``extra``: selected proposals that touch none of them."""
+    found = cut(_proposed(docs, carry))
     base = F.concat(*BASE_KINDS)
     touches = lambda x: F.exists(base, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
     marked = found.select(F.explode(F.transform("cands", lambda x: F.struct(touches(x).alias("hit"), *[x[k].alias(k) for k in CATEGORIES]))).alias("x")).select("x.*")
@@ -206,7 +206,7 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     else:
         chosen = F.filter("cands", lambda x: (model.column(x) >= model.threshold) & ~touches(x))
         extra = F.array_distinct(F.transform(chosen, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"))))
-    return found.select("doc_id", *BASE_KINDS, extra.alias("extra"))
+    return found.select("doc_id", *carry, *BASE_KINDS, extra.alias("extra"))
 
 
 def personal_data_report(docs: DataFrame) -> DataFrame:
@@ -223,8 +223,15 @@ def personal_data_report(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, mask: str = "<private>") -> DataFrame:
-    """doc_id and text with base formats masked, one kind after another."""
+    """The documents with exactly the spans of find_personal_data masked, extra ones included; spans that overlap get one mask."""
+    hidden = aside(docs, "doc_id", "text")
+    carry = tuple(c for c in hidden.columns if c != "doc_id")
+    found = find_personal_data(hidden, carry)
+    bare = lambda c: F.transform(c, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))
+    every = F.array_sort(F.concat(*[bare(k) for k in (*BASE_KINDS, "extra")]))
     text = F.col("text")
-    for pattern in (EMAIL, IP, PHONE):
-        text = F.regexp_replace(text, pattern, mask)
-    return docs.withColumn("text", text)
+    before = lambda acc, x: F.when(x["s"] >= acc["at"], F.concat(F.substring(text, acc["at"] + 1, x["s"] - acc["at"]), F.lit(mask))).otherwise(F.lit(""))
+    step = lambda acc, x: F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.concat(acc["out"], before(acc, x)).alias("out"))
+    masked = F.aggregate(every, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    i = docs.columns.index("text")
+    return back(found.withColumn(f"__d{i}", F.when(text.isNotNull(), masked)), docs)

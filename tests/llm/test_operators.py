@@ -243,6 +243,14 @@ def test_op7_against_brute_force(spark):
     assert [(r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in got] == [brute.op7(t) for t in texts]
 
 
+def test_op7_redact_masks_the_spans_found(spark):
+    texts = ["é pay 4111 1111 1111 1111 or a@b.com now", "no 300.1.1.1 but 10.0.0.1 and +1-2", None, "plain"]
+    df = frame(spark, texts).withColumn("extra", F.lit(7))
+    out = pii.redact(df).orderBy("doc_id")
+    assert out.columns == df.columns
+    assert [r.text for r in out.collect()] == ["é pay <private> or <private> now", "no 300.1.1.1 but <private> and +1-2", None, "plain"]
+
+
 def test_op7_boosting_selects_sure_proposals(spark):
     cell = lambda kind, lead: {"kind": kind, "size": 2, "gaps": 3, "lead": lead, "near": 0, "check": 0}
     model = pii.boost([(cell(0, 1), 1000, 990), (cell(0, 0), 1000, 20), (cell(1, 0), 30, 0)])
