@@ -10,14 +10,15 @@ segments: stretches of windows that always occur together.
 The same is done across runs: a segment links to the one that follows it in a text, and where
 a link is the only one on both its ends, the two belong to one path.  Each occurrence
 of a path is then one row (document, start, length).  The source of a path is its first
-occurrence, smallest doc_id and then smallest start; an occurrence is held against
-its source's length and digest before its words are removed, and where they
-should differ, its segments are judged one by one against their own sources.
+occurrence, smallest doc_id and then smallest start.  Words are removed only where they were
+verified: runs, windows and segments are named by 128-bit digests of their very words, so the hashes
+that the candidate search groups by decide nothing, and an occurrence is held against the coordinates of its source
+segment by segment.
 
 Copies cost one row each, never a pair; all groups meet as sums over keys.
 
 Cases: null and empty texts have no words; texts of fewer words than a window keep
-all; rows with equal doc_id are at one place in the order, so neither is earlier
+all; very long texts are cut into overlapping pieces for the search and rebuilt whole; rows with equal doc_id are at one place in the order, so neither is earlier
 than the other at an equal start; a null doc_id comes before all others; an empty table gives an empty result;
 other columns don't matter.
 """
@@ -28,19 +29,22 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.repeats import bit_table, find_runs, keyed, repeated_runs, tokens
 from tessera.llm.shared import cut
-from tessera.llm.textblock import NOT_SPACE, covered, emit_blocks, lists, map_blocks, prefix_hash, signed, span_hash, word_bounds
+from tessera.llm.textblock import NOT_SPACE, covered, emit_blocks, lists, map_blocks, signed, strong, word_bounds
 
 WIDTH = 20
 K = 6
 
 
 def _candidates(docs: DataFrame, runs: DataFrame, width: int, k: int) -> DataFrame:
-    """(gram, digest, doc_id, th, lo, n, windows): runs that may repeat; hashes of their windows where the k-gram has several digests."""
+    """(gram, digest, doc_id, th, lo, n, seg, seg2, windows, windows2): runs that may repeat, named by 128 bits of their words.
+
+    Where the k-gram has several digests, also 128 bits of each window, once a block.
+    """
     many = docs.sparkSession.sparkContext.broadcast(bit_table(runs, "gram", runs.count()))
     mixed_runs = runs.where("kinds > 1")
     mixed = docs.sparkSession.sparkContext.broadcast(bit_table(mixed_runs, "gram", mixed_runs.count()))
@@ -50,90 +54,117 @@ def _candidates(docs: DataFrame, runs: DataFrame, width: int, k: int) -> DataFra
         found = find_runs(values, at, width, k)
         keep = np.flatnonzero(many.value.has(found.gram))
         gram, digest, doc, lo, n = (getattr(found, f)[keep] for f in ("gram", "digest", "doc", "lo", "n"))
-        _, first = np.unique(digest, return_index=True)
+        words = buf.tobytes().split()  # of a block: no word goes on from one text to the next, as texts are parted in tokens()
+        if len(words) != len(values):
+            words = [w for i in range(len(off) - 1) for w in buf[off[i] : off[i + 1]].tobytes().split()]
+        begin = at[doc] + lo
+        seg = strong([b" ".join(words[a : a + m]) for a, m in zip(begin.tolist(), (n - 1 + width).tolist(), strict=True)])
+        _, first = np.unique(seg, axis=1, return_index=True) if len(keep) else (None, np.zeros(0, dtype=np.int64))
         opened = np.zeros(len(keep), dtype=bool)
         opened[first[mixed.value.has(gram[first])]] = True
         counts = np.where(opened, n, 0)
-        starts = np.repeat(at[doc] + lo - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-        hashes = span_hash(prefix_hash(values), starts, starts + width)
-        windows = lists(signed(hashes), counts)
+        starts = np.repeat(begin - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+        each = strong([b" ".join(words[a : a + width]) for a in starts.tolist()])
         ids, hashes_of = (rows.column(i).take(pa.array(doc)) for i in range(2))  # not the texts
-        return {"gram": signed(gram), "digest": signed(digest), "doc_id": ids, "th": hashes_of, "lo": lo.astype(np.int64), "n": n.astype(np.int64), "windows": windows}
+        return {
+            "gram": signed(gram), "digest": signed(digest), "doc_id": ids, "th": hashes_of, "lo": lo.astype(np.int64), "n": n.astype(np.int64),
+            "seg": seg[0], "seg2": seg[1], "windows": lists(each[0], counts), "windows2": lists(each[1], counts),
+        }
+
+    return emit_blocks(docs, find, "gram bigint, digest bigint, doc_id bigint, th bigint, lo bigint, n bigint, seg bigint, seg2 bigint, windows array<bigint>, windows2 array<bigint>", ["doc_id", "__th"])
+
+
+def _same(*cols: str) -> Column:
+    """All rows of a group agree in these columns (named c0 and c1 for the least and the greatest of c)."""
+    out = F.lit(True)
+    for c in cols:
+        out = out & (F.col(f"{c}0") == F.col(f"{c}1"))
+    return out
+
 
-    return emit_blocks(docs, find, "gram bigint, digest bigint, doc_id bigint, th bigint, lo bigint, n bigint, windows array<bigint>", ["doc_id", "__th"])
+def _ends(*cols: str) -> list[Column]:
+    return [f(c).alias(f"{c}{i}") for c in cols for i, f in enumerate((F.min, F.max))]
+
+
+def _only(*cols: str) -> list[Column]:
+    """Each column's one value in the group, zeros where there are several."""
+    return [F.when(_same(*cols), F.col(f"{c}0")).otherwise(0).alias(c) for c in cols]
 
 
 def _pieces(opened: DataFrame) -> DataFrame:
-    """(gram, digest, pieces) of distinct runs: their stretches of windows that always occur together, repeated ones only.
+    """(gram, seg, seg2, pieces) of distinct runs: their stretches of windows that always occur together, repeated ones only.
 
-    ``opened`` has gram, digest, cnt and windows, a row for each distinct run.
+    ``opened`` has gram, seg, seg2, cnt and the windows, a row for each distinct run.
     """
-    each = opened.select("gram", "digest", "cnt", "windows", F.posexplode("windows").alias("i", "w"))
+    run = ["gram", "seg", "seg2"]
+    each = opened.select(*run, "cnt", F.posexplode(F.arrays_zip("windows", "windows2")).alias("i", "x"), "windows", "windows2")
+    near = lambda c, by: F.coalesce(F.try_element_at(c, F.col("i") + 1 + by), F.lit(0)) if by > 0 else F.when(F.col("i") > 0, F.try_element_at(c, F.greatest(F.col("i"), F.lit(1)))).otherwise(F.lit(0))
     each = each.select(
-        "gram", "digest", "cnt", "i", "w",
-        F.coalesce(F.try_element_at("windows", F.col("i") + 2), F.lit(0)).alias("after"),
-        F.when(F.col("i") > 0, F.try_element_at("windows", F.greatest(F.col("i"), F.lit(1)))).otherwise(F.lit(0)).alias("before"),
+        *run, "cnt", "i", F.col("x.windows").alias("w"), F.col("x.windows2").alias("w2"),
+        near("windows", 1).alias("next"), near("windows2", 1).alias("next2"), near("windows", -1).alias("prev"), near("windows2", -1).alias("prev2"),
     )
-    stats = each.groupBy("gram", "w").agg(
-        F.sum("cnt").alias("total"), F.min("after").alias("after0"), F.max("after").alias("after1"), F.min("before").alias("before0"), F.max("before").alias("before1")
-    )
-    stats = stats.where("total > 1").select("gram", "w", F.when(F.col("after0") == F.col("after1"), F.col("after0")).otherwise(0).alias("next"), F.when(F.col("before0") == F.col("before1"), F.col("before0")).otherwise(0).alias("prev"))
-    known = each.join(stats, ["gram", "w"]).select("gram", "digest", "i", "w", "next", "prev")
-    run = Window.partitionBy("gram", "digest").orderBy("i")
-    glued = (F.lag("i").over(run) == F.col("i") - 1) & (F.lag("next").over(run) == F.col("w")) & (F.col("prev") == F.lag("w").over(run))
-    cuts = known.withColumn("head", F.when(F.coalesce(glued, F.lit(False)), 0).otherwise(1)).withColumn("piece", F.sum("head").over(run))
-    pieces = cuts.groupBy("gram", "digest", "piece").agg(F.min("i").alias("i"), F.count("*").alias("n"), F.min_by("w", "i").alias("seg"))
-    return pieces.groupBy("gram", "digest").agg(F.sort_array(F.collect_list(F.struct("i", "n", "seg"))).alias("pieces"))
+    stats = each.groupBy("gram", "w", "w2").agg(F.sum("cnt").alias("total"), *_ends("next", "next2", "prev", "prev2"))
+    stats = stats.where("total > 1").select("gram", "w", "w2", *_only("next", "next2"), *_only("prev", "prev2"))
+    known = each.select(*run, "i", "w", "w2").join(stats, ["gram", "w", "w2"])
+    line = Window.partitionBy(*run).orderBy("i")
+    before = lambda c: F.lag(c).over(line)
+    glued = (before("i") == F.col("i") - 1) & (before("next") == F.col("w")) & (before("next2") == F.col("w2")) & (F.col("prev") == before("w")) & (F.col("prev2") == before("w2"))
+    cuts = known.withColumn("head", F.when(F.coalesce(glued, F.lit(False)), 0).otherwise(1)).withColumn("piece", F.sum("head").over(line))
+    first = F.min(F.struct("i", "w", "w2")).alias("f")
+    pieces = cuts.groupBy(*run, "piece").agg(first, F.count("*").alias("n"))
+    return pieces.groupBy(*run).agg(F.sort_array(F.collect_list(F.struct("f.i", "n", F.col("f.w").alias("seg"), F.col("f.w2").alias("seg2")))).alias("pieces"))
 
 
 def segments(docs: DataFrame, width: int = WIDTH, k: int = K) -> DataFrame:
-    """(doc_id, th, at, n, seg): every occurrence of every repeated segment."""
+    """(doc_id, th, at, n, seg, seg2): every occurrence of every repeated segment."""
     runs = repeated_runs(docs, "word", width, k)
     places = cut(_candidates(docs, runs, width, k).join(runs, ["gram", "digest"]))
-    plain = places.where("kinds = 1").select("doc_id", "th", F.col("lo").alias("at"), "n", F.col("digest").alias("seg"))
-    opened = places.where("kinds > 1 and size(windows) > 0").groupBy("gram", "digest").agg(F.first("cnt").alias("cnt"), F.first("windows").alias("windows"))
-    pieces = cut(_pieces(opened))  # written, so that a digest with many places can be split in the join
-    mixed = places.where("kinds > 1").select("gram", "digest", "doc_id", "th", "lo").join(pieces, ["gram", "digest"])
-    mixed = mixed.select("doc_id", "th", "lo", F.explode("pieces").alias("p")).select("doc_id", "th", (F.col("lo") + F.col("p.i")).alias("at"), F.col("p.n").alias("n"), F.col("p.seg").alias("seg"))
+    plain = places.where("kinds = 1").select("doc_id", "th", F.col("lo").alias("at"), "n", "seg", "seg2")
+    # counted anew under the names of 128 bits: runs that only share a digest are told apart here
+    opened = places.where("kinds > 1").groupBy("gram", "seg", "seg2").agg(F.count("*").alias("cnt"), *[F.first(F.when(F.size(c) > 0, F.col(c)), ignorenulls=True).alias(c) for c in ("windows", "windows2")])
+    pieces = cut(_pieces(opened.where("windows is not null")))  # written, so that a run with many places can be split in the join
+    mixed = places.where("kinds > 1").select("gram", "seg", "seg2", "doc_id", "th", "lo").join(pieces, ["gram", "seg", "seg2"])
+    mixed = mixed.select("doc_id", "th", "lo", F.explode("pieces").alias("p")).select("doc_id", "th", (F.col("lo") + F.col("p.i")).alias("at"), F.col("p.n").alias("n"), F.col("p.seg").alias("seg"), F.col("p.seg2").alias("seg2"))
     return plain.unionByName(mixed)
 
 
 def paths(found: DataFrame) -> DataFrame:
-    """(doc_id, th, at, n, head, digest, parts): every occurrence of every path without branches.
+    """(doc_id, th, at, n, source, parts): every occurrence of every path without branches.
 
     ``parts`` are its segments, each with its own first place.
     """
     text = Window.partitionBy("doc_id", "th").orderBy("at")
     follows = F.lead("at").over(text) == F.col("at") + F.col("n")
     preceded = F.lag("at").over(text) + F.lag("n").over(text) == F.col("at")
-    linked = cut(found.withColumns({"after": F.when(follows, F.lead("seg").over(text)).otherwise(F.lit(0)), "before": F.when(preceded, F.lag("seg").over(text)).otherwise(F.lit(0))}))
-    nodes = linked.groupBy("seg").agg(
-        F.min("after").alias("after0"), F.max("after").alias("after1"), F.min("before").alias("before0"), F.max("before").alias("before1"), F.min(F.struct("doc_id", "at")).alias("first")
-    )
-    nodes = cut(nodes.select("seg", "first", F.when(F.col("after0") == F.col("after1"), F.col("after0")).otherwise(0).alias("next"), F.when(F.col("before0") == F.col("before1"), F.col("before0")).otherwise(0).alias("prev")))
-    glued = nodes.where("prev != 0").alias("b").join(nodes.where("next != 0").alias("a"), (F.col("b.prev") == F.col("a.seg")) & (F.col("a.next") == F.col("b.seg")) & (F.col("a.seg") != F.col("b.seg")))
-    nodes = nodes.join(glued.select(F.col("b.seg").alias("seg"), F.lit(True).alias("glued")), "seg", "left").select("seg", "first", F.coalesce("glued", F.lit(False)).alias("glued"))
-    nodes = cut(nodes)  # likewise for a segment with many places
-    placed = linked.select("doc_id", "th", "at", "n", "seg", "before").join(nodes, "seg")
-    head = F.when(F.col("glued") & (F.col("before") != 0), 0).otherwise(1)
+    beside = lambda how, there, c: F.when(there, how(c).over(text)).otherwise(F.lit(0))
+    linked = cut(found.withColumns({"next": beside(F.lead, follows, "seg"), "next2": beside(F.lead, follows, "seg2"), "prev": beside(F.lag, preceded, "seg"), "prev2": beside(F.lag, preceded, "seg2")}))
+    nodes = linked.groupBy("seg", "seg2").agg(*_ends("next", "next2", "prev", "prev2"), F.min(F.struct("doc_id", "at")).alias("first"))
+    nodes = cut(nodes.select("seg", "seg2", "first", *_only("next", "next2"), *_only("prev", "prev2")))
+    is_ = lambda b, a: (F.col(f"b.{b}") == F.col(f"a.{a}")) & (F.col(f"b.{b}2") == F.col(f"a.{a}2"))
+    glued = nodes.where("prev != 0 or prev2 != 0").alias("b").join(nodes.where("next != 0 or next2 != 0").alias("a"), is_("prev", "seg") & is_("seg", "next") & ~is_("seg", "seg"))
+    nodes = nodes.join(glued.select(F.col("b.seg").alias("seg"), F.col("b.seg2").alias("seg2"), F.lit(True).alias("glued")), ["seg", "seg2"], "left")
+    nodes = cut(nodes.select("seg", "seg2", "first", F.coalesce("glued", F.lit(False)).alias("glued")))  # likewise for a segment with many places
+    placed = linked.select("doc_id", "th", "at", "n", "seg", "seg2", ((F.col("prev") != 0) | (F.col("prev2") != 0)).alias("joined")).join(nodes, ["seg", "seg2"])
+    head = F.when(F.col("glued") & F.col("joined"), 0).otherwise(1)
     numbered = placed.withColumn("path", F.sum(head).over(text))
-    return numbered.groupBy("doc_id", "th", "path").agg(
-        F.min("at").alias("at"), F.sum("n").alias("n"), F.min_by("seg", "at").alias("head"), F.min_by("first", "at").alias("source"), F.sort_array(F.collect_list(F.struct("at", "n", "seg", "first"))).alias("parts")
-    ).withColumn("digest", F.xxhash64(F.transform("parts", lambda p: p["seg"])))
+    return numbered.groupBy("doc_id", "th", "path").agg(F.sort_array(F.collect_list(F.struct("at", "n", "seg", "seg2", "first"))).alias("parts")).select(
+        "doc_id", "th", F.col("parts")[0]["at"].alias("at"), F.aggregate("parts", F.lit(0).cast("bigint"), lambda acc, p: acc + p["n"]).alias("n"), F.col("parts")[0]["first"].alias("source"), "parts"
+    )
 
 
 def later_spans(docs: DataFrame, width: int = WIDTH, k: int = K) -> DataFrame:
-    """(doc_id, th, spans): word spans covered by windows that start earlier too, in any order."""
+    """(doc_id, th, spans): word spans covered by windows that start earlier too, in any order.
+
+    An occurrence is held against its source segment by segment: each is named by 128 bits of its words, and
+    stands at the source's own distance from the path's start, or else is judged against its own first place.
+    """
     found = paths(segments(docs, width, k))
-    alike = found.groupBy("head").agg((F.min("digest") == F.max("digest")).alias("d"), (F.min("n") == F.max("n")).alias("l"))
-    odd = cut(alike.where("not (d and l)").select("head"))  # occurrences that don't agree with their source: none, unless hashes collide
-    at_source = lambda place, source: (F.col(source)["doc_id"].eqNullSafe(F.col("doc_id"))) & (F.col(source)["at"] == F.col(place))
-    whole = found if odd.isEmpty() else found.join(odd, "head", "left_anti")
-    spans = whole.where(~at_source("at", "source")).select("doc_id", "th", "at", "n")
-    if not odd.isEmpty():
-        single = found.join(odd, "head", "left_semi").select("doc_id", "th", F.explode("parts").alias("p")).select("doc_id", "th", F.col("p.at").alias("at"), F.col("p.n").alias("n"), F.col("p.first").alias("source"))
-        spans = spans.unionByName(single.where(~at_source("at", "source")).select("doc_id", "th", "at", "n"))
-    return spans.groupBy("doc_id", "th").agg(F.collect_list(F.struct(F.col("at").alias("a"), (F.col("at") + F.col("n") - 1 + width).alias("b"))).alias("spans"))
+    at_source = lambda place, source: (source["doc_id"].eqNullSafe(F.col("doc_id"))) & (source["at"] == place)
+    whole = F.forall("parts", lambda p: p["first"]["doc_id"].eqNullSafe(F.col("source.doc_id")) & (p["first"]["at"] - F.col("source.at") == p["at"] - F.col("at")))
+    later = F.filter("parts", lambda p: ~at_source(p["at"], p["first"]))
+    spans = F.when(whole, F.when(~at_source(F.col("at"), F.col("source")), F.array(F.struct(F.col("at").alias("at"), F.col("n").alias("n"))))).otherwise(F.transform(later, lambda p: F.struct(p["at"].alias("at"), p["n"].alias("n"))))
+    spans = found.select("doc_id", "th", F.explode(spans).alias("x"))
+    return spans.groupBy("doc_id", "th").agg(F.collect_list(F.struct(F.col("x.at").alias("a"), (F.col("x.at") + F.col("x.n") - 1 + width).alias("b"))).alias("spans"))
 
 
 def remove_later(docs: DataFrame, width: int = WIDTH, k: int = K) -> DataFrame:

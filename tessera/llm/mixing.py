@@ -9,21 +9,22 @@ its left half a uniform draw without replacement, so the counts of sources that
 a shard gets are multivariate hypergeometric, and the sums over shards are exact.
 A round of a document stands at round*source_size + its start on the line of its source's quota; where it
 crosses an edge of blocks it is split, so every dealt block is filled.  ``mixing_report`` names the shard of a
-document's first word and all its pieces; each piece has a hash, and inside a shard the order is by that hash.
+document's first word and all its pieces; each piece has a hash, and inside a shard the order is by that hash
+(``mixed_pieces`` gives each its slot).
 
 A line is never sorted whole: documents fall in buckets by hash, small tables of
 bucket sums give each bucket its offset, and running sums stay within buckets.  A source that
 holds a third of all rows has as many more buckets.
 
 Cases: a null or empty text has size 0 and takes nothing; a null source is a
-source of its own, last; sources of size 0 have target 0; repeated rows stand on
-the line twice; an empty table gives an empty result.  Working columns begin
+source of its own, last; very long texts may be taken in part; sources of size 0 have target 0; repeated rows stand on
+the line twice, and ties of the hash are ordered by doc_id and size; an empty table gives an empty result.  Working columns begin
 with __ and those returned with mix_, so columns of other names pass through.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.shared import BROADCAST_ROWS, cut
@@ -34,6 +35,8 @@ MAX_ROUNDS = 3
 ROWS_PER_BUCKET = 4_000
 N_SHARDS = 16
 BLOCKS_PER_SHARD = 64
+#: Buckets of a rank, as a power of two.
+RANK_BITS = 12
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -48,49 +51,57 @@ def sized(docs: DataFrame, seed: int = 1) -> DataFrame:
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_rounds: int = MAX_ROUNDS) -> DataFrame:
-    """(source, __src, source_size, target, quota): one row for each source.
+    """(source, __src, source_size, target, __quota): one row for each source.
 
-    With sources in order of max_rounds*size/weight, the first whose share of what
-    the earlier ones leave is within its own limit sets the level; those before it stop at their
-    limit.  That is where resharing the excess ends.
+    Sources are numbered in order without one task seeing all: range partitions are sorted each, and their counts
+    give each its first number.  The level that targets stand at rises as long as a source at its limit
+    leaves an excess; each round is one sum over all sources.
     """
     per_source = sizes.groupBy("source").agg(F.sum("__size").alias("source_size"))
-    named = per_source.withColumn("__src", F.row_number().over(Window.orderBy(F.col("source").isNull(), "source")))
-    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), ((F.col("__src") - 1) % len(weights) + 1).cast("int"))
-    named = named.withColumns({"w": weight.cast("bigint"), "cap": F.col("source_size") * max_rounds})
-    line = Window.orderBy(F.col("cap") / F.col("w"), "__src")
-    whole = Window.partitionBy()
-    before = line.rowsBetween(Window.unboundedPreceding, -1)
-    after = line.rowsBetween(0, Window.unboundedFollowing)
-    levels = named.withColumns(
-        {
-            "left": F.sum("source_size").over(whole) - F.coalesce(F.sum("cap").over(before), F.lit(0)),
-            "rest": F.sum("w").over(after),
-            "n": F.row_number().over(line),
-        }
-    ).withColumn("fits", F.col("left") * F.col("w") <= F.col("cap") * F.col("rest"))
-    first = F.min(F.when(F.col("fits"), F.struct("n", "left", "rest"))).over(whole)
-    target = F.when(F.col("n") < F.col("level.n"), F.col("cap").cast("double")).otherwise(F.col("level.left").cast("double") * F.col("w") / F.col("level.rest"))
-    out = levels.withColumn("level", first).withColumn("target", F.coalesce(target, F.lit(0.0)))
+    dealt = cut(per_source.repartitionByRange(F.col("source").isNull(), "source").withColumn("__part", F.spark_partition_id()))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    firsts = dealt.groupBy("__part").agg(F.count("*").alias("n")).select("__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__first"))
+    inside = F.row_number().over(Window.partitionBy("__part").orderBy(F.col("source").isNull(), "source"))
+    named = dealt.withColumn("__n", inside).join(F.broadcast(firsts), "__part").withColumn("__src", (F.col("__n") + F.col("__first")).cast("bigint"))
+    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.pmod(F.col("__src") - 1, F.lit(len(weights))) + 1).cast("int"))
+    named = cut(named.select("source", "__src", "source_size", weight.cast("bigint").alias("w"), (F.col("source_size") * max_rounds).alias("cap")))
+    total, weight_sum = named.agg(F.sum("source_size"), F.sum("w")).first()
+    full = (0, 0)  # sums of limits and of weights of the sources at their limits
+    while True:
+        left, rest = (total or 0) - full[0], (weight_sum or 0) - full[1]
+        over = F.col("cap").cast("decimal(38,0)") * rest < F.lit(left).cast("decimal(38,0)") * F.col("w")
+        now = tuple(x or 0 for x in named.where(over).agg(F.sum("cap"), F.sum("w")).first()) if rest else full
+        if now == full:
+            break
+        full = now
+    target = F.when(over, F.col("cap").cast("double")).otherwise(F.lit(float(left)) * F.col("w") / F.lit(float(rest))) if rest else F.col("cap").cast("double")
     quota = F.least(F.col("cap"), F.floor(F.col("target") + 0.5).cast("bigint"))
-    return out.select("source", "__src", "source_size", "target", quota.alias("__quota"))
+    return named.withColumn("target", target).select("source", "__src", "source_size", "target", quota.alias("__quota"))
+
+
+def ranked(rows: DataFrame, group: str, order: Column, ties: list[str], name: str) -> DataFrame:
+    """rows with ``name``, the place (from 1) by ``order``, a 64-bit hash, within ``group``.
+
+    Ranks are found within buckets of the hash; counts of the buckets before give the rest.  ``rows`` is read twice.
+    """
+    rows = rows.withColumn("__h", order).withColumn("__b", F.shiftrightunsigned("__h", 64 - RANK_BITS))
+    line = Window.partitionBy(group).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy(group, "__b").agg(F.count("*").alias("n")).select(group, "__b", F.coalesce(F.sum("n").over(line), F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy(group, "__b").orderBy("__h", *ties))
+    return rows.withColumn("__in", inside).join(before, [group, "__b"]).withColumn(name, F.col("__in") + F.col("__before")).drop("__h", "__b", "__in", "__before")
 
 
 def shard_tree(targets: DataFrame, n_shards: int, block: int, seed: int = 1) -> DataFrame:
-    """(__src, __block, shard): every source's blocks of ``block`` words dealt to output shards."""
+    """(__src, __block, __shard): every source's blocks of ``block`` words dealt to output shards."""
     blocks = targets.where("__quota > 0").select("__src", F.explode(F.sequence(F.lit(0), F.expr(f"(__quota - 1) div {block}"))).alias("__block"))
     nodes = blocks.withColumns({"lo": F.lit(0), "n": F.lit(n_shards)})
     for level in range((n_shards - 1).bit_length()):
-        node = Window.partitionBy("lo")
+        nodes = cut(nodes)
         left = F.floor(F.col("n") / 2)
-        nodes = nodes.withColumns(
-            {
-                "drawn": F.row_number().over(node.orderBy(F.xxhash64(F.lit(seed), F.lit(level), "__src", "__block"), "__src", "__block")),
-                "quota": F.floor(F.count("*").over(node) * left / F.col("n") + 0.5),
-            }
-        )
+        drawn = ranked(nodes, "lo", F.xxhash64(F.lit(seed), F.lit(level), "__src", "__block"), ["__src", "__block"], "drawn")
+        quotas = nodes.groupBy("lo").agg(F.floor(F.count("*") * F.floor(F.first("n") / 2) / F.first("n") + 0.5).alias("quota"))  # a row for each node, n_shards at most
         go_left = (F.col("n") == 1) | (F.col("drawn") <= F.col("quota"))
-        nodes = nodes.select(
+        nodes = drawn.join(F.broadcast(quotas), "lo").select(
             "__src",
             "__block",
             F.when(go_left, F.col("lo")).otherwise(F.col("lo") + left).cast("int").alias("lo"),
@@ -157,3 +168,9 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     plan = mix_plan(rows, sizes, **options)
     copies = F.when(F.col("mix_size") > 0, F.floor(F.col("mix_taken") / F.col("mix_size") + 0.5)).otherwise(F.lit(0)).cast("int")
     return plan.where(copies > 0).select(*[f"`{c}`" for c in docs.columns], F.posexplode(F.slice("mix_shards", 1, copies)).alias("__copy", "mix_shard")).select(*[f"`{c}`" for c in docs.columns], (F.col("__copy") + 1).alias("mix_copy"), "mix_shard")
+
+
+def mixed_pieces(docs: DataFrame, **options) -> DataFrame:
+    """(doc_id, start, words, shard, slot): the mix piece by piece, shuffled inside each shard; slots count from 1."""
+    each = cut(mixing_report(docs, **options).select("doc_id", F.explode("pieces").alias("p")).select("doc_id", "p.start", "p.words", "p.shard", "p.hash"))
+    return ranked(each, "shard", F.col("hash"), ["start", "doc_id"], "slot").select("doc_id", "start", "words", "shard", "slot")

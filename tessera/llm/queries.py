@@ -40,7 +40,7 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return quality_rules.quality_rules(docs).drop("text", "lang")
+    return quality_rules.quality_rules(docs, table(spark, sf_dir, "labels")).drop("text", "lang")
 
 
 def op9_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

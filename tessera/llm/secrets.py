@@ -11,7 +11,7 @@ overlap a match, and for words such as EXAMPLE also those that begin or end with
 
 Cases: null and empty texts have no spans; very long texts are scanned whole, in
 one pass; repeated rows get equal answers; an empty table gives an empty result;
-further columns pass through.
+further columns pass through, and one named like a result is replaced by it.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.shared import aside, back
 from tessera.llm.textblock import whole_text
 
 #: The base formats.
@@ -150,8 +151,8 @@ def scan(text: str) -> tuple[int, int, int, str, str, int]:
 
 def find_secrets(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Counts, digest and all spans (code points, end exclusive) for each document; narrow, no shuffle."""
-    keep = docs.columns if keep is None else keep
     names = ["n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_entropy"]
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,5 +182,7 @@ def redact(docs: DataFrame, mask: str = "<secret>") -> DataFrame:
     def run(texts: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([None if t is None else masked(t, s) for t, s in zip(texts, spans, strict=True)])
 
-    found = find_secrets(docs)
-    return found.withColumn("text", F.pandas_udf(run, "string")("text", "spans")).select(*docs.columns)
+    hidden = aside(docs, "text")
+    i = docs.columns.index("text")
+    found = find_secrets(hidden)
+    return back(found.withColumn(f"__d{i}", F.pandas_udf(run, "string")("text", "spans")), docs)

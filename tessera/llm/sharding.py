@@ -2,8 +2,9 @@
 
 Keys are hashes of texts, so equal texts are neighbours.  A sample of keys,
 drawn with chance in proportion to size, gives quantiles; these split the rows
-into many more ranges than shards.  A range that turns out overfull (a
-group of copies may hold a third of all rows) is subdivided by document.  Exact sums per range
+into many more ranges than shards.  A range that turns out overfull is subdivided: first by more
+bounds in the order of keys, and a key that alone overfills a range (a group of copies may hold a third of all
+rows) is a range of its own, dealt by doc_id to parts.  Smaller groups of equal texts are never parted but by the end of a shard.  Exact sums per range
 then place each row on one line of bytes; each shard takes an equal stretch of the
 line, a row going where its middle lies.  Shards differ by at most the documents at their two ends.
 
@@ -11,14 +12,17 @@ The law is ``bytes``.  The tables of splitters and range sums are bounded by the
 parameters, not by the data; running sums stay within ranges, so no shard is
 sorted whole by one task.
 
-Cases: a null or empty text has 16 bytes and checksum 0; repeated rows are rows of
-their own; with fewer rows than shards some shards stay empty; an empty table
+Cases: a null or empty text has 16 bytes and checksum 0; a very long text is never cut, so its shard may be larger by it;
+ties of the key are ordered by doc_id and size; repeated rows are rows of their own, and those with equal doc_id and text lie
+in one part; with fewer rows than shards some shards stay empty; an empty table
 gives an empty result.  Working columns begin with __, those returned with
 shard_, so columns of other names pass through.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +33,7 @@ N_SHARDS = 40
 RANGES_PER_SHARD = 16
 SAMPLES_PER_RANGE = 50
 OVERFULL = 2.0
+SUBRANGES = 8
 _STEP = 32
 
 
@@ -45,6 +50,23 @@ def splitters(rows: DataFrame, n_ranges: int, total: int, samples: int) -> list[
     return sorted(set(sample.agg(quantiles).first()[0] or []))
 
 
+def subdivided(slim: DataFrame, bounds: list[int], full: float) -> tuple[list[int], dict[int, int]]:
+    """More bounds inside overfull ranges, in the order of keys, and the keys that alone hold more than ``full`` bytes.
+
+    Such a key becomes a range of its own; both lists are bounded by the number of ranges.
+    """
+    ranged = slim.withColumn("__range", range_of(F.col("__key"), bounds))
+    over = [r[0] for r in ranged.groupBy("__range").agg(F.sum("__size").alias("bytes")).where(F.col("bytes") > OVERFULL * full).select("__range").collect()]
+    if not over:
+        return bounds, {}
+    inside = ranged.where(F.col("__range").isin(over))
+    hot = {r["__key"]: r["bytes"] for r in inside.groupBy("__key").agg(F.sum("__size").alias("bytes")).where(F.col("bytes") > full).collect()}
+    rest = inside.where(~F.col("__key").isin(list(hot))) if hot else inside
+    more = [x for r in rest.groupBy("__range").agg(F.percentile_approx("__key", [i / SUBRANGES for i in range(1, SUBRANGES)], 10_000)).collect() for x in r[1]]
+    own = [x for k in hot for x in (k, k + 1) if x < 1 << 63]
+    return sorted({*bounds, *more, *own}), hot
+
+
 def range_of(key: Column, bounds: list[int]) -> Column:
     """How many of the bounds are at or below the key: among every 32nd, then among the 32 there."""
     if not bounds:
@@ -61,12 +83,11 @@ def place(rows: DataFrame, slim: DataFrame, n_shards: int = N_SHARDS) -> DataFra
     if not n_rows:
         return rows.withColumns({"shard_no": F.lit(0), "shard_slot": F.lit(0).cast("bigint")})
     n_ranges = n_shards * RANGES_PER_SHARD
-    bounds = splitters(slim, n_ranges, total, n_ranges * SAMPLES_PER_RANGE)
-    ranged = lambda df: df.withColumn("__range", range_of(F.col("__key"), bounds))
     full = total / n_ranges
-    sums = ranged(slim).groupBy("__range").agg(F.sum("__size").alias("bytes"))
-    parts = cut(sums.select("__range", F.when(F.col("bytes") > OVERFULL * full, F.ceil(F.col("bytes") / full)).otherwise(F.lit(1)).cast("int").alias("__parts")))
-    split = lambda df: ranged(df).join(F.broadcast(parts), "__range").withColumn("__part", F.pmod(F.xxhash64(F.lit(11), "doc_id"), "__parts").cast("int")).drop("__parts")
+    bounds, hot = subdivided(slim, splitters(slim, n_ranges, total, n_ranges * SAMPLES_PER_RANGE), full)
+    ranged = lambda df: df.withColumn("__range", range_of(F.col("__key"), bounds))
+    n_parts = F.create_map(*[F.lit(x) for k, size in hot.items() for x in (k, math.ceil(size / full))]) if hot else None
+    split = lambda df: ranged(df).withColumn("__part", F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.coalesce(F.try_element_at(n_parts, F.col("__key")), F.lit(1))).cast("int") if hot else F.lit(0))
     line = Window.orderBy("__range", "__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = split(slim).groupBy("__range", "__part").agg(F.sum("__size").alias("bytes"), F.count("*").alias("n"))
     offsets = cut(offsets.select("__range", "__part", F.coalesce(F.sum("bytes").over(line), F.lit(0)).alias("__bytes"), F.coalesce(F.sum("n").over(line), F.lit(0)).alias("__rows")))

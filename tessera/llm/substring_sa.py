@@ -9,12 +9,14 @@ repeats if and only if its suffix agrees with a neighbour's over the window's le
 Runs are first trimmed to what any other run of the group reaches on either side.
 
 Groups of more than MAX_RUNS distinct runs aren't given to one task: their windows
-are hashed, counted and joined instead, which says the same of each window.
+are named, counted and joined instead, which says the same of each window.  Runs and windows
+are the same only if 128-bit digests of their bytes are; the suffix arrays compare the bytes.  The weaker hashes
+of the candidate search only form groups.
 
 Cases: null and empty texts have 0 bytes and nothing to remove; texts shorter than
-a window keep all; repeated rows (equal doc_id and text) are two occurrences and
-lose the same bytes; an empty table gives an empty result; other columns don't matter.
-Bytes of a character may be cut apart: strings are of bytes.
+a window keep all; very long texts are searched in overlapping pieces; repeated rows (equal doc_id and text) are two
+occurrences and lose the same bytes; of equal strings none is first, so ties don't arise; an empty table gives an
+empty result; other columns don't matter.  Bytes of a character may be cut apart: strings are of bytes.
 """
 
 from __future__ import annotations
@@ -24,13 +26,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.repeats import bit_table, find_runs, keyed, repeated_runs, tokens
 from tessera.llm.shared import cut
 from tessera.llm.suffix_array import suffix_array
-from tessera.llm.textblock import covered, emit_blocks, map_blocks, prefix_hash, signed, span_hash
+from tessera.llm.textblock import covered, emit_blocks, map_blocks, prefix_hash, signed, span_hash, strong
 
 WIDTH = 400
 K = 300
@@ -119,7 +121,7 @@ def _stretches(starts: np.ndarray, width: int) -> list[tuple[int, int]]:
 
 
 def _candidates(docs: DataFrame, runs: DataFrame, width: int, k: int) -> DataFrame:
-    """(gram, digest, doc_id, th, lo, n, anchor, ctx): runs that may repeat; ctx where others share the k-gram only."""
+    """(gram, doc_id, th, lo, n, anchor, d, d2, ctx): runs that may repeat, with 128 bits of their bytes; ctx where others share the k-gram only."""
     many = docs.sparkSession.sparkContext.broadcast(bit_table(runs, "gram", runs.count()))
     mixed_runs = runs.where("kinds > 1")
     mixed = docs.sparkSession.sparkContext.broadcast(bit_table(mixed_runs, "gram", mixed_runs.count()))
@@ -127,27 +129,30 @@ def _candidates(docs: DataFrame, runs: DataFrame, width: int, k: int) -> DataFra
     def find(buf: np.ndarray, off: np.ndarray, rows: pa.RecordBatch, many=many, mixed=mixed) -> dict:
         found = find_runs(*tokens(buf, off, "byte"), width, k)
         keep = np.flatnonzero(many.value.has(found.gram))
-        gram, digest, doc, lo, n, anchor = (getattr(found, f)[keep] for f in ("gram", "digest", "doc", "lo", "n", "anchor"))
+        gram, doc, lo, n, anchor = (getattr(found, f)[keep] for f in ("gram", "doc", "lo", "n", "anchor"))
         ctx: list[bytes | None] = [None] * len(keep)
-        _, first = np.unique(digest, return_index=True)  # once a block is enough
         raw = buf.tobytes()
+        begin = off[doc] + lo
+        name = strong([b"%d:" % p + raw[a:b] for p, a, b in zip(anchor.tolist(), begin.tolist(), (begin + n - 1 + width).tolist(), strict=True)])
+        _, first = np.unique(name, axis=1, return_index=True) if len(keep) else (None, np.zeros(0, dtype=np.int64))  # once a block is enough
         for i in first[mixed.value.has(gram[first])].tolist():
-            a = int(off[doc[i]] + lo[i])
+            a = int(begin[i])
             p = a + int(anchor[i])
             ctx[i] = raw[a:p] + raw[p + k : a + int(n[i]) - 1 + width]
         ids, hashes_of = (rows.column(i).take(pa.array(doc)) for i in range(2))  # not the texts
         return {
             "gram": signed(gram),
-            "digest": signed(digest),
             "doc_id": ids,
             "th": hashes_of,
             "lo": lo.astype(np.int64),
             "n": n.astype(np.int64),
             "anchor": anchor.astype(np.int32),
+            "d": name[0],
+            "d2": name[1],
             "ctx": pa.array(ctx, pa.binary()),
         }
 
-    return emit_blocks(docs, find, "gram bigint, digest bigint, doc_id bigint, th bigint, lo bigint, n bigint, anchor int, ctx binary", ["doc_id", "__th"])
+    return emit_blocks(docs, find, "gram bigint, doc_id bigint, th bigint, lo bigint, n bigint, anchor int, d bigint, d2 bigint, ctx binary", ["doc_id", "__th"])
 
 
 def _sorted_groups(mixed: DataFrame, width: int, k: int) -> DataFrame:
@@ -182,37 +187,35 @@ def _sorted_groups(mixed: DataFrame, width: int, k: int) -> DataFrame:
             yield flush()
 
     letters = mixed.agg(F.sum(F.octet_length("ctx"))).first()[0] or 0
-    return mixed.repartition(max(1, -(-letters // TASK_LETTERS)), "gram").sortWithinPartitions("gram", "digest").mapInArrow(run, "doc_id bigint, th bigint, a bigint, b bigint")
+    return mixed.repartition(max(1, -(-letters // TASK_LETTERS)), "gram").sortWithinPartitions("gram", "d", "d2").mapInArrow(run, "doc_id bigint, th bigint, a bigint, b bigint")
 
 
 def _counted_windows(mixed: DataFrame, width: int, k: int) -> DataFrame:
-    """The same for groups too large for a task: windows hashed, counted and joined."""
+    """The same for groups too large for a task: windows named by 128 bits of their bytes, counted and joined."""
     w = width - k + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x in batch.to_pylist():
-                text, a = np.frombuffer(x["ctx"], dtype=np.uint8).astype(np.uint64) + np.uint64(1), x["anchor"]
-                text = np.concatenate([text[:a], [np.uint64(300)], text[a:]])
                 at = np.arange(x["n"])
-                h = span_hash(prefix_hash(text), at, at + w)
+                name = strong([b"%d:" % (x["anchor"] - i) + x["ctx"][i : i + w - 1] for i in range(x["n"])])  # where the k-gram stands, and what is around it
                 same = lambda v: pa.array([v] * len(at), pa.int64())
-                yield pa.RecordBatch.from_arrays([same(x["gram"]), pa.array(signed(h)), same(x["cnt"]), same(x["doc_id"]), same(x["th"]), pa.array(at + x["lo"])], names=["gram", "h", "cnt", "doc_id", "th", "a"])
+                yield pa.RecordBatch.from_arrays([same(x["gram"]), *map(pa.array, name), same(x["cnt"]), same(x["doc_id"]), same(x["th"]), pa.array(at + x["lo"])], names=["gram", "h", "h2", "cnt", "doc_id", "th", "a"])
 
-    windows = mixed.mapInArrow(run, "gram bigint, h bigint, cnt bigint, doc_id bigint, th bigint, a bigint")
-    twice = windows.groupBy("gram", "h").agg(F.sum("cnt").alias("total")).where("total > 1")
-    return windows.where("cnt = 1").join(twice, ["gram", "h"], "left_semi").select("doc_id", "th", "a", (F.col("a") + width).alias("b"))
+    windows = mixed.mapInArrow(run, "gram bigint, h bigint, h2 bigint, cnt bigint, doc_id bigint, th bigint, a bigint")
+    twice = windows.groupBy("gram", "h", "h2").agg(F.sum("cnt").alias("total")).where("total > 1")
+    return windows.where("cnt = 1").join(twice, ["gram", "h", "h2"], "left_semi").select("doc_id", "th", "a", (F.col("a") + width).alias("b"))
 
 
 def repeated_stretches(docs: DataFrame, width: int = WIDTH, k: int = K, max_runs: int = MAX_RUNS) -> DataFrame:
     """(doc_id, th, spans): byte spans of each document that a repeated string covers, in any order."""
-    runs = repeated_runs(docs, "byte", width, k)
-    places = cut(_candidates(docs, runs, width, k).join(runs, ["gram", "digest"]))
-    same = places.where("cnt > 1").select("doc_id", "th", F.col("lo").alias("a"), (F.col("lo") + F.col("n") - 1 + width).alias("b"))
-    mixed = places.where("kinds > 1 and ctx is not null").groupBy("gram", "digest").agg(
-        F.first(F.struct("doc_id", "th", "lo", "n", "anchor", "ctx", "cnt")).alias("x"), F.first("kinds").alias("kinds")
-    )
-    mixed = cut(mixed.select("gram", "digest", "x.*", "kinds"))
+    places = cut(_candidates(docs, repeated_runs(docs, "byte", width, k), width, k))
+    run = ["gram", "d", "d2"]
+    names = places.groupBy(*run).agg(F.count("*").alias("cnt"))
+    names = cut(names.withColumn("kinds", F.count("*").over(Window.partitionBy("gram"))).where("cnt > 1 or kinds > 1"))
+    same = places.join(names.where("cnt > 1").select(*run), run).select("doc_id", "th", F.col("lo").alias("a"), (F.col("lo") + F.col("n") - 1 + width).alias("b"))
+    opened = places.where("ctx is not null").groupBy(*run).agg(F.first(F.struct("doc_id", "th", "lo", "n", "anchor", "ctx")).alias("x"))
+    mixed = cut(opened.join(names.where("kinds > 1"), run).select(*run, "cnt", "kinds", "x.*"))
     found = same.unionByName(_sorted_groups(mixed.where(F.col("kinds") <= max_runs), width, k))
     if not mixed.where(F.col("kinds") > max_runs).isEmpty():
         found = found.unionByName(_counted_windows(mixed.where(F.col("kinds") > max_runs), width, k))

@@ -8,6 +8,7 @@ text longer than a block makes a block of its own.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_BYTES = 1 << 18
+LONG_WORD = 255
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -60,7 +62,11 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def prefix_hash(values: np.ndarray) -> np.ndarray:
-    """Running sums of value times power; ``span_hash`` reads any span off them."""
+    """Running sums of value times power; ``span_hash`` reads any span off them.
+
+    These hashes only bring together what may be equal: some texts collide by design of the sum.
+    Whatever decides a result compares the texts, or digests of them (``strong``), besides.
+    """
     out = np.zeros(len(values) + 1, dtype=np.uint64)
     np.cumsum(values * _powers("up", len(values)), out=out[1:])
     return out
@@ -72,6 +78,12 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((prefix[end] - prefix[start]) * down[start] + (end - start).astype(np.uint64))
 
 
+def strong(parts: list[bytes]) -> np.ndarray:
+    """A digest of 128 bits for each part, as two rows of 64-bit integers; equal digests count as equal parts."""
+    raw = b"".join([hashlib.blake2b(x, digest_size=16).digest() for x in parts])
+    return np.frombuffer(raw, dtype=np.int64).reshape(-1, 2).T
+
+
 def byte_values(buf: np.ndarray) -> np.ndarray:
     return _BYTE_VALUES[buf]
 
@@ -91,7 +103,42 @@ def word_bounds(buf: np.ndarray, off: np.ndarray, table: np.ndarray) -> tuple[np
 
 
 def word_values(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return span_hash(prefix_hash(byte_values(buf)), starts, ends)
+    """A hash of each word; of those longer than LONG_WORD, where such sums can be made to collide, part of a digest."""
+    values = span_hash(prefix_hash(byte_values(buf)), starts, ends)
+    for i in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+        values[i] = strong([buf[starts[i] : ends[i]].tobytes()])[0, 0].view(np.uint64)
+    return values
+
+
+def word_ids(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Numbers of words within a block: equal exactly where the bytes are."""
+    _, first, ids = np.unique(word_values(buf, starts, ends), return_index=True, return_inverse=True)
+    length = ends - starts
+    twin = first[ids]
+    same = length == length[twin]
+    if same.all():
+        inside = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+        same = buf[np.repeat(starts, length) + inside] == buf[np.repeat(starts[twin], length) + inside]
+    if same.all():
+        return ids
+    raw, known = buf.tobytes(), {}  # two words with one hash
+    return np.array([known.setdefault(raw[a:b], len(known)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], dtype=np.int64)
+
+
+def window_ids(ids: np.ndarray, width: int) -> np.ndarray:
+    """Numbers of windows of ``width`` neighbours: equal exactly where all their ids are."""
+
+    def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.unique(a * (int(b.max(initial=0)) + 1) + b, return_inverse=True)[1]
+
+    done, span = ids, 1
+    while span * 2 <= width:
+        done = pair(done[:-span], done[span:]) if len(done) > span else done[:0]
+        span *= 2
+    rest = width - span  # the last windows overlap
+    if rest and len(done) > rest:
+        done = pair(done[:-rest], done[rest:])
+    return done if not rest or len(ids) >= width else done[:0]
 
 
 def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -116,14 +163,15 @@ def map_blocks(
     added: str,
     keep: list[str] | None = None,
     text: str = "text",
+    seen: list[str] | None = None,
 ) -> DataFrame:
     """Append columns that ``make(bytes, offsets, rows)`` finds for each block of texts.
 
-    ``keep`` names the columns passed through (all by default).  The text itself
+    ``keep`` names the columns passed through (all by default), ``seen`` those that only ``make`` gets, after them.  The text itself
     goes to Python as the hidden column ``__text``, nulls as the empty text.
     """
-    keep = df.columns if keep is None else keep
-    source = df.select(*[F.col(f"`{c}`") for c in keep], whole_text(text).alias("__text"))
+    keep, seen = df.columns if keep is None else keep, seen or []
+    source = df.select(*[F.col(f"`{c}`") for c in [*keep, *seen]], whole_text(text).alias("__text"))
     kept_schema = df.select(*[F.col(f"`{c}`") for c in keep]).schema
     names = [part.strip().split(" ")[0] for part in _top_level(added)]
 
@@ -134,7 +182,7 @@ def map_blocks(
                 rows = batch.slice(lo, hi - lo)
                 got = make(buf, off, rows)
                 yield pa.RecordBatch.from_arrays(
-                    [*rows.columns[:-1], *[x if isinstance(x, pa.Array) else pa.array(x) for x in got.values()]],
+                    [*rows.columns[: len(keep)], *[x if isinstance(x, pa.Array) else pa.array(x) for x in got.values()]],
                     names=[*keep, *names],
                 )
 

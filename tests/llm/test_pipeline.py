@@ -46,3 +46,17 @@ def test_stages_on_odd_tables(spark):
         out = stage(spark, odd, SF)
         assert out.columns[: len(odd.columns)] == odd.columns, name
         assert out.count() > 0, name
+
+
+def test_near_dedup_decides_on_rows(spark):
+    first, other = near_copies(3)[0], "a wholly different text of quite a few words that nobody else has"
+    rows = [(0, first), (1, first + " more"), (1, other), (2, first), (2, first), (3, other + " x y z"), (None, first), (None, "null id alone here with words"), (7, "twice the same row of words here"), (7, "twice the same row of words here")]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS).withColumn("n", F.lit(5))
+    got = sorted((r.doc_id is None, r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, df, SF).collect())
+    groups = {}
+    for i, t in rows:
+        print_ = brute.op10([(0, t)])[0][0]
+        key = next((k for k in groups if (int(k, 16) ^ int(print_, 16)).bit_count() <= 3), print_)
+        groups.setdefault(key, []).append((i is None, i if i is not None else 0, t))
+    assert len(got) == len(groups) and got.count((False, 7, "twice the same row of words here")) == 1
+    assert (False, 1, other) in got and (True, None, "null id alone here with words") in got and (False, 0, first) in got
