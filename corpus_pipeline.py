@@ -1,38 +1,37 @@
 """A corpus pipeline: five stages, each of which takes whole documents and returns whole documents.
 
-Rows without a doc_id can't be named by a near-duplicate decision and stay.
+A row is named by its doc_id and its text, so nulls and repeated ids are judged like all others: each stage decides on rows,
+and near-duplicates leave one row of each component, also of rows that are equal.  Null and empty texts fail the quality rules;
+very long texts are read whole; an empty table stays empty.  Columns of any name pass through; one called shard_no or shard_slot
+is replaced by the last stage's.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tessera.llm.decontaminate import find_contamination
 from tessera.llm.mixing import mix
 from tessera.llm.quality_rules import quality_rules
 from tessera.llm.sharding import shard
-from tessera.llm.shared import BROADCAST_ROWS, aside, back, cut, table
-from tessera.llm.simhash import near_duplicates
+from tessera.llm.shared import aside, back, cut, table
+from tessera.llm.simhash import one_of_each
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return back(quality_rules(aside(docs, "doc_id", "text", "lang")).where("kept"), docs)
+    return back(quality_rules(aside(docs, "doc_id", "text", "lang"), table(spark, sf_dir, "labels")).where("kept"), docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates the document with the smallest id."""
-    groups = near_duplicates(docs.select("doc_id", "text"))
-    gone = cut(groups.where("doc_id != component_id").select("doc_id").distinct())
-    few = gone.count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    """Of each component of near-duplicates one row: that with the smallest id."""
+    return one_of_each(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any word in a benchmark window."""
     found = find_contamination(aside(docs, "doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    return back(found.where(F.size("hit_spans") == 0), docs)
+    return back(found.where("size(hit_spans) = 0"), docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,6 +41,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with the shard and the slot of each."""
+    docs = docs.drop("shard_no", "shard_slot")
     return back(shard(aside(docs, "doc_id", "text")), docs, "shard_no", "shard_slot")
 
 
