@@ -260,12 +260,42 @@ def test_op7_redact_masks_the_spans_found(spark):
 
 
 def test_op7_boosting_selects_sure_proposals(spark):
-    cell = lambda kind, lead: {"kind": kind, "size": 2, "gaps": 3, "lead": lead, "near": 0, "check": 0}
+    cell = lambda kind, lead: {"kind": kind, "size": 2, "gaps": 3, "form": 0, "lead": lead, "near": 0}
     model = pii.boost([(cell(0, 1), 1000, 990), (cell(0, 0), 1000, 20), (cell(1, 0), 30, 0)])
-    assert model.score_of(cell(0, 1)) >= model.threshold > model.score_of(cell(0, 0))
-    import math
+    assert model.score_of(cell(0, 1)) >= model.thresholds[0] > model.score_of(cell(0, 0)) and 1 not in model.thresholds
+    assert not pii.boost([]).thresholds
+
+
+def test_op7_adds_what_lacks_the_confirming_sign(spark):
+    rng = random.Random(15)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    texts = [f"wa ro +1 ({digits(3)}) 555-{digits(4)} ne so u{i}@mail{i % 7}.example.com, li" for i in range(60)]
+    texts += [f"wa ro 1 ({digits(3)}) 555-{digits(4)} ne" for _ in range(3)] + ["wa u7 [at] mail3 [dot] example [dot] com, li", "a code 1234567 here and 7654321 there", "range 1999-2004 1.2.3.4.5.6.7", None, ""]
+    df = frame(spark, texts)
+    got = pii.personal_data_report(df).orderBy("doc_id").collect()
+    assert [(r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in got] == [brute.op7(t) for t in texts]
+    assert [r.n_extra for r in got] == [0] * 60 + [1] * 4 + [0] * 4
+    # the added spans by plain search
+    import re
 
-    assert math.isinf(pii.boost([]).threshold)
+    for i in range(60, 64):
+        m = re.search(r"1 \([0-9]{3}\) 555-[0-9]{4}" if i < 63 else r"u7 \[at\] mail3 \[dot\] example \[dot\] com", texts[i])
+        assert got[i].spans == f"{'number' if i < 63 else 'mail'}:{m.start()}:{m.end()}"
+    assert [r.text for r in pii.redact(df).orderBy("doc_id").collect()][63] == "wa <private>, li"
+
+
+def test_op7_running_values(spark):
+    for n in (0, 1, 63, 64, 65, 1000):
+        df = spark.createDataFrame([([(i * 37) % 11 for i in range(n)],)], "v array<int>")
+        r = df.select(pii.running(F.col("v"), F.lit(0), lambda a, b: a + b).alias("s"), pii.running(F.col("v"), F.lit(-1), F.greatest).alias("m")).first()
+        v = [(i * 37) % 11 for i in range(n)]
+        assert r.s == [sum(v[:i]) for i in range(n)] and r.m == [max(v[:i], default=-1) for i in range(n)]
+
+
+def test_op7_long_texts(spark):
+    texts = ["x@y.zz " * 20_000, "9" * 40_000 + " 10.0.0.1", "+1 (017) 555-7713 " * 3000]
+    got = pii.personal_data_report(frame(spark, texts)).orderBy("doc_id").collect()
+    assert [(r.n_email, r.n_ip, r.n_phone) for r in got] == [(20_000, 0, 0), (0, 1, 0), (0, 0, 3000)]
 
 
 def test_op8_against_brute_force(spark):
