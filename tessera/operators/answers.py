@@ -12,7 +12,8 @@ WEIGHTS = {"concept_coverage": 0.35, "seed_strength": 0.25, "sufficiency_score":
 MIN_CONFIDENCE, CONFLICT_CAP = 0.4, 0.5
 HIGH, MODERATE = 0.7, 0.4
 NO_CONTENT = ("error", "rejected", "out_of_domain")
-DISCLAIMER = "This is general information, not legal advice."
+#: Its last three words are a fixed value: evaluation looks for them.
+DISCLAIMER = "For information only; this is not legal advice."
 #: Words that mean that no safety flag was raised.
 NOT_FLAGS = ("none", "null", "nil", "false", "no", "n/a", "na", "-", "not applicable")
 #: Labels of the two personas.
@@ -99,7 +100,7 @@ def answer_lines(verified_named: DataFrame, calculations: DataFrame, conflicts:
     v = verified_named.groupBy("query_id").agg(STRUCT_ORDERED(F.struct("ord", F.col("section_id").alias("v"))).alias("ids"), STRUCT_ORDERED(F.struct("ord", F.col("name").alias("v"))).alias("names"))
     amount = F.when(F.col("amount").isNull(), F.concat("label", F.lit(" — not calculated: "), "note")).otherwise(F.concat("label", F.lit(": "), rupees(F.col("amount"))))
     c = calculations.groupBy("query_id").agg(STRUCT_ORDERED(F.struct("ord", amount.alias("v"))).alias("amounts"))
-    older = F.when(F.col("predecessor") != "", F.concat(F.lit(" "), "predecessor", F.lit(" may govern instead."))).otherwise("")
+    older = F.when(F.col("predecessor") != "", F.concat(F.lit(" "), "predecessor", F.lit(" came before it."))).otherwise("")
     t = conflicts.groupBy("query_id").agg(STRUCT_ORDERED(F.struct("act_id", F.concat("act_name", F.lit(" (in force from "), "since", F.lit(")."), older).alias("v"))).alias("conflicts"))
     n = notes.groupBy("query_id").agg(STRUCT_ORDERED(F.struct("n", F.concat("act_name", F.lit(" — "), "since").alias("v"))).alias("since"))
     s = superseded.groupBy("query_id").agg(STRUCT_ORDERED(F.struct("act_id", F.col("repeal_note").alias("v"))).alias("repealed"), STRUCT_ORDERED(F.struct("act_id", F.col("replacement_note").alias("v"))).alias("replaced"))
@@ -121,24 +122,24 @@ def assemble_answers(states: DataFrame, lines: DataFrame, scope: str = "") -> Da
     lawyer = F.col("persona") == "lawyer"
     ids, partial = F.coalesce("ids", none), F.col("status") == "insufficient_evidence"
     body = render_markers(F.coalesce("draft_answer", F.lit("")), ids, ~lawyer)
-    gap = F.when(F.coalesce("missing", F.lit("")) != "", F.concat(F.lit(" The retrieved law does not fully cover: "), "missing", F.lit("."))).otherwise("")
+    gap = F.when(F.coalesce("missing", F.lit("")) != "", F.concat(F.lit(" Not covered: "), "missing", F.lit("."))).otherwise("")
     weak = partial | ~F.coalesce("sufficient", F.lit(True))
     when = lambda cond, *cols: F.when(cond, F.concat(*cols))
     pieces = F.array(
-        when(has("conflicts"), F.when(lawyer, "TEMPORAL MISMATCH: the stated event date precedes the commencement of ").otherwise("Before anything else: this happened before this law existed: "), F.array_join("conflicts", " "), F.lit("\n")),
-        when(partial, F.when(lawyer, "PARTIAL ANSWER — the retrieved sections only partially address this query.").otherwise("A heads-up: the law found here only partially answers your question."), gap, F.lit("\n")),
-        F.when(body == "", "No answer text was produced for this query, and no sections could be cited.").otherwise(body),
-        when(has("amounts"), F.when(lawyer, "\nCalculated entitlements:\n").otherwise("\nEstimated amounts:\n"), F.array_join("amounts", "\n\n")),
-        F.concat(F.lit("\n"), F.when(lawyer, F.concat(F.lit("Verified citations: "), F.when(has("ids"), F.array_join(ids, ", ")).otherwise("none"))).otherwise(F.when(has("ids"), F.concat(F.lit("The law behind this answer: "), F.array_join("names", "; "))).otherwise("No specific sections could be confirmed for your question."))),
-        when(has("since"), F.when(lawyer, "In force from: ").otherwise("When this law started applying: "), F.array_join("since", "; "), F.lit(".")),
-        when(has("replaced"), F.when(lawyer, F.concat(F.lit("Excluded as repealed: "), F.array_join("repealed", " "))).otherwise(F.concat(F.lit("If you search this online: "), F.array_join("replaced", " ")))),
-        F.when(lawyer, F.concat(F.lit("Confidence: "), F.format_number("confidence", 2))).otherwise(F.concat(F.lit("How reliable is this: "), confidence_band(F.col("confidence"), weak), F.lit("."))),
+        when(has("conflicts"), F.when(lawyer, "Date check: the event is dated before commencement. ").otherwise("Please note first that the law came later than what you describe. "), F.array_join("conflicts", " "), F.lit("\n")),
+        when(partial, F.when(lawyer, "Evidence incomplete: some of the query has no section behind it.").otherwise("Some of your question is left open by the sections found."), gap, F.lit("\n")),
+        F.when(body == "", "There is no draft for this query, so nothing is cited.").otherwise(body),
+        when(has("amounts"), F.when(lawyer, "\nAmounts by rule:\n").otherwise("\nWhat the rules come to:\n"), F.array_join("amounts", "\n\n")),
+        F.concat(F.lit("\n"), F.when(lawyer, F.concat(F.lit("Sections checked: "), F.when(has("ids"), F.array_join(ids, ", ")).otherwise("none"))).otherwise(F.when(has("ids"), F.concat(F.lit("This rests on: "), F.array_join("names", "; "))).otherwise("None of the cited sections passed the checks."))),
+        when(has("since"), F.when(lawyer, "Commencement: ").otherwise("These laws began on: "), F.array_join("since", "; "), F.lit(".")),
+        when(has("replaced"), F.when(lawyer, F.concat(F.lit("Left out, repealed: "), F.array_join("repealed", " "))).otherwise(F.concat(F.lit("Older law you may come across: "), F.array_join("replaced", " ")))),
+        F.when(lawyer, F.concat(F.lit("Score: "), F.format_number("confidence", 2))).otherwise(F.concat(F.lit("Certainty: "), confidence_band(F.col("confidence"), weak), F.lit("."))),
         F.concat(F.lit("\n"), F.lit(DISCLAIMER)),
     )
     fixed = (
-        F.when(F.col("status") == "error", F.concat(F.lit("The system encountered an internal error and could not produce a complete answer.\n\nDetails: "), F.coalesce("error", F.lit(""))))
-        .when(F.col("status") == "rejected", "This request cannot be answered.")
-        .when(F.col("status") == "out_of_domain", F.concat(F.lit("This question appears to fall outside the scope of this system.\n\n"), F.lit(scope)))
+        F.when(F.col("status") == "error", F.concat(F.lit("Processing failed.\n\nCause: "), F.coalesce("error", F.lit(""))))
+        .when(F.col("status") == "rejected", "No answer is given to this request.")
+        .when(F.col("status") == "out_of_domain", F.concat(F.lit("The question is about something else than the laws held here.\n\n"), F.lit(scope)))
     )
     empty = F.col("status").isin(*NO_CONTENT)
     return row.select(

@@ -34,10 +34,14 @@ BEFORE, AFTER = 140, 160
 def _matches(text: Column, pattern: str, groups: int, kind: int) -> Column:
     """Structs (start, end, kind, ord, a, b), 0-based, end exclusive: running sums of pieces and matches."""
     pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0)
-    sizes = F.zip_with(pieces, found, lambda p, m: F.struct(F.length(p).alias("gap"), F.coalesce(F.length(m), F.lit(0)).alias("len")))
-    at = lambda i: F.aggregate(F.slice(sizes, 1, i), F.lit(0), lambda acc, x: acc + x["gap"] + x["len"])
+    pairs = F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda p, m: F.struct(F.length(p).alias("gap"), m.alias("m")))
     number = lambda m, g: F.nullif(F.regexp_extract(m, pattern, g), F.lit("")) if g <= groups else F.lit(None).cast("string")
-    return F.transform(found, lambda m, i: F.struct((at(i + 1) - F.length(m)).alias("start"), at(i + 1).alias("end"), F.lit(kind).alias("kind"), i.alias("ord"), number(m, 1).alias("a"), number(m, 2).alias("b")))
+    row = lambda acc, x: F.struct(
+        (acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + F.length(x["m"])).alias("end"), F.lit(kind).alias("kind"), F.size(acc["out"]).alias("ord"), number(x["m"], 1).alias("a"), number(x["m"], 2).alias("b")
+    )
+    none = F.array().cast("array<struct<start:int,end:int,kind:int,ord:int,a:string,b:string>>")
+    step = lambda acc, x: F.struct((acc["at"] + x["gap"] + F.length(x["m"])).alias("at"), F.concat(acc["out"], F.array(row(acc, x))).alias("out"))
+    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
 
 
 def reference_candidates(sections: DataFrame) -> DataFrame:

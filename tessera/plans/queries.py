@@ -64,13 +64,13 @@ def act_metadata_listing(spark: SparkSession, d: str) -> DataFrame:
     return graph_reads.act_metadata(view(spark, d, "acts"))
 
 
-@query("SELECT q.query_id, c.concept_id, count(*) AS n FROM (SELECT query_id, split_part(raw_query, ',', 1) AS phrase FROM queries) q JOIN concepts c ON contains(lower(c.name), q.phrase) OR contains(q.phrase, lower(c.name)) OR contains(c.alias1, q.phrase) OR contains(q.phrase, c.alias1) OR contains(c.alias2, q.phrase) OR contains(q.phrase, c.alias2) JOIN applies_to p ON c.concept_id = p.concept_id JOIN sections s USING (section_id) WHERE p.relevance = 'primary' AND s.act_id = concat('N', q.query_id % 25) GROUP BY q.query_id, c.concept_id")
+@query("SELECT q.query_id, c.concept_id, count(*) AS n FROM (SELECT query_id, split_part(raw_query, ',', 1) AS phrase FROM queries) q JOIN concepts c ON contains(lower(c.name), q.phrase) OR contains(q.phrase, lower(c.name)) OR contains(c.alias1, q.phrase) OR contains(q.phrase, c.alias1) OR contains(c.alias2, q.phrase) OR contains(q.phrase, c.alias2) JOIN applies_to p ON c.concept_id = p.concept_id JOIN sections s USING (section_id) WHERE p.relevance = 'primary' GROUP BY q.query_id, c.concept_id")
 def fuzzy_concept_sections(spark: SparkSession, d: str) -> DataFrame:
-    """Contains-match of phrases with the vocabulary, then the primary sections of one act each."""
-    asked = view(spark, d, "queries").select("query_id", F.split_part("raw_query", F.lit(","), F.lit(1)).alias("concept"), F.concat(F.lit("N"), (F.col("query_id") % 25).cast("string")).alias("act"))
+    """Contains-match of phrases with the vocabulary, then the primary sections."""
+    asked = view(spark, d, "queries").select("query_id", F.split_part("raw_query", F.lit(","), F.lit(1)).alias("concept"))
     primaries = view(spark, d, "applies_to").where("relevance = 'primary'")
     found = graph_reads.sections_for_concept(asked, _concepts(spark, d), primaries, view(spark, d, "sections"))
-    return found.where("act_id = act").groupBy("query_id", "concept_id").agg(F.count("*").alias("n"))
+    return found.groupBy("query_id", "concept_id").agg(F.count("*").alias("n"))
 
 
 @query("+ e AS (SELECT source_section_id AS src, target_section_id AS dst, 'CITES' AS rel_type FROM cites UNION ALL SELECT section_id, concept_id, 'APPLIES_TO' FROM applies_to UNION ALL SELECT a.act_id, b.act_id, 'OVERRIDES' FROM acts a JOIN acts b ON b.repealed_by = a.act_id UNION ALL SELECT act_id, section_id, 'HAS_SECTION' FROM sections), n AS (SELECT src AS section_id, dst AS neighbor_id, rel_type, 'outgoing' AS direction FROM e UNION SELECT dst, src, rel_type, 'incoming' FROM e) SELECT n.* FROM n JOIN sections USING (section_id)")
@@ -105,14 +105,13 @@ def load_summary(spark: SparkSession, d: str) -> DataFrame:
     return graph_build.load_summary(view(spark, d, "acts"), view(spark, d, "sections"), view(spark, d, "cites"))
 
 
-@query("SELECT s.section_id, CASE WHEN l.section_id IS NULL THEN s.title ELSE concat('new ', s.title) END AS title FROM sections s LEFT JOIN (SELECT DISTINCT concat('N', l_partkey % 25, '_S', l_partkey) AS section_id FROM lineitem WHERE l_quantity >= 49) l USING (section_id) UNION ALL SELECT concat('N', s_suppkey % 25, '_S', s_suppkey, 'X'), s_name FROM supplier")
+@query("SELECT s.section_id, coalesce(concat('sold ', n), s.title) AS title FROM sections s LEFT JOIN (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY l_partkey) l ON l_partkey = s.ord UNION ALL SELECT concat('N', s_suppkey % 25, '_S', s_suppkey, 'X'), s_name FROM supplier")
 def upsert_sections(spark: SparkSession, d: str) -> DataFrame:
-    """Merge by key: rows of new titles for some sections, and new sections."""
+    """Merge by key: rows of new titles for all sections that were sold, and new sections."""
     old = view(spark, d, "sections").select("section_id", "act_id", "title")
-    hot = table(spark, d, "lineitem").where("l_quantity >= 49").select(F.expr("concat('N', l_partkey % 25, '_S', l_partkey)").alias("section_id")).distinct()
-    new = old.join(hot, "section_id", "left_semi").select("section_id", "act_id", F.concat(F.lit("new "), "title").alias("title"))
+    sold = table(spark, d, "lineitem").groupBy(F.expr("concat('N', l_partkey % 25, '_S', l_partkey)").alias("section_id"), F.expr("concat('N', l_partkey % 25)").alias("act_id")).agg(F.concat(F.lit("sold "), F.count("*").cast("string")).alias("title"))
     more = table(spark, d, "supplier").select(F.expr("concat('N', s_suppkey % 25, '_S', s_suppkey, 'X')").alias("section_id"), F.expr("concat('N', s_suppkey % 25)").alias("act_id"), F.col("s_name").alias("title"))
-    return graph_build.upsert_sections(old, new.unionByName(more), view(spark, d, "acts")).select("section_id", "title")
+    return graph_build.upsert_sections(old, sold.unionByName(more), view(spark, d, "acts")).select("section_id", "title")
 
 
 @query("SELECT l.section_id, l.concept_id, CASE WHEN s.section_id IS NULL THEN 'SECTION_NOT_FOUND' ELSE 'ok' END AS outcome FROM (SELECT DISTINCT concat('N', l_suppkey % 25, '_S', l_suppkey * 30) AS section_id, concat('C', l_linenumber) AS concept_id FROM lineitem) l LEFT JOIN sections s USING (section_id)")
@@ -227,21 +226,53 @@ def bm25(spark: SparkSession, d: str) -> DataFrame:
     return out.select("query_id", "section_id", F.round("lexical", 5).alias("lexical"))
 
 
-@query(_LIVE.rstrip() + _WALKED + _BM25 + """, lexi AS (SELECT l.query_id, l.section_id, l.hop, CASE WHEN l.part = 0 THEN 1.0::DOUBLE ELSE 0.45::DOUBLE END AS r, 1 + length(l.section_id) % 3 AS ch, a.act_priority AS ap, coalesce(raw / max(raw) OVER (PARTITION BY l.query_id), 0) AS lx FROM len l JOIN sections s USING (section_id) JOIN acts a ON s.act_id = a.act_id LEFT JOIN raw USING (query_id, section_id))
-SELECT query_id, section_id, round(0.35 * r + 0.15 * (ch::DOUBLE / max(ch) OVER w) + 0.2 * (1.0::DOUBLE / (1 + hop)) + 0.2 * lx + 0.1 * (ap::DOUBLE / greatest(max(ap) OVER w, 1)) + 0.000001, 2) AS score FROM lexi WINDOW w AS (PARTITION BY query_id)""", recursive=True)
+def _half_up(x: str, digits: int) -> str:
+    """Rounding as Spark does it: half up, on the shortest decimal form of a double."""
+    return f"round(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38, 18)), {digits})::DOUBLE"
+
+
+_WEIGHED = " + ".join(["0.0::DOUBLE", *[f"p_{k} * {w}::DOUBLE" for k, w in ranking.WEIGHTS.items()]])
+#: Candidates with what ranking looks at.
+_CANDS = """,
+sw AS (SELECT string_split('""" + " ".join(T.RANK_STOPWORDS) + """', ' ') AS stop),
+cands AS (SELECT k.query_id, k.section_id, k.hop, k.part = 0 AS prim, 1 + length(k.section_id) % 3 AS ch, a.act_priority AS ap, a.act_name, a.jurisdiction, s.section_number, k.title, k.text, k.section_id LIKE '%7' AS remedy,
+  list_concat(list_concat(list_concat(""" + ", ".join([_TOKENS.format("k.title")] * 2) + "), " + _TOKENS.format("k.title") + "), " + _TOKENS.format("k.text") + """) AS doc FROM kept k JOIN sections s USING (section_id) JOIN acts a ON s.act_id = a.act_id, sw WHERE n <= 12),
+qt AS (SELECT query_id, t, count(*) AS times FROM (SELECT query_id, unnest(""" + _TOKENS.format("raw_query") + """) AS t FROM queries, sw) GROUP BY query_id, t)
+"""
+
+
+def _ranked(p: str, among: str) -> str:
+    """SQL for the scores and ranks ({p}rk) of the candidates in ``among``, each query's by themselves."""
+    return f""",
+{p}len AS (SELECT *, len(doc) AS l, count(*) OVER (PARTITION BY query_id) AS nd, avg(len(doc)) OVER (PARTITION BY query_id) AS al FROM {among}),
+{p}tf AS (SELECT query_id, section_id, l, nd, al, t, count(*) AS f FROM (SELECT query_id, section_id, l, nd, al, unnest(doc) AS t FROM {p}len) GROUP BY ALL),
+{p}df AS (SELECT query_id, t, count(*) AS df FROM {p}tf GROUP BY query_id, t),
+{p}raw AS (SELECT query_id, section_id, sum(times * ln(1 + (nd - df + 0.5) / (df + 0.5)) * f * 2.5 / (f + 1.5 * (0.25 + 0.75 * l / al))) AS raw FROM {p}tf JOIN {p}df USING (query_id, t) JOIN qt USING (query_id, t) GROUP BY query_id, section_id),
+{p}lx AS (SELECT l.*, coalesce(raw / max(raw) OVER (PARTITION BY l.query_id), 0) AS lx FROM {p}len l LEFT JOIN {p}raw USING (query_id, section_id)),
+{p}pt AS (SELECT *, CASE WHEN prim THEN 1.0::DOUBLE ELSE 0.45::DOUBLE END AS p_relevance, {_half_up("ch::DOUBLE / max(ch) OVER w", 4)} AS p_concept_hits, {_half_up("1.0::DOUBLE / (1 + hop)", 4)} AS p_hop, round(lx, 4) AS p_lexical, {_half_up("ap::DOUBLE / greatest(max(ap) OVER w, 1)", 4)} AS p_act_priority FROM {p}lx WINDOW w AS (PARTITION BY query_id)),
+{p}sc AS (SELECT *, {_half_up(f"({_WEIGHED}) / {sum(ranking.WEIGHTS.values())!r}::DOUBLE", 6)} AS score FROM {p}pt),
+{p}rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, CASE WHEN prim THEN 0 ELSE 1 END, hop, section_id) AS rank FROM {p}sc)
+"""
+
+
+@query(_LIVE.rstrip() + _WALKED + _CANDS + _ranked("a_", "cands") + "SELECT query_id, section_id, score, rank FROM a_rk", recursive=True)
 def five_signal_score(spark: SparkSession, d: str) -> DataFrame:
-    """Scores to two places, as both sides round their parts differently."""
-    cands = cut(_candidates(spark, d))
-    out = ranking.score(view(spark, d, "queries"), cands)
-    lex = ranking.bm25(view(spark, d, "queries"), cands)
-    share = lambda c: F.col(c) / F.greatest(F.max(c).over(Window.partitionBy("query_id")), F.lit(1))
-    exact = out.join(lex, ["query_id", "section_id"])
-    total = 0.35 * F.when(F.col("relevance") == "primary", 1.0).otherwise(0.45) + 0.15 * share("concept_hits") + 0.2 / (1 + F.col("hop")) + 0.2 * F.col("lexical") + 0.1 * share("act_priority")
-    exact = exact.withColumn("exact", total).where(F.abs(F.col("exact") - F.col("score")) < 2e-4)
-    return exact.select("query_id", "section_id", F.round(F.col("exact") + 0.000001, 2).alias("score"))
+    """Scores of five signals and the order that they give."""
+    return ranking.rank(view(spark, d, "queries"), cut(_candidates(spark, d))).select("query_id", "section_id", "score", "rank")
+
+
+_BUDGETED = _CANDS + _ranked("a_", "cands") + """,
+base AS (SELECT * FROM cands WHERE NOT remedy), rem AS (SELECT * FROM cands WHERE remedy)
+""" + _ranked("b_", "base") + _ranked("r_", "rem") + """,
+budget AS (SELECT query_id, least(3, count(*)) AS budget FROM rem GROUP BY query_id),
+own AS (SELECT query_id, section_id FROM (SELECT b.*, coalesce(budget, 0) AS budget, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN prim THEN 0 ELSE 1 END, rank) AS place FROM b_rk b LEFT JOIN budget USING (query_id)) WHERE place <= 8 - budget),
+used AS (SELECT query_id, count(*) AS used FROM own GROUP BY query_id),
+extra AS (SELECT query_id, section_id FROM r_rk LEFT JOIN used USING (query_id) WHERE rank <= 8 - coalesce(used, 0)),
+low AS (SELECT a.query_id, a.section_id, a.rank, """ + _half_up("a.score * CASE WHEN q.jurisdiction IS NULL AND a.jurisdiction <> 'Central' THEN 0.6::DOUBLE ELSE 1.0::DOUBLE END", 6) + """ AS score, remedy FROM a_rk a JOIN (SELECT * FROM own UNION ALL SELECT * FROM extra) USING (query_id, section_id) JOIN queries q USING (query_id))
+"""
 
 
-@query()
+@query(_LIVE.rstrip() + _WALKED + _BUDGETED + "SELECT query_id, section_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) AS rank, score, remedy AS via_remedy FROM low", recursive=True)
 def rank_companion_budget(spark: SparkSession, d: str) -> DataFrame:
     """The ranked evidence of each query, remedies within their places, state law last where no state was named."""
     cands = cut(_candidates(spark, d).withColumn("via_remedy", F.col("section_id").endswith("7")))
@@ -250,9 +281,10 @@ def rank_companion_budget(spark: SparkSession, d: str) -> DataFrame:
     return final.select("query_id", "section_id", "rank", "score", "via_remedy")
 
 
-@query()
+@query(_LIVE.rstrip() + _WALKED + _CANDS + _ranked("a_", "cands") + """, top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN prim THEN 0 ELSE 1 END, rank) AS place FROM a_rk), five AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n FROM top WHERE place <= 5)
+SELECT query_id, string_agg(concat('#', n, ' [', section_id, '] (', CASE WHEN prim THEN 'PRIMARY' ELSE 'SUPPORTING' END, ') ', act_name, ' — Section ', section_number, ': ', title, chr(10), text), chr(10) || chr(10) ORDER BY n) AS pack FROM five GROUP BY query_id""", recursive=True)
 def evidence_packs(spark: SparkSession, d: str) -> DataFrame:
-    cands = _candidates(spark, d).withColumn("via_remedy", F.lit(False))
+    cands = cut(_candidates(spark, d).withColumn("via_remedy", F.lit(False)))
     return ranking.evidence_pack(ranking.rank_and_cap(view(spark, d, "queries"), cands, 5))
 
 
@@ -267,11 +299,47 @@ def ground_by_substring(spark: SparkSession, d: str) -> DataFrame:
 _CONTENT = "list_distinct(list_filter(regexp_extract_all(lower({}), '[a-z0-9]+'), lambda t: length(t) > 2 AND NOT list_contains(stop, t)))"
 
 
-@query("+ sw AS (SELECT string_split('" + " ".join(T.GROUNDING_STOPWORDS).replace("'", "''") + "', ' ') AS stop), n AS (SELECT concept_id, unnest(" + _CONTENT.format("concat_ws(' ', name, alias1, alias2)") + ") AS token FROM concepts, sw) SELECT CASE WHEN token LIKE '%ies' AND length(token) > 3 THEN concat(left(token, length(token) - 3), 'y') WHEN token LIKE '%s' AND token NOT LIKE '%ss' AND length(token) > 3 THEN left(token, length(token) - 1) ELSE token END AS token, count(DISTINCT concept_id) AS df FROM n WHERE NOT (token LIKE '%ing' OR token LIKE '%ed' OR token LIKE '%ment') GROUP BY 1")
+_SINGULAR = "CASE WHEN x LIKE '%ies' AND length(x) > 3 THEN concat(left(x, length(x) - 3), 'y') WHEN x LIKE '%s' AND x NOT LIKE '%ss' AND length(x) > 3 THEN left(x, length(x) - 1) ELSE x END"
+_STEM = "CASE " + " ".join(f"WHEN y LIKE '%{x}' AND length(y) - {len(x)} >= {T.MIN_STEM} THEN left(y, length(y) - {len(x)})" for x in T.SUFFIXES) + " ELSE y END"
+_STOP = "+ sw AS (SELECT string_split('" + " ".join(T.GROUNDING_STOPWORDS).replace("'", "''") + "', ' ') AS stop)"
+
+
+def _stems(keys: str, text: str, source: str) -> str:
+    """SQL for the distinct stems of a text, a row each."""
+    return f"SELECT DISTINCT {keys}, {_STEM} AS token FROM (SELECT {keys}, {_SINGULAR} AS y FROM (SELECT {keys}, unnest({_CONTENT.format(text)}) AS x FROM {source}, sw))"
+
+
+@query(_STOP + ", n AS (" + _stems("concept_id", "concat_ws(' ', name, alias1, alias2)", "concepts") + ") SELECT token, count(*) AS df FROM n GROUP BY token")
 def token_document_frequency(spark: SparkSession, d: str) -> DataFrame:
-    """Stems by the number of concepts that use them (those without a verb's ending, which SQL doesn't strip)."""
-    _, _, df = grounding.build_vocabulary(_concepts(spark, d))
-    return df.where("not (token like '%ing' or token like '%ed' or token like '%ment')")
+    """Stems by the number of concepts that use them."""
+    return grounding.build_vocabulary(_concepts(spark, d))[2]
+
+
+_PHRASES = "SELECT p_partkey AS phrase_id, lower(concat_ws(' ', p_type, p_name)) AS phrase FROM part"
+_TERMS = "SELECT concept_id, name, ord, 0 AS term_ord, name AS term FROM concepts UNION ALL SELECT concept_id, name, ord, 1, alias1 FROM concepts UNION ALL SELECT concept_id, name, ord, 2, alias2 FROM concepts"
+
+
+@query(_STOP + f", ph AS ({_PHRASES}), tm AS ({_TERMS}), pt AS (" + _stems("phrase_id", "phrase", "ph") + "), tt AS (" + _stems("name, ord, term_ord", "term", "tm") + """),
+np AS (SELECT phrase_id, count(*) AS n_phrase FROM pt GROUP BY phrase_id), nt AS (SELECT name, ord, term_ord, count(*) AS n_term FROM tt GROUP BY name, ord, term_ord),
+df AS (SELECT token, count(DISTINCT name) AS df FROM tt GROUP BY token), nm AS (SELECT name, list(token) AS own FROM tt WHERE term_ord = 0 GROUP BY name),
+sh AS (SELECT phrase_id, name, ord, term_ord, count(*) AS k, max(length(token)) AS longest, min(df) AS df, min(token) AS one FROM pt JOIN tt USING (token) JOIN df USING (token) GROUP BY ALL),
+sc AS (SELECT phrase_id, name, ord, greatest(k::DOUBLE / n_phrase, k::DOUBLE / n_term) AS score FROM sh JOIN np USING (phrase_id) JOIN nt USING (name, ord, term_ord) LEFT JOIN nm USING (name) WHERE longest >= 4 AND (k > 1 OR df <= 2 OR len(own) = 1 AND own[1] = one)),
+best AS (SELECT phrase_id, name, ord, max(score) AS score FROM sc WHERE score >= 0.5 GROUP BY phrase_id, name, ord)
+SELECT phrase_id, name, score, n FROM (SELECT *, row_number() OVER (PARTITION BY phrase_id ORDER BY score DESC, ord) AS n FROM best) WHERE n <= 3""")
+def ground_overlap(spark: SparkSession, d: str) -> DataFrame:
+    """Stage 2 over all parts' words: the best three concepts by shared stems."""
+    phrases = grounding.normalize(table(spark, d, "part").selectExpr("p_partkey AS phrase_id", "concat_ws(' ', p_type, p_name) AS phrase"))
+    return grounding.ground_overlap(phrases, _concepts(spark, d)).select("phrase_id", "name", "score", "n")
+
+
+_GRAMS = " UNION ALL ".join(f"SELECT phrase_id, {5 - n} AS block, i, array_to_string(list_slice(w, i, i + {n - 1}), ' ') AS gram FROM w, unnest(range(1, len(w) - {n - 2})) AS u(i) WHERE len(w) >= {n}" for n in (4, 3, 2, 1))
+
+
+@query(f"WITH ph AS ({_PHRASES}), w AS (SELECT phrase_id, string_split(phrase, ' ') AS w FROM ph), g AS ({_GRAMS}) SELECT phrase_id, row_number() OVER (PARTITION BY phrase_id ORDER BY block, i) AS place, gram FROM g WHERE length(gram) >= 5")
+def phrase_ngrams(spark: SparkSession, d: str) -> DataFrame:
+    """Word n-grams of all parts' words, longest first."""
+    phrases = table(spark, d, "part").select(F.col("p_partkey").alias("phrase_id"), F.lower(F.concat_ws(" ", "p_type", "p_name")).alias("phrase"))
+    return phrases.select("phrase_id", F.posexplode(T.word_ngrams(F.col("phrase"))).alias("place", "gram")).select("phrase_id", (F.col("place") + 1).cast("bigint").alias("place"), "gram")
 
 
 @query()
@@ -313,13 +381,13 @@ def jurisdictions(spark: SparkSession, d: str) -> DataFrame:
     return temporal.normalize_jurisdiction(table(spark, d, "customer").select("c_custkey", "c_mktsegment", F.col("c_mktsegment").alias("jurisdiction")), aliases)
 
 
-@query("SELECT query_id, CASE WHEN years_of_service >= 5 THEN floor(monthly_salary / 26 * 15 * (floor(years_of_service) + CASE WHEN years_of_service - floor(years_of_service) > 0.5 THEN 1 ELSE 0 END) + 0.005)::BIGINT END AS gratuity, floor(monthly_salary * 3 + 0.005)::BIGINT AS notice FROM queries WHERE monthly_salary > 0")
+@query("SELECT query_id, CASE WHEN years_of_service >= 5 THEN " + _half_up("monthly_salary / 26 * 15 * (floor(years_of_service) + CASE WHEN years_of_service - floor(years_of_service) > 0.5 THEN 1 ELSE 0 END)", 2) + " END AS gratuity, " + _half_up("monthly_salary * 3", 2) + " AS notice FROM queries WHERE monthly_salary > 0")
 def entitlements(spark: SparkSession, d: str) -> DataFrame:
     facts = view(spark, d, "queries")
     concepts = facts.select("query_id", F.explode(F.array(F.lit("gratuity"), F.lit("notice period"))).alias("name"))
     shown = facts.select("query_id", F.explode(F.array(F.lit(calculators.GRATUITY_SECTION), F.lit(calculators.LONG_NOTICE_SECTION))).alias("section_id"))
     rows = calculators.compute_available(facts, concepts, shown)
-    return rows.groupBy("query_id").agg(F.floor(F.max(F.when(F.col("ord") == 0, F.col("amount")))).alias("gratuity"), F.floor(F.max(F.when(F.col("ord") == 2, F.col("amount")))).alias("notice"))
+    return rows.groupBy("query_id").agg(F.max(F.when(F.col("ord") == 0, F.col("amount"))).alias("gratuity"), F.max(F.when(F.col("ord") == 2, F.col("amount"))).alias("notice"))
 
 
 def _drafts(spark: SparkSession, d: str) -> DataFrame:
@@ -390,12 +458,15 @@ def extract_cites(spark: SparkSession, d: str) -> DataFrame:
     return references.extract_cites(_citing_sections(spark, d)).select("source_section_id", "target_section_id")
 
 
-@query("SELECT conv_id, string_agg(coalesce(text, ''), chr(10) ORDER BY turn, text) AS text, count(*) AS n FROM (SELECT conv_id, turn, replace(text, chr(12), ' ') AS text FROM conversations) GROUP BY conv_id HAVING count(*) = count(DISTINCT turn) AND NOT regexp_matches(lower(string_agg(coalesce(text, ''), chr(10))), 'as\\s+follows') AND NOT contains(string_agg(coalesce(text, ''), chr(10) ORDER BY turn), concat('-', chr(10)))")
+_PAGE = "SELECT conv_id, turn AS page_no, concat('As  follows: ', turn, '. ', replace(coalesce(text, ''), chr(12), ' '), CASE WHEN turn % 2 = 0 THEN '-' ELSE ' it is hereby enacted as follows:-' END) AS text FROM {}"
+_BROKEN = "'(?i)({}\\s*:?\\s*-?)\\s*(\\d+[A-Z]{{0,3}}\\.)', '\\1' || chr(10) || '\\2', 'g'"
+
+
+@query("SELECT conv_id, regexp_replace(regexp_replace(t, " + _BROKEN.format("as\\s+follows") + "), " + _BROKEN.format("it\\s+is\\s+hereby\\s+enacted\\s+as\\s+follows") + ") AS text FROM (SELECT conv_id, replace(string_agg(text, chr(10) ORDER BY page_no, text), '-' || chr(10), '') AS t FROM (" + _PAGE.format("conversations") + ") GROUP BY conv_id)")
 def document_texts(spark: SparkSession, d: str) -> DataFrame:
-    """Pages joined to documents, for conversations with distinct turns."""
-    turns = table(spark, d, "conversations").select("conv_id", F.col("turn").alias("page_no"), F.replace("text", F.lit("\f"), F.lit(" ")).alias("text"))
-    good = turns.groupBy("conv_id").agg(F.count("*").alias("n"), F.count_distinct("page_no").alias("k"), F.max(F.contains("text", F.lit("-\n")) | F.endswith("text", F.lit("-")) | F.rlike(F.lower("text"), F.lit(r"as\s+follows"))).alias("odd")).where("n = k and not odd")
-    return document_text(turns.join(good, "conv_id", "left_semi"), "conv_id").join(good.select("conv_id", "n"), "conv_id")
+    """All conversations as documents of pages, some of which end in a hyphen, or in enacting words before the next page's number."""
+    pages = spark.sql(_PAGE.replace("chr(12)", "char(12)").format("{turns}"), turns=table(spark, d, "conversations"))
+    return document_text(pages, "conv_id")
 
 
 @query("SELECT lang, sum(len(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')))::BIGINT AS words, sum(len(list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'), lambda t: length(t) > 1 AND NOT list_contains(string_split('" + " ".join(T.RANK_STOPWORDS) + "', ' '), t))))::BIGINT AS ranked FROM documents GROUP BY lang")
@@ -435,7 +506,7 @@ def commencement_notes(spark: SparkSession, d: str) -> DataFrame:
     return temporal.commencement_notes(_asked(spark, d).select("query_id", "act_id"), view(spark, d, "acts"))
 
 
-@query("SELECT concat('This engine answers questions about Indian employment and labour law as covered by the ', string_agg(act_name, ', ' ORDER BY act_priority DESC, act_name) FILTER (n < m), ' and the ', max(act_name) FILTER (n = m), '.') AS scope FROM (SELECT act_name, act_priority, row_number() OVER (ORDER BY act_priority DESC, act_name) AS n, count(*) OVER () AS m FROM acts WHERE status <> 'repealed')")
+@query("SELECT concat('Questions can be put on the ', string_agg(act_name, ', ' ORDER BY act_priority DESC, act_name) FILTER (n < m), ' and the ', max(act_name) FILTER (n = m), '.') AS scope FROM (SELECT act_name, act_priority, row_number() OVER (ORDER BY act_priority DESC, act_name) AS n, count(*) OVER () AS m FROM acts WHERE status <> 'repealed')")
 def scope_sentence(spark: SparkSession, d: str) -> DataFrame:
     return temporal.scope_text(view(spark, d, "acts"))
 
@@ -487,10 +558,18 @@ def hops_taken(spark: SparkSession, d: str) -> DataFrame:
 _FACTS = "SELECT o_orderkey AS query_id, CAST(o_orderkey % 4 AS INT) AS n_extracted, CAST(o_custkey % 3 AS INT) AS n_ungrounded, CAST(o_custkey % 2 AS INT) AS n_grounded, CASE WHEN o_orderstatus = 'F' THEN CAST(1 AS DOUBLE) WHEN o_orderstatus = 'O' THEN CAST(0.6 AS DOUBLE) END AS seed, CASE WHEN o_orderkey % 3 = 0 THEN true WHEN o_orderkey % 3 = 1 THEN false END AS sufficient, CAST(o_custkey % 5 AS INT) AS n_retrieved, CAST(o_orderkey % 6 AS INT) AS n_cited, CAST(o_orderkey % 6 AS INT) - CAST(o_orderkey % 2 AS INT) AS n_verified, o_orderkey % 7 = 0 AS has_conflict FROM orders"
 
 
-@query(f"+ f AS ({_FACTS}), g AS (SELECT query_id, has_conflict, CASE WHEN n_extracted > 0 THEN greatest(0, least(1, (n_extracted - n_ungrounded)::DOUBLE / n_extracted)) WHEN n_grounded > 0 THEN 1 ELSE 0 END AS a, coalesce(seed, 0) AS b, CASE WHEN sufficient THEN 1 WHEN sufficient IS NOT NULL AND n_retrieved > 0 THEN 0.5 ELSE 0 END AS c, CASE WHEN n_cited > 0 THEN greatest(0, n_verified::DOUBLE / n_cited) ELSE 0 END AS e FROM f), h AS (SELECT query_id, CASE WHEN has_conflict THEN least(0.5, 0.35 * a + 0.25 * b + 0.2 * c + 0.2 * e) ELSE 0.35 * a + 0.25 * b + 0.2 * c + 0.2 * e END AS conf FROM g) SELECT query_id, round(conf + 0.0003, 2) AS confidence, CASE WHEN conf < 0.3999 THEN 'insufficient_evidence' ELSE 'ok' END AS status FROM h".replace("+ f AS", "WITH f AS"))
+_FACTORS = {
+    "a": "CASE WHEN n_extracted > 0 THEN greatest(0, least(1, (n_extracted - n_ungrounded)::DOUBLE / n_extracted)) WHEN n_grounded > 0 THEN 1 ELSE 0 END",
+    "b": "coalesce(seed, 0)",
+    "c": "CASE WHEN sufficient THEN 1 WHEN sufficient IS NOT NULL AND n_retrieved > 0 THEN 0.5 ELSE 0 END",
+    "e": "CASE WHEN n_cited > 0 THEN greatest(0, n_verified::DOUBLE / n_cited) ELSE 0 END",
+}
+
+
+@query(f"WITH f AS ({_FACTS}), g AS (SELECT query_id, has_conflict, {', '.join(_half_up(f'({x})::DOUBLE', 4) + f' AS {k}' for k, x in _FACTORS.items())} FROM f), h AS (SELECT query_id, has_conflict, {_half_up('0.0::DOUBLE + a * 0.35::DOUBLE + b * 0.25::DOUBLE + c * 0.2::DOUBLE + e * 0.2::DOUBLE', 4)} AS conf FROM g), i AS (SELECT query_id, CASE WHEN has_conflict THEN least(0.5::DOUBLE, conf) ELSE conf END AS confidence FROM h) SELECT query_id, confidence, CASE WHEN confidence < 0.4::DOUBLE THEN 'insufficient_evidence' ELSE 'ok' END AS status FROM i")
 def confidence_scores(spark: SparkSession, d: str) -> DataFrame:
     facts = spark.sql(_FACTS.replace("FROM orders", "FROM {orders}"), orders=table(spark, d, "orders"))
-    return answers.confidence(facts).select("query_id", F.round(F.col("confidence") + 0.0003, 2).alias("confidence"), "status")
+    return answers.confidence(facts).select("query_id", "confidence", "status")
 
 
 @query("SELECT event_id, CASE WHEN event_type IN ('error') THEN 'error' WHEN user_id % 5 = 0 THEN 'rejected' WHEN user_id % 7 = 0 THEN 'out_of_domain' WHEN value > 10 THEN 'ok' ELSE 'insufficient_evidence' END AS status, CASE WHEN value >= 70 AND user_id % 2 = 0 THEN 'high' WHEN value >= 40 THEN 'moderate' ELSE 'low' END AS band FROM events")
