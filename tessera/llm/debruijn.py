@@ -41,7 +41,7 @@ K = 6
 
 
 def _candidates(docs: DataFrame, runs: DataFrame, width: int, k: int) -> DataFrame:
-    """(gram, digest, doc_id, th, lo, n, seg, seg2, windows, windows2): runs that may repeat, named by 128 bits of their words.
+    """(gram, doc_id, th, lo, n, seg, seg2, windows, windows2): runs that may repeat, named by 128 bits of their words.
 
     Where the k-gram has several digests, also 128 bits of each window, once a block.
     """
@@ -53,7 +53,7 @@ def _candidates(docs: DataFrame, runs: DataFrame, width: int, k: int) -> DataFra
         values, at = tokens(buf, off, "word")
         found = find_runs(values, at, width, k)
         keep = np.flatnonzero(many.value.has(found.gram))
-        gram, digest, doc, lo, n = (getattr(found, f)[keep] for f in ("gram", "digest", "doc", "lo", "n"))
+        gram, doc, lo, n = (getattr(found, f)[keep] for f in ("gram", "doc", "lo", "n"))
         words = buf.tobytes().split()  # of a block: no word goes on from one text to the next, as texts are parted in tokens()
         if len(words) != len(values):
             words = [w for i in range(len(off) - 1) for w in buf[off[i] : off[i + 1]].tobytes().split()]
@@ -67,11 +67,11 @@ def _candidates(docs: DataFrame, runs: DataFrame, width: int, k: int) -> DataFra
         each = strong([b" ".join(words[a : a + width]) for a in starts.tolist()])
         ids, hashes_of = (rows.column(i).take(pa.array(doc)) for i in range(2))  # not the texts
         return {
-            "gram": signed(gram), "digest": signed(digest), "doc_id": ids, "th": hashes_of, "lo": lo.astype(np.int64), "n": n.astype(np.int64),
+            "gram": signed(gram), "doc_id": ids, "th": hashes_of, "lo": lo.astype(np.int64), "n": n.astype(np.int64),
             "seg": seg[0], "seg2": seg[1], "windows": lists(each[0], counts), "windows2": lists(each[1], counts),
         }
 
-    return emit_blocks(docs, find, "gram bigint, digest bigint, doc_id bigint, th bigint, lo bigint, n bigint, seg bigint, seg2 bigint, windows array<bigint>, windows2 array<bigint>", ["doc_id", "__th"])
+    return emit_blocks(docs, find, "gram bigint, doc_id bigint, th bigint, lo bigint, n bigint, seg bigint, seg2 bigint, windows array<bigint>, windows2 array<bigint>", ["doc_id", "__th"])
 
 
 def _same(*cols: str) -> Column:
@@ -118,7 +118,7 @@ def _pieces(opened: DataFrame) -> DataFrame:
 def segments(docs: DataFrame, width: int = WIDTH, k: int = K) -> DataFrame:
     """(doc_id, th, at, n, seg, seg2): every occurrence of every repeated segment."""
     runs = repeated_runs(docs, "word", width, k)
-    places = cut(_candidates(docs, runs, width, k).join(runs, ["gram", "digest"]))
+    places = cut(_candidates(docs, runs, width, k).join(runs, "gram").withColumn("gram", F.when(F.col("kinds") > 1, F.col("gram"))))  # the k-gram of others is of no more use
     plain = places.where("kinds = 1").select("doc_id", "th", F.col("lo").alias("at"), "n", "seg", "seg2")
     # counted anew under the names of 128 bits: runs that only share a digest are told apart here
     opened = places.where("kinds > 1").groupBy("gram", "seg", "seg2").agg(F.count("*").alias("cnt"), *[F.first(F.when(F.size(c) > 0, F.col(c)), ignorenulls=True).alias(c) for c in ("windows", "windows2")])
@@ -137,14 +137,14 @@ def paths(found: DataFrame) -> DataFrame:
     follows = F.lead("at").over(text) == F.col("at") + F.col("n")
     preceded = F.lag("at").over(text) + F.lag("n").over(text) == F.col("at")
     beside = lambda how, there, c: F.when(there, how(c).over(text)).otherwise(F.lit(0))
-    linked = cut(found.withColumns({"next": beside(F.lead, follows, "seg"), "next2": beside(F.lead, follows, "seg2"), "prev": beside(F.lag, preceded, "seg"), "prev2": beside(F.lag, preceded, "seg2")}))
-    nodes = linked.groupBy("seg", "seg2").agg(*_ends("next", "next2", "prev", "prev2"), F.min(F.struct("doc_id", "at")).alias("first"))
-    nodes = cut(nodes.select("seg", "seg2", "first", *_only("next", "next2"), *_only("prev", "prev2")))
-    is_ = lambda b, a: (F.col(f"b.{b}") == F.col(f"a.{a}")) & (F.col(f"b.{b}2") == F.col(f"a.{a}2"))
-    glued = nodes.where("prev != 0 or prev2 != 0").alias("b").join(nodes.where("next != 0 or next2 != 0").alias("a"), is_("prev", "seg") & is_("seg", "next") & ~is_("seg", "seg"))
-    nodes = nodes.join(glued.select(F.col("b.seg").alias("seg"), F.col("b.seg2").alias("seg2"), F.lit(True).alias("glued")), ["seg", "seg2"], "left")
+    # neighbours by half of their names: a wrong link only makes a path that later_spans judges segment by segment
+    linked = cut(found.withColumns({"next": beside(F.lead, follows, "seg"), "prev": beside(F.lag, preceded, "seg")}))
+    nodes = linked.groupBy("seg", "seg2").agg(*_ends("next", "prev"), F.min(F.struct("doc_id", "at")).alias("first"))
+    nodes = cut(nodes.select("seg", "seg2", "first", *_only("next"), *_only("prev")))
+    glued = nodes.where("prev != 0").alias("b").join(nodes.where("next != 0").alias("a"), (F.col("b.prev") == F.col("a.seg")) & (F.col("a.next") == F.col("b.seg")) & (F.col("a.seg") != F.col("b.seg")))
+    nodes = nodes.join(glued.select(F.col("b.seg").alias("seg"), F.col("b.seg2").alias("seg2"), F.lit(True).alias("glued")).distinct(), ["seg", "seg2"], "left")
     nodes = cut(nodes.select("seg", "seg2", "first", F.coalesce("glued", F.lit(False)).alias("glued")))  # likewise for a segment with many places
-    placed = linked.select("doc_id", "th", "at", "n", "seg", "seg2", ((F.col("prev") != 0) | (F.col("prev2") != 0)).alias("joined")).join(nodes, ["seg", "seg2"])
+    placed = linked.select("doc_id", "th", "at", "n", "seg", "seg2", (F.col("prev") != 0).alias("joined")).join(nodes, ["seg", "seg2"])
     head = F.when(F.col("glued") & F.col("joined"), 0).otherwise(1)
     numbered = placed.withColumn("path", F.sum(head).over(text))
     return numbered.groupBy("doc_id", "th", "path").agg(F.sort_array(F.collect_list(F.struct("at", "n", "seg", "seg2", "first"))).alias("parts")).select(

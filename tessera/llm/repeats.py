@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.shared import cut
@@ -105,7 +105,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def repeated_runs(docs: DataFrame, unit: str, width: int, k: int) -> DataFrame:
-    """(gram, digest, cnt, kinds): runs whose k-gram occurs more than once; kinds is the number of digests it has."""
+    """(gram, kinds): k-grams of more than one run; kinds is the number of digests that their runs have."""
 
     def count(buf: np.ndarray, off: np.ndarray, rows: pa.RecordBatch) -> dict:
         runs = find_runs(*tokens(buf, off, unit), width, k)
@@ -115,13 +115,16 @@ def repeated_runs(docs: DataFrame, unit: str, width: int, k: int) -> DataFrame:
     counted = emit_blocks(docs, count, "gram bigint, digest bigint, n bigint", [])
     # dealt by gram alone, so that both sums below need no further exchange
     runs = counted.repartition("gram").groupBy("gram", "digest").agg(F.sum("n").alias("cnt"))
-    group = Window.partitionBy("gram")
-    both = runs.withColumns({"kinds": F.count("*").over(group), "total": F.sum("cnt").over(group)})
-    return cut(both.where("total > 1").select("gram", "digest", "cnt", "kinds"))
+    per_gram = runs.groupBy("gram").agg(F.count("*").alias("kinds"), F.sum("cnt").alias("total"))
+    return cut(per_gram.where("total > 1").select("gram", "kinds"))
+
+
+PROBES = 4
+_SALT, _STEP = np.uint64(0xA5A5A5A5A5A5A5A5), np.uint64(0x9E3779B97F4A7C15)
 
 
 class BitTable:
-    """May a value be in the set?  Never wrong about those that are."""
+    """May a value be in the set?  Never wrong about those that are; about one in 400 others passes."""
 
     def __init__(self, bits: int, words: np.ndarray) -> None:
         self.shift, self.words = np.uint64(64 - bits), words
@@ -130,8 +133,15 @@ class BitTable:
         return bool(self.has(np.array([value], dtype=np.uint64))[0])
 
     def has(self, values: np.ndarray) -> np.ndarray:
-        at = mix(values ^ np.uint64(0xA5A5A5A5A5A5A5A5)) >> self.shift
-        return (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
+        out = np.zeros(len(values), dtype=bool)
+        left, h = np.arange(len(values)), values ^ _SALT
+        for _ in range(PROBES):
+            h = mix(h + _STEP)
+            at = h >> self.shift
+            hit = (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
+            left, h = left[hit], h[hit]
+        out[left] = True
+        return out
 
 
 def bit_table(df: DataFrame, col: str, n: int) -> BitTable:
@@ -140,7 +150,11 @@ def bit_table(df: DataFrame, col: str, n: int) -> BitTable:
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = mix(batch.column(0).to_numpy().view(np.uint64) ^ np.uint64(0xA5A5A5A5A5A5A5A5)) >> np.uint64(64 - bits)
+            h, probes = batch.column(0).to_numpy().view(np.uint64) ^ _SALT, []
+            for _ in range(PROBES):
+                h = mix(h + _STEP)
+                probes.append(h >> np.uint64(64 - bits))
+            at = np.concatenate(probes)
             yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], names=["w", "b"])
 
     words = np.zeros(1 << max(0, bits - 6), dtype=np.uint64)
