@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.repeats import bit_table, find_runs, keyed, repeated_runs, tokens
-from tessera.llm.shared import cut
+from tessera.llm.shared import cut, release
 from tessera.llm.textblock import NOT_SPACE, covered, emit_blocks, lists, map_blocks, signed, strong, word_bounds
 
 WIDTH = 20
@@ -115,8 +115,8 @@ def _pieces(opened: DataFrame) -> DataFrame:
     return pieces.groupBy(*run).agg(F.sort_array(F.collect_list(F.struct("f.i", "n", F.col("f.w").alias("seg"), F.col("f.w2").alias("seg2")))).alias("pieces"))
 
 
-def segments(docs: DataFrame, width: int = WIDTH, k: int = K) -> DataFrame:
-    """(doc_id, th, at, n, seg, seg2): every occurrence of every repeated segment."""
+def segments(docs: DataFrame, width: int = WIDTH, k: int = K) -> tuple[DataFrame, list[DataFrame]]:
+    """(doc_id, th, at, n, seg, seg2): every occurrence of every repeated segment; and the written tables that it reads."""
     runs = repeated_runs(docs, "word", width, k)
     places = cut(_candidates(docs, runs, width, k).join(runs, "gram").withColumn("gram", F.when(F.col("kinds") > 1, F.col("gram"))))  # the k-gram of others is of no more use
     plain = places.where("kinds = 1").select("doc_id", "th", F.col("lo").alias("at"), "n", "seg", "seg2")
@@ -125,13 +125,13 @@ def segments(docs: DataFrame, width: int = WIDTH, k: int = K) -> DataFrame:
     pieces = cut(_pieces(opened.where("windows is not null")))  # written, so that a run with many places can be split in the join
     mixed = places.where("kinds > 1").select("gram", "seg", "seg2", "doc_id", "th", "lo").join(pieces, ["gram", "seg", "seg2"])
     mixed = mixed.select("doc_id", "th", "lo", F.explode("pieces").alias("p")).select("doc_id", "th", (F.col("lo") + F.col("p.i")).alias("at"), F.col("p.n").alias("n"), F.col("p.seg").alias("seg"), F.col("p.seg2").alias("seg2"))
-    return plain.unionByName(mixed)
+    return plain.unionByName(mixed), [places, pieces]
 
 
-def paths(found: DataFrame) -> DataFrame:
+def paths(found: DataFrame, spent: list[DataFrame]) -> DataFrame:
     """(doc_id, th, at, n, source, parts): every occurrence of every path without branches.
 
-    ``parts`` are its segments, each with its own first place.
+    ``parts`` are its segments, each with its own first place.  The tables ``spent`` aren't needed once the links are written.
     """
     text = Window.partitionBy("doc_id", "th").orderBy("at")
     follows = F.lead("at").over(text) == F.col("at") + F.col("n")
@@ -139,6 +139,7 @@ def paths(found: DataFrame) -> DataFrame:
     beside = lambda how, there, c: F.when(there, how(c).over(text)).otherwise(F.lit(0))
     # neighbours by half of their names: a wrong link only makes a path that later_spans judges segment by segment
     linked = cut(found.withColumns({"next": beside(F.lead, follows, "seg"), "prev": beside(F.lag, preceded, "seg")}))
+    release(*spent)
     nodes = linked.groupBy("seg", "seg2").agg(*_ends("next", "prev"), F.min(F.struct("doc_id", "at")).alias("first"))
     nodes = cut(nodes.select("seg", "seg2", "first", *_only("next"), *_only("prev")))
     glued = nodes.where("prev != 0").alias("b").join(nodes.where("next != 0").alias("a"), (F.col("b.prev") == F.col("a.seg")) & (F.col("a.next") == F.col("b.seg")) & (F.col("a.seg") != F.col("b.seg")))
@@ -158,7 +159,7 @@ def later_spans(docs: DataFrame, width: int = WIDTH, k: int = K) -> DataFrame:
     An occurrence is held against its source segment by segment: each is named by 128 bits of its words, and
     stands at the source's own distance from the path's start, or else is judged against its own first place.
     """
-    found = paths(segments(docs, width, k))
+    found = paths(*segments(docs, width, k))
     at_source = lambda place, source: (source["doc_id"].eqNullSafe(F.col("doc_id"))) & (source["at"] == place)
     whole = F.forall("parts", lambda p: p["first"]["doc_id"].eqNullSafe(F.col("source.doc_id")) & (p["first"]["at"] - F.col("source.at") == p["at"] - F.col("at")))
     later = F.filter("parts", lambda p: ~at_source(p["at"], p["first"]))
