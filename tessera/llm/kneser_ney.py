@@ -20,7 +20,7 @@ kept plus share of others dropped.  A language without such others takes QUANTIL
 
 Cases: null and empty texts and those with fewer than MIN_BYTES bytes aren't judged: perplexity null
 or weak, kept true; so are documents of languages without trusted text; a null
-language is a language of its own; a document with several labels is trusted if all trust it;
+language is taken as the empty one, and returned so; very long texts are scored whole; ties of the limits are kept; a document with several labels is trusted if all trust it;
 repeated rows get equal answers; empty tables give no model, or an empty result.
 """
 
