@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from tessera.operators.ontology import primary
 
-#: Rows of a vocabulary that may be broadcast for a theta join.
+#: Rows of a side that may be broadcast.
 BROADCAST_ROWS = 200_000
+#: Letters of the pieces by which texts meet what they contain.
+PIECE = 3
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -16,6 +18,26 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+def _pieces(text: Column, n: int) -> Column:
+    """The substrings of n letters; none of a shorter text."""
+    every = F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(text, i, F.lit(n)))
+    return F.when(F.length(text) >= n, every).otherwise(F.array().cast("array<string>"))
+
+
+def join_contained(texts: DataFrame, text: str, needles: DataFrame, needle: str) -> DataFrame:
+    """texts with every row of needles whose ``needle`` stands in their ``text``; columns have names of their own.
+
+    Not all pairs are compared: a needle waits at that piece of it, of PIECE letters, which the fewest needles
+    have (a shorter one at itself), and a text calls at all its pieces.  An empty needle is in every text; null is in none.
+    """
+    n = F.length(needle)
+    own = needles.select(needle).distinct().select(needle, F.explode(F.when(n >= PIECE, F.array_distinct(_pieces(F.col(needle), PIECE))).otherwise(F.array(needle))).alias("__piece")).where(F.col(needle).isNotNull())
+    rare = own.join(own.groupBy("__piece").agg(F.count("*").alias("__n")), "__piece").groupBy(needle).agg(F.min_by("__piece", F.struct("__n", "__piece")).alias("__piece"))
+    calls = F.array_distinct(F.concat(F.array(F.lit("")), *[_pieces(F.col(text), k) for k in range(1, PIECE + 1)]))
+    asked = texts.where(F.col(text).isNotNull()).withColumn("__piece", F.explode(calls))
+    return asked.join(needles.join(rare, needle), "__piece").where(F.contains(F.col(text), F.col(needle))).drop("__piece")
+
+
 def default(c: str, value: str | int) -> Column:
     """The column, where null or empty its default."""
     return (F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(value)) if isinstance(value, str) else F.coalesce(F.col(c), F.lit(value))).alias(c)
@@ -49,9 +71,10 @@ def sections_for_exact_concept(asked: DataFrame, concepts: DataFrame, applies_to
 
 def sections_for_concept(asked: DataFrame, concepts: DataFrame, applies_to: DataFrame, sections: DataFrame) -> DataFrame:
     """The same where name or alias contains the phrase or is contained in it.  An empty phrase matches all."""
-    terms = small(concepts.select("concept_id", F.col("name").alias("concept_name"), F.explode(F.concat(F.array("name"), "aliases")).alias("term")))
-    low, term = F.lower("concept"), F.lower("term")
-    found = asked.join(terms, F.contains(term, low) | F.contains(low, term)).drop("term").dropDuplicates([*asked.columns, "concept_id"])
+    terms = concepts.select("concept_id", F.col("name").alias("concept_name"), F.explode(F.concat(F.array("name"), "aliases")).alias("term")).withColumn("term", F.lower("term"))
+    low, keep = asked.withColumn("__low", F.lower("concept")), [*asked.columns, "concept_id", "concept_name"]
+    both = join_contained(low, "__low", terms, "term").select(*keep).unionByName(join_contained(terms, "term", low, "__low").select(*keep))
+    found = both.dropDuplicates([*asked.columns, "concept_id"])
     return found.join(applies_to, "concept_id").join(sections, "section_id")
 
 

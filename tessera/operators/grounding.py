@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators.graph_reads import small
+from tessera.operators.graph_reads import join_contained, small
 
 MAX_DF, MIN_SHARE, MAX_OVERLAP = 2, 0.5, 3
 FUZZY_RATIO, FUZZY_TERMS = 0.8, 2
@@ -31,7 +31,7 @@ def normalize(phrases: DataFrame) -> DataFrame:
 
 def ground_substring(phrases: DataFrame, terms: DataFrame) -> DataFrame:
     """(phrase_id, name, ord)."""
-    return phrases.join(small(terms.where("term != ''")), F.contains(F.col("phrase"), F.col("term"))).select("phrase_id", "name", "ord").distinct()
+    return join_contained(phrases, "phrase", terms.where("term != ''"), "term").select("phrase_id", "name", "ord").distinct()
 
 
 def build_vocabulary(concepts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
