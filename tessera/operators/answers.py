@@ -110,13 +110,18 @@ def answer_lines(verified_named: DataFrame, calculations: DataFrame, conflicts:
     return out
 
 
-def assemble_answers(states: DataFrame, lines: DataFrame, scope: str = "") -> DataFrame:
-    """(query_id, status, final_answer, confidence, verified_section_ids, persona).
+def assemble_answers(states: DataFrame, lines: DataFrame, scope: str = "", warnings: DataFrame | None = None) -> DataFrame:
+    """(query_id, status, final_answer, confidence, verified_section_ids, persona, warnings).
 
     states: query_id, draft_answer, persona, error, safety_flag, in_domain, guardrail_status, confidence,
     sufficient, missing.  Answers without content have no citations and confidence 0; the persona only changes wording.
+    warnings: query_id, ord, warning, of any step; they are given in order, whatever the status.
     """
     none = F.array().cast("array<string>")
+    if warnings is not None:
+        states = states.join(warnings.groupBy("query_id").agg(STRUCT_ORDERED(F.struct("ord", F.col("warning").alias("v"))).alias("said")), "query_id", "left")
+    else:
+        states = states.withColumn("said", none)
     has = lambda c: F.size(F.coalesce(c, none)) > 0
     row = states.join(lines, "query_id", "left").withColumns({"persona": persona(F.col("persona")), "status": resolve_status(F.col("error"), F.col("safety_flag"), F.col("in_domain"), F.col("guardrail_status"))})
     lawyer = F.col("persona") == "lawyer"
@@ -145,6 +150,7 @@ def assemble_answers(states: DataFrame, lines: DataFrame, scope: str = "") -> Da
     return row.select(
         "query_id", "status", F.when(empty, fixed).otherwise(F.array_join(F.filter(pieces, lambda x: x.isNotNull()), "\n")).alias("final_answer"), F.when(empty, 0.0).otherwise(F.col("confidence")).alias("confidence"),
         F.when(empty, none).otherwise(ids).alias("verified_section_ids"), "persona",
+        F.coalesce("said", none).alias("warnings"),
     )
 
 

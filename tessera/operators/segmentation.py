@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.sources.tables import cut
 
 
 def document_lines(docs: DataFrame, col: str) -> DataFrame:
@@ -66,7 +67,7 @@ def segment(lines: DataFrame, expected: DataFrame) -> DataFrame:
     Header lines come before all filters.  After STATE AMENDMENT nothing counts until
     the next section opens; noise and footnotes are dropped; what precedes the first section, too.
     """
-    known = headers(lines)
+    known = cut(headers(lines))
     opened = opened_lines(known.where("number is not null").select("doc_id", "pos", "number"), expected)
     marked = known.drop("number").join(opened, ["doc_id", "pos"], "left")
     doc = Window.partitionBy("doc_id").orderBy("pos")
@@ -102,7 +103,7 @@ def parse_documents(docs: DataFrame, configs: DataFrame) -> tuple[DataFrame, Dat
     arranged = joined.where("parser_mode = 'arrangement_based'").withColumn("ab", T.split_arrangement(F.col("text"), F.col("start_marker"), F.col("fallback_start_marker")))
     arranged = arranged.select("doc_id", F.col("ab.arrangement").alias("arrangement"), T.cut_at_markers(F.col("ab.body"), F.col("stop_markers")).alias("body"), "expected_sections")
     plain = joined.where("parser_mode = 'body_only'").select("doc_id", F.lit("").alias("arrangement"), T.trim_to_body(F.col("text"), F.col("start_marker"), F.col("stop_markers")).alias("body"), "expected_sections")
-    both = arranged.unionByName(plain)
+    both = cut(arranged.unionByName(plain))
     given = both.where(F.size("expected_sections") > 0).select("doc_id", F.posexplode("expected_sections").alias("ord", "number"))
     derived = expected_sections(document_lines(both.where(F.coalesce(F.size("expected_sections"), F.lit(0)) <= 0), "arrangement"))
     expected = given.unionByName(derived)

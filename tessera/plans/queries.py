@@ -418,7 +418,7 @@ def answers_assembled(spark: SparkSession, d: str) -> DataFrame:
     drafts = _drafts(spark, d)
     cited = cut(answers.parse_citations(drafts))
     retrieved = cited.select("query_id", "section_id")
-    verified, _ = answers.verify_citations(cited, retrieved, view(spark, d, "sections"))
+    verified, stripped = answers.verify_citations(cited, retrieved, view(spark, d, "sections"))
     n = lambda df, c: df.groupBy("query_id").agg(F.count("*").alias(c))
     facts = drafts.select("query_id").join(n(cited, "n_cited"), "query_id", "left").join(n(verified, "n_verified"), "query_id", "left").fillna(0)
     facts = facts.selectExpr("query_id", "3 AS n_extracted", "cast(query_id % 3 AS int) AS n_ungrounded", "1 AS n_grounded", "0.6D AS seed", "query_id % 2 = 0 AS sufficient", "n_cited AS n_retrieved", "n_cited", "n_verified", "query_id % 7 = 0 AS has_conflict")
@@ -427,7 +427,7 @@ def answers_assembled(spark: SparkSession, d: str) -> DataFrame:
     none = lambda schema: spark.createDataFrame([], schema)
     named = answers.display_names(verified, _nodes(spark, d))
     lines = answers.answer_lines(named, none("query_id bigint, ord int, label string, amount double, note string"), none("query_id bigint, act_id string, act_name string, since string, predecessor string"), none("query_id bigint, act_name string, since string, n int"), none("query_id bigint, act_id string, repeal_note string, replacement_note string"))
-    return answers.assemble_answers(states, lines, "scope")
+    return answers.assemble_answers(states, lines, "scope", stripped)
 
 
 @query()

@@ -56,9 +56,20 @@ def act_metadata_violations(acts: DataFrame) -> DataFrame:
     return broken.unionByName(none)
 
 
+_SECTION_MAP = "mappings string, extra_aliases string, state_only_concepts array<string>"
+
+
+def read_section_map_extras(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(extra aliases as (concept_id, alias, ord), concepts that need no central law as (concept_id)) of the same object."""
+    raw = _json(spark, path, _SECTION_MAP, whole=True)
+    each = raw.select(F.posexplode(F.map_entries(F.from_json("extra_aliases", "map<string,array<string>>"))).alias("i", "e")).where(~F.startswith(F.col("e.key"), F.lit("_")))
+    aliases = each.select("i", F.col("e.key").alias("concept_id"), F.posexplode("e.value").alias("j", "alias"))
+    return aliases.select("concept_id", "alias", (F.col("i").cast("bigint") * 100_000 + F.col("j")).alias("ord")), raw.select(F.explode("state_only_concepts").alias("concept_id"))
+
+
 def read_section_map(spark: SparkSession, path: str) -> DataFrame:
     """(section_id, concept_id, relevance, ord) from an object of lists of pairs; keys that start with _ are comments."""
-    raw = _json(spark, path, "mappings string, extra_aliases string, state_only_concepts array<string>", whole=True)
+    raw = _json(spark, path, _SECTION_MAP, whole=True)
     each = raw.select(F.posexplode(F.map_entries(F.from_json("mappings", "map<string,array<array<string>>>"))).alias("i", "e")).where(~F.startswith(F.col("e.key"), F.lit("_")))
     pairs = each.select("i", F.col("e.key").alias("section_id"), F.posexplode("e.value").alias("j", "p"))
     return pairs.select("section_id", F.col("p")[0].alias("concept_id"), F.col("p")[1].alias("relevance"), (F.col("i").cast("bigint") * 100_000 + F.col("j")).alias("ord"))

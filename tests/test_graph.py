@@ -274,3 +274,31 @@ def test_reads(spark):
     assert [r.section_id for r in exact.orderBy(*graph_reads.anchor_order()).collect()] == ["A_S10", "A_S2", "A_S1"]  # numbers sort as text
     loose = graph_reads.sections_for_concept(df(spark, "query_id int, concept string", [(1, "retrench"), (2, "")]), concepts, ap, sections)
     assert rows(loose.groupBy("query_id").count(), "query_id", "count") == [(1, 3), (2, 3)]
+
+
+def test_contained_phrases_meet_like_all_pairs(spark):
+    said = ["", "a", "ab", "abc", "abab", "xaby", "topic 12", "the topic 1 and topic 12", "ß€ß", None, "abc", "zzzz" * 200]
+    terms = ["", "a", "b", "ab", "abc", "topic 1", "topic 12", "€ß", None, "zzz", "nowhere", "ab"]
+    texts = spark.createDataFrame(list(enumerate(said)), "i int, text string")
+    needles = spark.createDataFrame(list(enumerate(terms)), "j int, needle string")
+    found = sorted((r.i, r.j) for r in graph_reads.join_contained(texts, "text", needles, "needle").collect())
+    assert found == sorted((i, j) for i, s in enumerate(said) for j, t in enumerate(terms) if s is not None and t is not None and t in s)
+    assert graph_reads.join_contained(texts, "text", needles.where("false"), "needle").count() == 0
+    assert graph_reads.join_contained(texts.where("false"), "text", needles, "needle").count() == 0
+
+
+def test_section_map_extras(spark, tmp_path):
+    path = tmp_path / "map.json"
+    path.write_text('{"mappings": {"A_S1": [["c1", "primary"]]}, "extra_aliases": {"_note": ["x"], "c1": ["one", "two"], "c2": ["three"]}, "state_only_concepts": ["c2"]}')
+    aliases, state_only = readers.read_section_map_extras(spark, str(path))
+    assert [(r.concept_id, r.alias) for r in aliases.orderBy("ord").collect()] == [("c1", "one"), ("c1", "two"), ("c2", "three")]
+    assert [r.concept_id for r in state_only.collect()] == ["c2"]
+
+
+def test_warnings_come_with_the_answer(spark):
+    states = spark.sql("SELECT id AS query_id, 'Draft' AS draft_answer, 'user' AS persona, CASE WHEN id = 1 THEN 'failed' END AS error, cast(null AS string) AS safety_flag, true AS in_domain, 'ok' AS guardrail_status, 0.9D AS confidence, true AS sufficient, '' AS missing FROM range(3)")
+    lines = spark.sql("SELECT 0L AS query_id, array('A_S1') AS ids, array('Section 1') AS names, array('') AS amounts, array('') AS conflicts, array('') AS since, array('') AS repealed, array('') AS replaced")
+    warnings = spark.createDataFrame([(1, 2, "second"), (1, 1, "first"), (2, 0, "only")], "query_id long, ord int, warning string")
+    got = {r.query_id: r.warnings for r in answers.assemble_answers(states, lines, "", warnings).collect()}
+    assert got == {0: [], 1: ["first", "second"], 2: ["only"]}
+    assert all(r.warnings == [] for r in answers.assemble_answers(states, lines).collect())
