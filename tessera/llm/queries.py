@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import debruijn, decontaminate, kneser_ney, mixing, pii, quality_rules, secrets, sharding, simhash, substring_sa
+from tessera.llm import centroids, debruijn, decontaminate, jaccard, kneser_ney, mixing, pii, quality_rules, secrets, sharding, simhash, spelling, substring_sa
 from tessera.llm.shared import table
 
 
@@ -51,8 +51,20 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_mixing, op3_secret_scan, op4_sharding, op5_quality_classifier, op6_decontamination, op7_personal_data, op8_quality_rules, op9_span_dedup, op10_simhash)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_mixing, op3_secret_scan, op4_sharding, op5_quality_classifier, op6_decontamination, op7_personal_data, op8_quality_rules, op9_span_dedup, op10_simhash, op11_spelling_variants, op12_centroid_clusters, op13_jaccard_join)}
 
 
 #: Words removed where a window of 20 starts earlier too.
@@ -84,5 +96,37 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+_NEAREST = """
+d{i} AS MATERIALIZED (SELECT vec_id, arg_min(c, (d, c)) AS c, min(d) AS d FROM (
+  SELECT vec_id, c, list_sum(list_transform(list_zip(v, m), lambda x: (x[1] - x[2]) * (x[1] - x[2])))::BIGINT AS d FROM vec, c{i}) GROUP BY vec_id)"""
+_MOVED = """
+s{i} AS (SELECT c, p, sum(v[p])::BIGINT AS s, count(*) AS n FROM d{i} JOIN vec USING (vec_id), unnest(range(1, 65)) AS u(p) GROUP BY c, p),
+c{j} AS MATERIALIZED (SELECT o.c, coalesce(x.m, o.m) AS m FROM c{i} o LEFT JOIN (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY p) AS m FROM s{i} GROUP BY c) x USING (c))"""
+#: Three rounds of integer Lloyd's over vectors of unique ids.
+_CENTROIDS_SQL = """
+WITH vec AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 64)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS c, v AS m FROM (SELECT sha256(concat('1:', vec_id)) AS h, v FROM vec ORDER BY h LIMIT 16)),
+""" + ",".join(_NEAREST.format(i=i) + "," + _MOVED.format(i=i, j=i + 1) for i in range(3)) + "," + _NEAREST.format(i=3) + """
+SELECT vec_id, d3.c::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY d3.c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM d3 JOIN c3 ON d3.c = c3.c
+"""
+
+#: Documents whose sets of 4-word shingles overlap by 85 percent, and what is reachable by such links.
+_JACCARD_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, hash(array_to_string(list_slice(w, i, i + 3), ' ')) AS k FROM d, unnest(range(1, greatest(len(w) - 2, 2))) AS u(i) WHERE len(w) > 0),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n, list(k) AS ks FROM s GROUP BY doc_id),
+f AS (SELECT doc_id, k, row_number() OVER (PARTITION BY doc_id ORDER BY df, k) AS p FROM s JOIN (SELECT k, count(*) AS df FROM s GROUP BY k) USING (k)),
+pre AS MATERIALIZED (SELECT f.doc_id, k FROM f JOIN n USING (doc_id) WHERE p <= n - (85 * n + 99) // 100 + 1),
+cand AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM pre a JOIN pre b ON a.k = b.k AND a.doc_id < b.doc_id),
+l AS MATERIALIZED (SELECT a, b FROM (SELECT a, b, x.n + y.n AS n, len(list_intersect(x.ks, y.ks)) AS i FROM cand JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b) WHERE 185 * i >= 85 * n),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS m FROM r GROUP BY a) USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontamination": _LEAKS_SQL, "op9_span_dedup": _SPANS_SQL}
+    return {"op6_decontamination": _LEAKS_SQL, "op9_span_dedup": _SPANS_SQL, "op12_centroid_clusters": _CENTROIDS_SQL, "op13_jaccard_join": _JACCARD_SQL}

@@ -138,3 +138,83 @@ def op10(rows):
                 x, y = sorted((root(a), root(b)))
                 parent[y] = x
     return {d: (f"{prints[d]:016x}", root(d)) for d in ids}
+
+
+def op11(rows):
+    import zlib
+
+    counts = defaultdict(int)
+    for d, t in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", t or ""):
+            w = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in run)
+            h = zlib.crc32(f"{'' if d is None else d}:{w}".encode())
+            if h % 97 == 0:
+                w = w[: h % len(w)] + w[h % len(w) + 1 :]
+            counts[w] += 1
+    n = {w: c for w, c in counts.items() if len(w) >= 5 and c >= 3}
+    shorter = lambda w: {w[:i] + w[i + 1 :] for i in range(len(w))}
+
+    def near(a, b):
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b)) == 1
+        return a in shorter(b) if len(a) < len(b) else b in shorter(a)
+
+    by = {w: [v for v in n if v != w and near(w, v)] for w in n}
+    form = {}
+    for w, vs in by.items():
+        best = min(vs, key=lambda v: (-n[v], v), default=None)
+        form[w] = best if best is not None and n[best] >= 2 * n[w] else None
+
+    def root(w):
+        while form[w] is not None:
+            w = form[w]
+        return w
+
+    return {w: (form[w], root(w), n[w], len(by[w]), None if form[w] is None else n[form[w]]) for w in n}
+
+
+def op12(rows, k=16, rounds=3, dims=64):
+    import math
+
+    kept = []
+    for i, v in rows:
+        if v is not None and len(v) == dims and all(x is not None and math.isfinite(x) for x in v):
+            kept.append((i, [math.floor(64 * x) for x in v]))
+    cents = [v for _, v in sorted((sha(f"1:{'' if i is None else i}"), v) for i, v in kept)[:k]]
+    dist = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b))
+    near = lambda v: min((dist(v, c), j) for j, c in enumerate(cents))
+    for _ in range(rounds):
+        own = [near(v)[1] for _, v in kept]
+        for j in range(len(cents)):
+            mine = [v for (_, v), c in zip(kept, own) if c == j]
+            if mine:
+                cents[j] = [sum(col) // len(mine) for col in zip(*mine)]
+    last = [near(v) for _, v in kept]
+    per = defaultdict(int)
+    for d, j in last:
+        per[j] += d
+    return [(i, j, d, per[j], sum(per.values()), sha(",".join(map(str, cents[j])))) for (i, _), (d, j) in zip(kept, last)]
+
+
+def op13(rows):
+    sets = []
+    for _, t in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in (t or "")))
+        sets.append({tuple(words[i : i + 4]) for i in range(len(words) - 3)} or ({tuple(words)} if words else set()))
+    parent = list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if a and b and 100 * len(a & b) >= 85 * len(a | b):
+                parent[root(i)] = root(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            least[root(i)] = min(least.get(root(i), d), d)
+    return [(d, len(sets[i]), d if not sets[i] else least.get(root(i))) for i, (d, _) in enumerate(rows)]
