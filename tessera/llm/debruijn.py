@@ -19,7 +19,7 @@ Copies cost one row each, never a pair; all groups meet as sums over keys.
 
 Cases: null and empty texts have no words; texts of fewer words than a window keep
 all; very long texts are cut into overlapping pieces for the search and rebuilt whole; rows with equal doc_id are at one place in the order, so neither is earlier
-than the other at an equal start; a null doc_id comes before all others; an empty table gives an empty result;
+than the other at an equal start, and each of them is walked by itself; a null doc_id comes before all others; an empty table gives an empty result;
 other columns don't matter.
 """
 
@@ -29,6 +29,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,15 +42,17 @@ K = 6
 
 
 def _candidates(docs: DataFrame, runs: DataFrame, width: int, k: int) -> DataFrame:
-    """(gram, doc_id, th, lo, n, seg, seg2, windows, windows2): runs that may repeat, named by 128 bits of their words.
+    """(gram, row, doc_id, th, lo, n, seg, seg2, windows, windows2): runs that may repeat, named by 128 bits of their words.
 
-    Where the k-gram has several digests, also 128 bits of each window, once a block.
+    ``row`` numbers the rows of docs, so that rows with equal doc_id and text stay apart.  Where the k-gram has several digests, there are
+    also 128 bits of each window, once a block.
     """
     many = docs.sparkSession.sparkContext.broadcast(bit_table(runs, "gram", runs.count()))
     mixed_runs = runs.where("kinds > 1")
     mixed = docs.sparkSession.sparkContext.broadcast(bit_table(mixed_runs, "gram", mixed_runs.count()))
+    numbers: dict[int, int] = {}  # by task: the next row
 
-    def find(buf: np.ndarray, off: np.ndarray, rows: pa.RecordBatch, many=many, mixed=mixed) -> dict:
+    def find(buf: np.ndarray, off: np.ndarray, rows: pa.RecordBatch, many=many, mixed=mixed, numbers=numbers) -> dict:
         values, at = tokens(buf, off, "word")
         found = find_runs(values, at, width, k)
         keep = np.flatnonzero(many.value.has(found.gram))
@@ -66,12 +69,15 @@ def _candidates(docs: DataFrame, runs: DataFrame, width: int, k: int) -> DataFra
         starts = np.repeat(begin - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
         each = strong([b" ".join(words[a : a + width]) for a in starts.tolist()])
         ids, hashes_of = (rows.column(i).take(pa.array(doc)) for i in range(2))  # not the texts
+        task = TaskContext.get()
+        first_row = numbers.setdefault(task.taskAttemptId(), task.partitionId() << 40)
+        numbers[task.taskAttemptId()] = first_row + len(off) - 1
         return {
-            "gram": signed(gram), "doc_id": ids, "th": hashes_of, "lo": lo.astype(np.int64), "n": n.astype(np.int64),
+            "gram": signed(gram), "row": first_row + doc, "doc_id": ids, "th": hashes_of, "lo": lo.astype(np.int64), "n": n.astype(np.int64),
             "seg": seg[0], "seg2": seg[1], "windows": lists(each[0], counts), "windows2": lists(each[1], counts),
         }
 
-    return emit_blocks(docs, find, "gram bigint, doc_id bigint, th bigint, lo bigint, n bigint, seg bigint, seg2 bigint, windows array<bigint>, windows2 array<bigint>", ["doc_id", "__th"])
+    return emit_blocks(docs, find, "gram bigint, row bigint, doc_id bigint, th bigint, lo bigint, n bigint, seg bigint, seg2 bigint, windows array<bigint>, windows2 array<bigint>", ["doc_id", "__th"])
 
 
 def _same(*cols: str) -> Column:
@@ -116,24 +122,25 @@ def _pieces(opened: DataFrame) -> DataFrame:
 
 
 def segments(docs: DataFrame, width: int = WIDTH, k: int = K) -> tuple[DataFrame, list[DataFrame]]:
-    """(doc_id, th, at, n, seg, seg2): every occurrence of every repeated segment; and the written tables that it reads."""
+    """(row, doc_id, th, at, n, seg, seg2): every occurrence of every repeated segment; and the written tables that it reads."""
     runs = repeated_runs(docs, "word", width, k)
     places = cut(_candidates(docs, runs, width, k).join(runs, "gram").withColumn("gram", F.when(F.col("kinds") > 1, F.col("gram"))))  # the k-gram of others is of no more use
-    plain = places.where("kinds = 1").select("doc_id", "th", F.col("lo").alias("at"), "n", "seg", "seg2")
+    plain = places.where("kinds = 1").select("row", "doc_id", "th", F.col("lo").alias("at"), "n", "seg", "seg2")
     # counted anew under the names of 128 bits: runs that only share a digest are told apart here
     opened = places.where("kinds > 1").groupBy("gram", "seg", "seg2").agg(F.count("*").alias("cnt"), *[F.first(F.when(F.size(c) > 0, F.col(c)), ignorenulls=True).alias(c) for c in ("windows", "windows2")])
     pieces = cut(_pieces(opened.where("windows is not null")))  # written, so that a run with many places can be split in the join
-    mixed = places.where("kinds > 1").select("gram", "seg", "seg2", "doc_id", "th", "lo").join(pieces, ["gram", "seg", "seg2"])
-    mixed = mixed.select("doc_id", "th", "lo", F.explode("pieces").alias("p")).select("doc_id", "th", (F.col("lo") + F.col("p.i")).alias("at"), F.col("p.n").alias("n"), F.col("p.seg").alias("seg"), F.col("p.seg2").alias("seg2"))
+    mixed = places.where("kinds > 1").select("gram", "seg", "seg2", "row", "doc_id", "th", "lo").join(pieces, ["gram", "seg", "seg2"])
+    mixed = mixed.select("row", "doc_id", "th", "lo", F.explode("pieces").alias("p")).select("row", "doc_id", "th", (F.col("lo") + F.col("p.i")).alias("at"), F.col("p.n").alias("n"), F.col("p.seg").alias("seg"), F.col("p.seg2").alias("seg2"))
     return plain.unionByName(mixed), [places, pieces]
 
 
 def paths(found: DataFrame, spent: list[DataFrame]) -> DataFrame:
-    """(doc_id, th, at, n, source, parts): every occurrence of every path without branches.
+    """(row, doc_id, th, at, n, source, parts): every occurrence of every path without branches.
 
-    ``parts`` are its segments, each with its own first place.  The tables ``spent`` aren't needed once the links are written.
+    ``parts`` are its segments, each with its own first place.  Paths run within a row: rows with equal doc_id and text
+    each have their own.  The tables ``spent`` aren't needed once the links are written.
     """
-    text = Window.partitionBy("doc_id", "th").orderBy("at")
+    text = Window.partitionBy("row").orderBy("at")
     follows = F.lead("at").over(text) == F.col("at") + F.col("n")
     preceded = F.lag("at").over(text) + F.lag("n").over(text) == F.col("at")
     beside = lambda how, there, c: F.when(there, how(c).over(text)).otherwise(F.lit(0))
@@ -145,11 +152,11 @@ def paths(found: DataFrame, spent: list[DataFrame]) -> DataFrame:
     glued = nodes.where("prev != 0").alias("b").join(nodes.where("next != 0").alias("a"), (F.col("b.prev") == F.col("a.seg")) & (F.col("a.next") == F.col("b.seg")) & (F.col("a.seg") != F.col("b.seg")))
     nodes = nodes.join(glued.select(F.col("b.seg").alias("seg"), F.col("b.seg2").alias("seg2"), F.lit(True).alias("glued")).distinct(), ["seg", "seg2"], "left")
     nodes = cut(nodes.select("seg", "seg2", "first", F.coalesce("glued", F.lit(False)).alias("glued")))  # likewise for a segment with many places
-    placed = linked.select("doc_id", "th", "at", "n", "seg", "seg2", (F.col("prev") != 0).alias("joined")).join(nodes, ["seg", "seg2"])
+    placed = linked.select("row", "doc_id", "th", "at", "n", "seg", "seg2", (F.col("prev") != 0).alias("joined")).join(nodes, ["seg", "seg2"])
     head = F.when(F.col("glued") & F.col("joined"), 0).otherwise(1)
-    numbered = placed.withColumn("path", F.sum(head).over(text))
-    return numbered.groupBy("doc_id", "th", "path").agg(F.sort_array(F.collect_list(F.struct("at", "n", "seg", "seg2", "first"))).alias("parts")).select(
-        "doc_id", "th", F.col("parts")[0]["at"].alias("at"), F.aggregate("parts", F.lit(0).cast("bigint"), lambda acc, p: acc + p["n"]).alias("n"), F.col("parts")[0]["first"].alias("source"), "parts"
+    numbered = placed.withColumn("path", F.sum(head).over(text.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return numbered.groupBy("row", "path").agg(F.first("doc_id").alias("doc_id"), F.first("th").alias("th"), F.sort_array(F.collect_list(F.struct("at", "n", "seg", "seg2", "first"))).alias("parts")).select(
+        "row", "doc_id", "th", F.col("parts")[0]["at"].alias("at"), F.aggregate("parts", F.lit(0).cast("bigint"), lambda acc, p: acc + p["n"]).alias("n"), F.col("parts")[0]["first"].alias("source"), "parts"
     )
 
 
@@ -165,7 +172,8 @@ def later_spans(docs: DataFrame, width: int = WIDTH, k: int = K) -> DataFrame:
     later = F.filter("parts", lambda p: ~at_source(p["at"], p["first"]))
     spans = F.when(whole, F.when(~at_source(F.col("at"), F.col("source")), F.array(F.struct(F.col("at").alias("at"), F.col("n").alias("n"))))).otherwise(F.transform(later, lambda p: F.struct(p["at"].alias("at"), p["n"].alias("n"))))
     spans = found.select("doc_id", "th", F.explode(spans).alias("x"))
-    return spans.groupBy("doc_id", "th").agg(F.collect_list(F.struct(F.col("x.at").alias("a"), (F.col("x.at") + F.col("x.n") - 1 + width).alias("b"))).alias("spans"))
+    # equal rows have the same spans, each kept once
+    return spans.groupBy("doc_id", "th").agg(F.collect_set(F.struct(F.col("x.at").alias("a"), (F.col("x.at") + F.col("x.n") - 1 + width).alias("b"))).alias("spans"))
 
 
 def remove_later(docs: DataFrame, width: int = WIDTH, k: int = K) -> DataFrame:

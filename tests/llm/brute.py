@@ -218,3 +218,21 @@ def op13(rows):
         if d is not None:
             least[root(i)] = min(least.get(root(i), d), d)
     return [(d, len(sets[i]), d if not sets[i] else least.get(root(i))) for i, (d, _) in enumerate(rows)]
+
+
+def op9_rows(rows, width):
+    """A list, in the order of the rows, also where ids repeat; a null id comes before all others."""
+    order = lambda d: (d is not None, d or 0)
+    first, split = {}, [(order(d), (t or "").encode().split()) for d, t in rows]
+    for d, w in split:
+        for i in range(len(w) - width + 1):
+            k = tuple(w[i : i + width])
+            first[k] = min(first.get(k, (d, i)), (d, i))
+    out = []
+    for d, w in split:
+        gone = bytearray(len(w))
+        for i in range(len(w) - width + 1):
+            if first[tuple(w[i : i + width])] < (d, i):
+                gone[i : i + width] = b"\1" * width
+        out.append((len(w), sum(gone), sha(b" ".join(x for x, g in zip(w, gone) if not g))))
+    return out

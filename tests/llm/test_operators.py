@@ -68,6 +68,22 @@ def test_repeated_rows_get_equal_answers(spark):
     assert [r.n_removed for r in substring_sa.remove_repeats(df, 40, 20).collect()] == [len(text)] * 3
 
 
+@pytest.mark.parametrize(("width", "k"), [(8, 3), (20, 6)])
+def test_op9_twins_and_triples_against_brute_force(spark, width, k):
+    rng = random.Random(width)
+    loop = "one two three four five six seven eight nine ten eleven twelve " * 3
+    tail = " ".join(f"t{i}" for i in range(200))
+    line = " ".join(f"l{i}" for i in range(30))
+    texts = [loop, loop + tail, line + " " + loop + line, "x y " * 40, " ".join(rng.choice(WORDS) for _ in range(80)) + " " + line + " " + tail]
+    rows = []
+    for i, t in enumerate(texts):
+        rows += [(i, t)] * (1 + i % 3) + [(None, t)] * (i % 2 * 2) + [(i + 10, t + " " + t)] * 2
+    rows += [(3, texts[0]), (2, texts[1]), (None, None), (5, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sorted(((r.doc_id is not None, r.doc_id or 0, r.n_words, r.n_removed, r.kept_sha256) for r in debruijn.remove_later(df, width, k).collect()))
+    assert got == sorted((d is not None, d or 0, *x) for (d, _), x in zip(rows, brute.op9_rows(rows, width)))
+
+
 def test_op2_quotas_and_limits(spark):
     texts = [("w " * (1 + i % 37)) for i in range(200)] + [None, ""]
     df = frame(spark, texts)
