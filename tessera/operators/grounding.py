@@ -9,11 +9,12 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators.graph_reads import join_contained, small
+from tessera.sources.tables import cut
 
 MAX_DF, MIN_SHARE, MAX_OVERLAP = 2, 0.5, 3
 FUZZY_RATIO, FUZZY_TERMS = 0.8, 2
@@ -60,29 +61,58 @@ def ground_overlap(phrases: DataFrame, concepts: DataFrame) -> DataFrame:
     return best.withColumn("n", F.row_number().over(top)).where(F.col("n") <= MAX_OVERLAP)
 
 
-def ground_fuzzy(phrases: DataFrame, terms: DataFrame) -> DataFrame:
-    """(phrase_id, name, n) from the first n-gram, longest first, with a term of ratio FUZZY_RATIO or more.
+def _letters(text: Column) -> Column:
+    """Each letter of a text with the number of times it has come before: what two texts can share, as a set."""
+    each = F.split(text, "")
+    # sorted, so that equal letters stand together; a letter's place among them is its place less the first such place
+    together = F.array_sort(F.filter(each, lambda x: x != ""))
+    return F.transform(together, lambda x, i: F.concat(x, (i - F.array_position(together, x) + 1).cast("string")))
+
 
-    A pair is compared only if its lengths allow the ratio.  Of equal texts the last
-    concept counts.
+def close_pairs(left: DataFrame, right: DataFrame, ratio: float = FUZZY_RATIO) -> DataFrame:
+    """(gram, term, r) of texts in left.gram and right.term whose matching ratio is ``ratio`` or more.
+
+    The ratio is twice the letters matched in order over both lengths, so at least ratio / 2 of all letters are shared.
+    Letters are numbered by occurrence and ordered by rarity; texts that share so many also share one within
+    the first few of each, which is the join's key.  Lengths and shared letters are compared before the ratio itself; no pair that has it is lost.
     """
-    last = terms.groupBy("term").agg(F.max_by("name", F.struct("ord", "term_ord")).alias("name"))
-    grams = phrases.select("phrase_id", F.posexplode(T.word_ngrams(F.col("phrase"))).alias("g", "gram"))
-    short, total = F.least(F.length("gram"), F.length("term")), F.length("gram") + F.length("term")
-    pairs = grams.join(small(last), 2 * short >= FUZZY_RATIO * total)
+    part = ratio / 2
+    texts = left.select("gram").distinct().select(F.col("gram").alias("t"), F.lit(0).alias("side")).unionByName(right.select("term").distinct().select(F.col("term").alias("t"), F.lit(1).alias("side")))
+    texts = cut(texts.where("t != ''").withColumns({"letters": _letters(F.col("t")), "len": F.length("t")}))
+    each = texts.select("t", "side", "len", F.explode("letters").alias("letter"))
+    seen = each.groupBy("letter").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("side", "t").orderBy("n", "letter")
+    # a partner has at least part / (1 - part) of this length, so at least so many letters are shared
+    shared = F.ceil(F.col("len") * part / (1 - part) - 1e-9)
+    firsts = each.join(seen, "letter").withColumn("place", F.row_number().over(order)).where(F.col("place") <= F.col("len") - shared + 1)
+    firsts = cut(firsts.select("t", "side", "len", "letter", "place"))
+    a = firsts.where("side = 0").select("letter", F.col("t").alias("gram"), F.col("len").alias("n"), F.col("place").alias("i"))
+    b = firsts.where("side = 1").select("letter", F.col("t").alias("term"), F.col("len").alias("m"), F.col("place").alias("j"))
+    need = F.ceil((F.col("n") + F.col("m")) * part - 1e-9)
+    able = 1 + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j"))  # where the first shared letter stands, no more can follow
+    met = a.join(b, "letter").where(F.least("n", "m") >= need).groupBy("gram", "term", "n", "m").agg(F.max(able).alias("able"))
+    met = met.where(F.col("able") >= need)
+    own = lambda side, name: texts.where(F.col("side") == side).select(F.col("t").alias(name), F.col("letters").alias(f"{name}_letters"))
+    met = met.join(own(0, "gram"), "gram").join(own(1, "term"), "term").where(F.size(F.array_intersect("gram_letters", "term_letters")) >= need)
 
     @F.pandas_udf("double")
-    def ratio(term: pd.Series, gram: pd.Series) -> pd.Series:
-        def one(t: str, g: str) -> float:
-            m = SequenceMatcher(None, t, g)
-            return m.ratio() if m.quick_ratio() >= FUZZY_RATIO else 0.0
+    def matched(term: pd.Series, gram: pd.Series) -> pd.Series:
+        return pd.Series([SequenceMatcher(None, t, g).ratio() for t, g in zip(term, gram, strict=True)])
+
+    return met.select("gram", "term", matched("term", "gram").alias("r")).where(F.col("r") >= ratio)
 
-        return pd.Series([one(t, g) for t, g in zip(term, gram, strict=True)])
 
-    close = pairs.withColumn("r", ratio("term", "gram")).where(F.col("r") >= FUZZY_RATIO)
+def ground_fuzzy(phrases: DataFrame, terms: DataFrame) -> DataFrame:
+    """(phrase_id, name, n) from the first n-gram, longest first, with a term of ratio FUZZY_RATIO or more.
+
+    Distinct n-grams meet distinct terms in ``close_pairs``.  Of equal texts the last concept counts.
+    """
+    last = terms.groupBy("term").agg(F.max_by("name", F.struct("ord", "term_ord")).alias("name"))
+    grams = cut(phrases.select("phrase_id", F.posexplode(T.word_ngrams(F.col("phrase"))).alias("g", "gram")))
+    close = grams.join(cut(close_pairs(grams, last)), "gram")
     first = close.withColumn("first", F.min("g").over(Window.partitionBy("phrase_id"))).where("g = first")
     order = Window.partitionBy("phrase_id").orderBy(F.desc("r"), F.desc("term"))
-    top = first.withColumn("n", F.row_number().over(order)).where(F.col("n") <= FUZZY_TERMS)
+    top = first.withColumn("n", F.row_number().over(order)).where(F.col("n") <= FUZZY_TERMS).join(last, "term")
     return top.groupBy("phrase_id", "name").agg(F.min("n").alias("n"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,27 +31,60 @@ INTERNAL_HINTS = (
     "save as otherwise provided in", "under section", "under sections", "in section", "in sections", "sub-section",
 )
 BEFORE, AFTER = 140, 160
+#: Letters of a text's pages, and values summed at once.
+PAGE, CHUNK = 4096, 128
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once, however often body uses it."""
+    return F.transform(F.array(value), body)[0]
+
 
+def _running_sums(values: Column) -> Column:
+    """The sums of all values before each: within chunks, and over the chunks' sums, so no array grows step by step."""
+    add = lambda x: F.aggregate(x, F.lit(0), lambda acc, v: acc + v)
+    cut_up = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / CHUNK).cast("int")), lambda c: F.slice(values, c * CHUNK + 1, F.lit(CHUNK)))
+    each = lambda chunk, base: F.transform(chunk, lambda v, i: base + add(F.slice(chunk, F.lit(1), i)))
+    bases = lambda chunks: _let(F.transform(chunks, add), lambda sums: F.transform(sums, lambda v, c: add(F.slice(sums, F.lit(1), c))))
+    whole = _let(cut_up, lambda chunks: F.flatten(F.zip_with(chunks, bases(chunks), each)))
+    return F.when(F.size(values) > 0, whole).otherwise(F.array().cast("array<int>"))
 
-def _matches(text: Column, pattern: str, groups: int, kind: int) -> Column:
-    """Structs (start, end, kind, ord, a, b), 0-based, end exclusive: running sums of pieces and matches."""
+
+def _matches(text: Column, pages: Column, pattern: str, groups: int, kind: int) -> Column:
+    """Structs (start, end, kind, ord, a, b, near, following), 0-based, end exclusive: running sums of pieces and matches."""
     pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0)
-    pairs = F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda p, m: F.struct(F.length(p).alias("gap"), m.alias("m")))
+    spans = F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda p, m: F.struct(F.length(p).alias("gap"), F.length(m).alias("len"), m.alias("m")))
     number = lambda m, g: F.nullif(F.regexp_extract(m, pattern, g), F.lit("")) if g <= groups else F.lit(None).cast("string")
-    row = lambda acc, x: F.struct(
-        (acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + F.length(x["m"])).alias("end"), F.lit(kind).alias("kind"), F.size(acc["out"]).alias("ord"), number(x["m"], 1).alias("a"), number(x["m"], 2).alias("b")
-    )
-    none = F.array().cast("array<struct<start:int,end:int,kind:int,ord:int,a:string,b:string>>")
-    step = lambda acc, x: F.struct((acc["at"] + x["gap"] + F.length(x["m"])).alias("at"), F.concat(acc["out"], F.array(row(acc, x))).alias("out"))
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+
+    def row(x: Column, start: Column, end: Column, i: Column) -> Column:
+        lo = F.greatest(start - BEFORE, F.lit(0))
+        cut_out = lambda at, n: F.substring(pages[F.floor(at / PAGE).cast("int")], at % PAGE + 1, n)
+        long = end - start > PAGE  # a match with very much blank in it
+        near = F.when(long, F.substring(text, lo + 1, end + BEFORE - lo)).otherwise(cut_out(lo, end + BEFORE - lo))
+        return F.struct(
+            start.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), i.alias("ord"), number(x["m"], 1).alias("a"), number(x["m"], 2).alias("b"),
+            squeeze(near).alias("near"), squeeze(F.when(end >= F.length(text), "").otherwise(cut_out(end, F.lit(AFTER)))).alias("following"),
+        )
+
+    def rows(spans: Column) -> Column:
+        before = _let(F.transform(spans, lambda x: x["gap"] + x["len"]), _running_sums)
+        return F.transform(F.zip_with(spans, before, lambda x, at: F.struct(x.alias("x"), at.alias("at"))), lambda z, i: row(z["x"], z["at"] + z["x"]["gap"], z["at"] + z["x"]["gap"] + z["x"]["len"], i))
+
+    return _let(spans, rows)
 
 
 def reference_candidates(sections: DataFrame) -> DataFrame:
-    """sections with raw_no, start, end, cand_ord: a pair or range gives both its ends, with one span."""
+    """sections with raw_no, start, end, cand_ord, near and following, without their texts: a pair or range gives both its ends, with one span.
+
+    The words around a match are cut from a page of the text, so a candidate costs the same wherever it stands, and none carries the whole text.
+    """
     text = F.coalesce("section_text", F.lit(""))
-    found = F.concat(_matches(text, SECTION_REF, 2, 0), _matches(text, SUBSECTION_REF, 1, 1))
-    each = sections.withColumn("__m", F.explode(found)).withColumn("__n", F.explode(F.filter(F.array(F.struct(F.lit(0).alias("i"), F.col("__m.a").alias("no")), F.struct(F.lit(1).alias("i"), F.col("__m.b").alias("no"))), lambda x: x["no"].isNotNull())))
-    return each.withColumns({"raw_no": F.col("__n.no"), "start": F.col("__m.start"), "end": F.col("__m.end"), "cand_ord": (F.col("__m.kind") * 1_000_000 + F.col("__m.ord")) * 2 + F.col("__n.i")}).drop("__m", "__n")
+    pages = lambda t: F.transform(F.sequence(F.lit(0), F.floor(F.length(t) / PAGE).cast("int")), lambda k: F.substring(t, k * PAGE + 1, F.lit(2 * PAGE + BEFORE * 2 + AFTER)))
+    found = _let(text, lambda t: _let(pages(t), lambda p: F.concat(_matches(t, p, SECTION_REF, 2, 0), _matches(t, p, SUBSECTION_REF, 1, 1))))
+    each = sections.select(*[c for c in sections.columns if c != "section_text"], F.explode(found).alias("__m"))
+    each = each.withColumn("__n", F.explode(F.filter(F.array(F.struct(F.lit(0).alias("i"), F.col("__m.a").alias("no")), F.struct(F.lit(1).alias("i"), F.col("__m.b").alias("no"))), lambda x: x["no"].isNotNull())))
+    columns = {"raw_no": F.col("__n.no"), "cand_ord": (F.col("__m.kind") * 1_000_000_000 + F.col("__m.ord")).cast("bigint") * 2 + F.col("__n.i")}
+    return each.withColumns(columns | {c: F.col(f"__m.{c}") for c in ("start", "end", "near", "following")}).drop("__m", "__n")
 
 
 def section_lookup(sections: DataFrame) -> DataFrame:
@@ -59,15 +94,6 @@ def section_lookup(sections: DataFrame) -> DataFrame:
     return keyed.withColumn("n", F.row_number().over(last)).where("n = 1").select("act_id", "number", "target_id")
 
 
-def context(text: Column, start: Column, end: Column) -> Column:
-    lo = F.greatest(start - BEFORE, F.lit(0))
-    return squeeze(F.substring(text, lo + 1, end + BEFORE - lo))
-
-
-def after(text: Column, end: Column) -> Column:
-    return squeeze(F.substring(text, end + 1, F.lit(AFTER)))
-
-
 def is_external(near: Column, following: Column, act_name: Column, short_name: Column) -> Column:
     """Another law is meant, unless this act is named nearby (a bare substring is enough)."""
     both = F.concat_ws(" ", near, following)
@@ -88,7 +114,6 @@ def resolve_references(candidates: DataFrame, lookup: DataFrame) -> DataFrame:
 def extract_cites(sections: DataFrame) -> DataFrame:
     """Edges between sections (rows carry ``ord``, the input order); the first evidence of an edge is kept."""
     found = resolve_references(reference_candidates(sections), section_lookup(sections))
-    found = found.withColumns({"near": context(F.col("section_text"), F.col("start"), F.col("end")), "following": after(F.col("section_text"), F.col("end"))})
     found = found.where(~is_external(F.col("near"), F.col("following"), F.col("act_name"), F.col("short_name")) & has_internal_hint(F.col("near")))
     first = Window.partitionBy("section_id", "target_id").orderBy("ord", "cand_ord")
     kept = found.withColumn("n", F.row_number().over(first)).where("n = 1")

@@ -1,16 +1,11 @@
 """Documents into sections.
 
-``segment`` walks the lines of a document with a pointer into the list of expected numbers: a
-line opens a section only if it bears the next number.  That is sequential within a
-document and parallel over documents: one group for each document, of its candidate
-header lines only.  Everything else is windows and joins.
+A document is cut by a pointer into the list of expected numbers: a line opens a section only if it bears the next
+number.  The walk is a chain of pointers between header lines, followed by doubling; everything else is windows and joins, too.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,24 +36,30 @@ def expected_sections(arrangement: DataFrame) -> DataFrame:
 def opened_lines(candidates: DataFrame, expected: DataFrame) -> DataFrame:
     """(doc_id, pos, number, ord) of header lines that bear the next expected number.
 
-    The pointer never skips: without a header for a number, later ones never open.
+    The pointer never skips: without a header for a number, later ones never open.  Each line that bears an expected number
+    points to the first later one with the number after it; what opens is the chain from the first line of the first
+    number.  The chain is followed by doubling: a round joins what is known to open with the lines that lie 1, 2, 4, ... pointers on, so a
+    document's lines are rows throughout, and the rounds grow with the logarithm of its sections.
     """
-    wanted = expected.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "number"))), lambda x: x["number"]).alias("numbers"))
-    mine = candidates.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "number"))).alias("lines")).join(wanted, "doc_id")
-
-    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for doc, lines, numbers in zip(frame["doc_id"], frame["lines"], frame["numbers"], strict=True):
-                at = 0
-                for line in lines:
-                    if at < len(numbers) and line["number"] == numbers[at]:
-                        out.append((doc, line["pos"], line["number"], at))
-                        at += 1
-            yield pd.DataFrame(out, columns=["doc_id", "pos", "number", "ord"])
-
-    kind = dict(candidates.dtypes)["doc_id"]
-    return mine.mapInPandas(walk, f"doc_id {kind}, pos int, number string, ord int")
+    known = candidates.join(expected, ["doc_id", "number"]).select("doc_id", "number", "ord", "pos")
+    # a number's lines and those of the next one, from the last to the first: the last seen of the next one is the first that follows
+    both = known.select("doc_id", F.col("ord").alias("level"), "pos", "number", F.lit(None).cast("int").alias("next")).unionByName(
+        known.where("ord > 0").select("doc_id", (F.col("ord") - 1).alias("level"), "pos", F.lit(None).cast("string").alias("number"), F.col("pos").alias("next"))
+    )
+    back = Window.partitionBy("doc_id", "level").orderBy(F.desc("pos"), F.col("next").isNull())
+    nodes = both.withColumn("next", F.last("next", True).over(back.rowsBetween(Window.unboundedPreceding, Window.currentRow))).where("number is not null")
+    # at one line a number and its next can't both stand, so "next" is a later line
+    nodes = cut(nodes.withColumnsRenamed({"level": "ord"}))
+    opened = nodes.where("ord = 0").groupBy("doc_id").agg(F.min("pos").alias("pos")).withColumn("ord", F.lit(0))
+    steps = nodes.where("next is not null").select("doc_id", "ord", "pos", (F.col("ord") + 1).alias("to_ord"), F.col("next").alias("to_pos"))
+    while True:
+        steps = cut(steps)
+        further = opened.join(steps, ["doc_id", "ord", "pos"]).select("doc_id", F.col("to_pos").alias("pos"), F.col("to_ord").alias("ord"))
+        opened = cut(opened.unionByName(further))
+        then = steps.select("doc_id", F.col("ord").alias("to_ord"), F.col("pos").alias("to_pos"), F.col("to_ord").alias("on_ord"), F.col("to_pos").alias("on_pos"))
+        steps = steps.join(then, ["doc_id", "to_ord", "to_pos"]).select("doc_id", "ord", "pos", F.col("on_ord").alias("to_ord"), F.col("on_pos").alias("to_pos"))
+        if further.isEmpty():
+            return opened.join(nodes.select("doc_id", "ord", "pos", "number"), ["doc_id", "ord", "pos"]).select("doc_id", "pos", "number", "ord")
 
 
 def segment(lines: DataFrame, expected: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 import json
 import random
+import re
 from collections import deque
 
 import pytest
@@ -35,6 +36,37 @@ def test_segmentation_pointer_never_skips(spark):
     assert rows(segmentation.missing_sections(expected, found), "number") == [("2",), ("3",)]
 
 
+def test_opened_lines_against_a_walk(spark):
+    rng = random.Random(8)
+    docs = {d: ([str(rng.randint(1, 12)) for _ in range(rng.randint(0, 60))], [str(i) for i in range(1, rng.randint(1, 14))]) for d in range(40)}
+    docs[99] = ([str(i) for i in range(1, 700)], [str(i) for i in range(1, 650)])
+    docs[98] = (["1", "2", "2", "1"], ["2", "1", "2"])  # an explicit list may repeat a number
+    lines = df(spark, "doc_id int, pos int, number string", [(d, i, x) for d, (own, _) in docs.items() for i, x in enumerate(own)])
+    expected = df(spark, "doc_id int, ord int, number string", [(d, i, x) for d, (_, want) in docs.items() for i, x in enumerate(want)])
+    want = []
+    for d, (own, numbers) in docs.items():
+        at = 0
+        for i, x in enumerate(own):
+            if at < len(numbers) and x == numbers[at]:
+                want.append((d, i, x, at))
+                at += 1
+    assert rows(segmentation.opened_lines(lines, expected), "doc_id", "pos", "number", "ord") == sorted(want)
+
+
+def test_references_of_long_texts(spark):
+    rng = random.Random(3)
+    part = lambda: rng.choice([f"Subject to section {rng.randint(1, 99)} of this Act, ", f"sections {rng.randint(1, 9)} to {rng.randint(1, 9)}A  x ", f"sub-section (2) of section {rng.randint(1, 50)} é ", "words and more words. " * rng.randint(1, 30)])
+    texts = ["", None, "section 5", *["".join(part() for _ in range(n)) for n in (40, 300, 4000)], "section " + " " * 9000 + "7 end"]
+    got = references.reference_candidates(df(spark, "ord int, section_text string", list(enumerate(texts))))
+    flat = lambda x: " ".join(x.split())
+    want = []
+    for i, t in enumerate(texts):
+        for kind, (pattern, groups) in enumerate(((references.SECTION_REF, 2), (references.SUBSECTION_REF, 1))):
+            for k, m in enumerate(re.finditer(pattern, t or "")):
+                want += [(i, (kind * 1_000_000_000 + k) * 2 + j, m.start(), m.end(), m[j + 1], flat(t[max(0, m.start() - 140) : m.end() + 140]), flat(t[m.end() : m.end() + 160])) for j in range(groups) if m[j + 1]]
+    assert rows(got, "ord", "cand_ord", "start", "end", "raw_no", "near", "following") == sorted(want)
+
+
 def test_references(spark):
     schema = "section_id string, act_id string, act_name string, short_name string, section_number string, section_text string, ord int"
     texts = [
@@ -50,6 +82,32 @@ def test_references(spark):
     assert first["A_S3"].startswith("subject to section 2")
 
 
+def test_close_pairs_are_all_pairs(spark):
+    from difflib import SequenceMatcher
+
+    rng = random.Random(1)
+    syllables = ["ta", "ren", "ou", "lik", "se", "mo", "grat", "ice", "é", "dz"]
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(1, 6)))
+    terms = sorted({word() + rng.choice(["", " " + word()]) for _ in range(2000)})
+
+    def changed(t):
+        t = list(t)
+        for _ in range(rng.randint(0, 5)):
+            i = rng.randrange(len(t) + 1)
+            t[i : i + rng.randint(0, 1)] = [rng.choice("abcdeilnorst")]
+        return "".join(t)
+
+    grams = sorted({changed(rng.choice(terms)) for _ in range(120)} - {""})
+    got = grounding.close_pairs(df(spark, "gram string", [(g,) for g in grams]), df(spark, "term string", [(t,) for t in terms] + [("",), (None,)]))
+    want = []
+    for t in terms:
+        for g in grams:
+            m = SequenceMatcher(None, t, g)
+            if m.real_quick_ratio() >= 0.8 and m.quick_ratio() >= 0.8 and m.ratio() >= 0.8:
+                want.append((g, t, m.ratio()))
+    assert want and rows(got, "gram", "term", "r") == sorted(want)
+
+
 def test_upserts_and_gates(spark):
     acts = df(spark, "act_id string, act_name string", [("A", "Act A"), ("B", "Act B")])
     sections = df(spark, "section_id string, act_id string, title string", [("A_S1", "A", "old"), ("B_S1", "B", "keep")])
