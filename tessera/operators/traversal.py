@@ -1,6 +1,6 @@
 """Bounded walks over citations, one for each query and concept.
 
-Only keys travel: texts are joined at ranking.  Each hop is a join of the frontier
+Only keys travel: texts are joined at ranking.  Queries that ask for the same walk share it.  Each hop is a join of the frontier
 with the edges (both directions), an anti-join with what was seen, and the filter for
 validity, so suppressed sections are neither returned nor walked through.  A hop is
 written to the shared folder; the driver sees only whether it is empty.
@@ -19,6 +19,22 @@ MAX_HOPS, MAX_HOPS_CAP, MAX_PASSES = 2, 4, 2
 PER_CONCEPT = 40
 
 
+def shared_walks(asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(asked by walk, members): queries that ask the same concept from the same place walk once.
+
+    What a walk finds follows from its concept and from the jurisdiction that was named, so asked gets these two as its
+    ``query_id``; members (walk, query_id, concept) tell whose walk it is, see ``by_query``.
+    """
+    walk = F.to_json(F.struct("concept", "query_jurisdiction"))
+    members = asked.select(walk.alias("walk"), "query_id", "concept").distinct()
+    return asked.withColumn("query_id", walk).distinct(), members
+
+
+def by_query(found: DataFrame, members: DataFrame) -> DataFrame:
+    """What a walk found, for each of the queries that share it."""
+    return found.withColumnRenamed("query_id", "walk").join(members, ["walk", "concept"]).select(*found.columns)
+
+
 def find_anchors(asked: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(anchors, suppressed) of rows query_id, concept, section_id, relevance, act_id, section_number, jurisdiction, in_force_status, query_jurisdiction.
 
@@ -97,19 +113,25 @@ def filter_edges(kept: DataFrame, cites: DataFrame) -> DataFrame:
 
 
 def traverse(asked: DataFrame, cites: DataFrame, nodes: DataFrame, max_hops: int = MAX_HOPS, max_sections: int = PER_CONCEPT) -> dict[str, DataFrame]:
-    """The whole walk: kept sections, edges, confidence, hops taken and what was withheld."""
+    """The whole walk: kept sections, edges, confidence, hops taken and what was withheld.
+
+    Walks are shared between queries, capped, and only then dealt to them.
+    """
+    asked, members = shared_walks(asked)
+    members = cut(members)
     anchors, withheld = find_anchors(asked)
     anchors = cut(anchors)
     seeds = anchors.where("relevance = 'primary'").select(*WALK, "section_id", "query_jurisdiction")
     found, dropped = expand(seeds, cites, nodes, max_hops)
-    kept = cap_sections(walked_sections(anchors, found, nodes), max_sections)
-    return {
+    kept = cut(cap_sections(walked_sections(anchors, found, nodes), max_sections))
+    out = {
         "sections": kept,
         "edges": filter_edges(kept, cites),
         "confidence": seed_confidence(anchors),
         "hops": hops_taken(found),
         "suppressed": withheld.select(*WALK, "section_id", "act_id", F.lit(0).alias("hop")).unionByName(dropped.select(*WALK, "section_id", "act_id", "hop")),
     }
+    return {k: by_query(v, members) for k, v in out.items()}
 
 
 def needs_expansion(state: DataFrame) -> DataFrame:

@@ -1,8 +1,7 @@
 """The tables of the graph, derived from the star schema that is at hand.
 
 Acts are nations, sections are parts, concepts are runs of sixteen parts, queries are customers.  A section cites
-what follows it in the first and in the last of its orders: all lines are read, and a section has two citations at
-most, as laws have few, so walks of three hops stay walks and don't reach the whole graph.  Each view is written once as SQL that both Spark and the
+whatever follows it in any order: every pair of neighbouring lines is an edge.  Each view is written once as SQL that both Spark and the
 oracle understand; everything grows with the input.
 """
 
@@ -27,11 +26,9 @@ SELECT concat('N', p_partkey % 25, '_S', p_partkey) AS section_id, concat('N', p
        p_name AS title, concat_ws(' ', p_name, p_brand, p_type) AS text, p_partkey AS ord
 FROM part
 """
-_NEXT = "lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 AND a.l_partkey <> b.l_partkey GROUP BY a.l_partkey"
-_AT = "(a.l_orderkey * 8 + a.l_linenumber) * 1000000000 + b.l_partkey"
-CITES = f"""
-SELECT DISTINCT concat('N', s % 25, '_S', s) AS source_section_id, concat('N', t % 25, '_S', t) AS target_section_id
-FROM (SELECT a.l_partkey AS s, max({_AT}) % 1000000000 AS t FROM {_NEXT} UNION ALL SELECT a.l_partkey AS s, min({_AT}) % 1000000000 AS t FROM {_NEXT}) x
+CITES = """
+SELECT DISTINCT concat('N', a.l_partkey % 25, '_S', a.l_partkey) AS source_section_id, concat('N', b.l_partkey % 25, '_S', b.l_partkey) AS target_section_id
+FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 AND a.l_partkey <> b.l_partkey
 """
 CONCEPTS = """
 SELECT concat('C', CAST(floor(p_partkey / 16) AS BIGINT)) AS concept_id, concat(min(lower(p_name)), ' topic ', CAST(floor(p_partkey / 16) AS BIGINT)) AS name, min(p_type) AS description,

@@ -159,20 +159,21 @@ e AS (SELECT source_section_id AS src, target_section_id AS dst FROM cites UNION
 ok AS (SELECT s.section_id, a.act_id, a.jurisdiction, a.status FROM sections s JOIN acts a USING (act_id)),
 walk AS (SELECT query_id, section_id, qj, 0 AS hop FROM seed UNION
   SELECT w.query_id, e.dst, w.qj, w.hop + 1 FROM walk w JOIN e ON e.src = w.section_id JOIN ok ON ok.section_id = e.dst
-  WHERE w.hop < 3 AND ok.status <> 'repealed' AND NOT (w.qj IS NOT NULL AND ok.jurisdiction <> 'Central' AND ok.jurisdiction <> w.qj))
+  WHERE w.hop < 2 AND ok.status <> 'repealed' AND NOT (w.qj IS NOT NULL AND ok.jurisdiction <> 'Central' AND ok.jurisdiction <> w.qj))
 """
 
 
 @query(_LIVE.rstrip() + _BFS + "SELECT query_id, section_id, min(hop) AS hop FROM walk GROUP BY query_id, section_id HAVING min(hop) > 0", recursive=True)
 def bounded_bfs(spark: SparkSession, d: str) -> DataFrame:
-    """Sections within three citations of each query's primaries, through valid ones only."""
-    kept, _ = traversal.find_anchors(_asked(spark, d))
+    """Sections within two citations of each query's primaries, through valid ones only."""
+    asked, members = traversal.shared_walks(_asked(spark, d))
+    kept, _ = traversal.find_anchors(asked)
     seeds = kept.where("relevance = 'primary'").select("query_id", "concept", "section_id", "query_jurisdiction")
-    found, _ = traversal.expand(seeds, view(spark, d, "cites"), _nodes(spark, d), 3)
-    return found.select("query_id", "section_id", "hop")
+    found, _ = traversal.expand(seeds, view(spark, d, "cites"), _nodes(spark, d), 2)
+    return traversal.by_query(found, members).select("query_id", "section_id", "hop")
 
 
-_WALKED = _BFS.replace("w.hop < 3", "w.hop < 2") + """,
+_WALKED = _BFS + """,
 parts AS (SELECT query_id, section_id, 0 AS hop, CASE WHEN relevance = 'primary' THEN 0 ELSE 1 END AS part FROM live
   UNION ALL SELECT query_id, section_id, min(hop), 2 FROM walk GROUP BY query_id, section_id HAVING min(hop) > 0),
 once AS (SELECT query_id, section_id, min(struct_pack(part := part, hop := hop)) AS x FROM parts GROUP BY query_id, section_id),
@@ -214,15 +215,14 @@ raw AS (SELECT query_id, section_id, sum(times * ln(1 + (nd - df + 0.5) / (df +
 """
 
 
-def _candidates(spark: SparkSession, d: str) -> DataFrame:
-    kept = _traversed(spark, d)["sections"].select("query_id", "section_id", "hop", F.when(F.col("part") == 0, "primary").otherwise("supporting").alias("relevance"), (1 + F.length("section_id") % 3).alias("concept_hits"))
-    return kept.join(_nodes(spark, d).select("section_id", "title", "text", "act_id", "act_priority", "act_name", "jurisdiction", "section_number"), "section_id")
+def _about(spark: SparkSession, d: str) -> DataFrame:
+    return _nodes(spark, d).select("section_id", "title", "text", "act_id", "act_priority", "act_name", "jurisdiction", "section_number")
 
 
 @query(_LIVE.rstrip() + _WALKED + _BM25 + "SELECT l.query_id, l.section_id, round(coalesce(raw / max(raw) OVER (PARTITION BY l.query_id), 0), 5) AS lexical FROM len l LEFT JOIN raw USING (query_id, section_id)", recursive=True)
 def bm25(spark: SparkSession, d: str) -> DataFrame:
     """BM25 of each query over its own candidates, by the best one."""
-    out = ranking.bm25(view(spark, d, "queries"), _candidates(spark, d))
+    out = ranking.bm25(view(spark, d, "queries"), _traversed(spark, d)["sections"].select("query_id", "section_id").join(_about(spark, d), "section_id"))
     return out.select("query_id", "section_id", F.round("lexical", 5).alias("lexical"))
 
 
@@ -232,15 +232,56 @@ def _half_up(x: str, digits: int) -> str:
 
 
 _WEIGHED = " + ".join(["0.0::DOUBLE", *[f"p_{k} * {w}::DOUBLE" for k, w in ranking.WEIGHTS.items()]])
+#: Each query's concepts: its own, one more, and the companions that these bring in.
+_SECOND, _COMPANION = "concat('C', query_id % 40)", "concat('C', CAST(substr({0}, 2) AS BIGINT) * 7 % 45)"
+_DIRECT = """n AS (SELECT query_id, jurisdiction AS qj, raw_query, regexp_extract(raw_query, 'section ([0-9]+)', 1) AS no FROM queries), hit AS (SELECT n.query_id, a.act_id FROM n JOIN acts a ON a.status <> 'repealed' AND (contains(lower(raw_query), lower(act_name)) OR contains(lower(raw_query), lower(short_name)))), tgt AS (SELECT query_id, act_id FROM hit UNION ALL SELECT n.query_id, a.act_id FROM n JOIN acts a ON a.status <> 'repealed' WHERE n.query_id NOT IN (SELECT query_id FROM hit)),
+direct AS (SELECT DISTINCT n.query_id, s.section_id FROM n JOIN tgt USING (query_id) JOIN sections s ON s.section_id = concat(tgt.act_id, '_S', n.no) JOIN acts a ON a.act_id = tgt.act_id WHERE NOT (qj IS NOT NULL AND a.jurisdiction <> 'Central' AND a.jurisdiction <> qj))"""
+_CHAIN = f"""+ {_DIRECT},
+own AS (SELECT query_id, concept, 0 AS concept_ord FROM queries UNION ALL SELECT query_id, {_SECOND}, 1 FROM queries WHERE {_SECOND} <> concept),
+gq AS (SELECT query_id, concept, concept_ord, false AS remedy FROM own UNION ALL SELECT DISTINCT query_id, {_COMPANION.format('concept')}, 2, true FROM own o WHERE NOT EXISTS (SELECT 1 FROM own x WHERE x.query_id = o.query_id AND x.concept = {_COMPANION.format('o.concept')})),
+asked AS (SELECT g.query_id, g.concept, q.jurisdiction AS qj, p.relevance, s.section_id, s.section_number, a.act_id, a.jurisdiction, a.status FROM gq g JOIN queries q USING (query_id) JOIN applies_to p ON g.concept = p.concept_id JOIN sections s USING (section_id) JOIN acts a USING (act_id)),
+live AS (SELECT * FROM asked WHERE status <> 'repealed' AND NOT (qj IS NOT NULL AND jurisdiction <> 'Central' AND jurisdiction <> qj)),
+seed AS (SELECT query_id, concept, section_id, qj FROM live WHERE relevance = 'primary'),
+e AS (SELECT source_section_id AS src, target_section_id AS dst FROM cites UNION SELECT target_section_id, source_section_id FROM cites),
+ok AS (SELECT s.section_id, a.act_id, a.jurisdiction, a.status FROM sections s JOIN acts a USING (act_id)),
+walk AS (SELECT query_id, concept, section_id, qj, 0 AS hop FROM seed UNION
+  SELECT w.query_id, w.concept, e.dst, w.qj, w.hop + 1 FROM walk w JOIN e ON e.src = w.section_id JOIN ok ON ok.section_id = e.dst
+  WHERE w.hop < 2 AND ok.status <> 'repealed' AND NOT (w.qj IS NOT NULL AND ok.jurisdiction <> 'Central' AND ok.jurisdiction <> w.qj)),
+parts AS (SELECT query_id, concept, section_id, 0 AS hop, CASE WHEN relevance = 'primary' THEN 0 ELSE 1 END AS part FROM live
+  UNION ALL SELECT query_id, concept, section_id, min(hop), 2 FROM walk GROUP BY query_id, concept, section_id HAVING min(hop) > 0),
+once AS (SELECT query_id, concept, section_id, min(struct_pack(part := part, hop := hop)) AS x FROM parts GROUP BY query_id, concept, section_id),
+kept AS (SELECT query_id, concept, o.section_id, x.hop AS hop, row_number() OVER (PARTITION BY query_id, concept ORDER BY x.part = 2, CASE WHEN x.part < 2 THEN x.part END, CASE WHEN x.part = 2 THEN x.hop END, s.act_id, s.section_number, o.section_id) AS n FROM once o JOIN sections s USING (section_id)),
+rel AS (SELECT query_id, section_id, bool_or(NOT remedy AND relevance = 'primary') AS pr FROM gq JOIN applies_to p ON p.concept_id = gq.concept GROUP BY query_id, section_id),
+met AS (SELECT query_id, section_id, count(*) AS hits, min(hop) AS hop, bool_or(NOT remedy) AS sub FROM kept JOIN gq USING (query_id, concept) WHERE kept.n <= 12 GROUP BY query_id, section_id),
+merged AS (SELECT query_id, section_id, d IS NOT NULL OR coalesce(pr, false) AS prim, CASE WHEN d THEN 0 ELSE hop END AS hop, coalesce(hits, 1) AS ch, NOT (coalesce(sub, false) OR d IS NOT NULL) AS remedy
+  FROM met FULL JOIN (SELECT *, true AS d FROM direct) x USING (query_id, section_id) LEFT JOIN rel USING (query_id, section_id))"""
 #: Candidates with what ranking looks at.
 _CANDS = """,
 sw AS (SELECT string_split('""" + " ".join(T.RANK_STOPWORDS) + """', ' ') AS stop),
-cands AS (SELECT k.query_id, k.section_id, k.hop, k.part = 0 AS prim, 1 + length(k.section_id) % 3 AS ch, a.act_priority AS ap, a.act_name, a.jurisdiction, s.section_number, k.title, k.text, k.section_id LIKE '%7' AS remedy,
-  list_concat(list_concat(list_concat(""" + ", ".join([_TOKENS.format("k.title")] * 2) + "), " + _TOKENS.format("k.title") + "), " + _TOKENS.format("k.text") + """) AS doc FROM kept k JOIN sections s USING (section_id) JOIN acts a ON s.act_id = a.act_id, sw WHERE n <= 12),
+cands AS (SELECT k.query_id, k.section_id, k.hop, k.prim, k.ch, a.act_priority AS ap, a.act_id, a.act_name, a.jurisdiction, s.section_number, s.title, s.text, k.remedy,
+  list_concat(list_concat(list_concat(""" + ", ".join([_TOKENS.format("s.title")] * 2) + "), " + _TOKENS.format("s.title") + "), " + _TOKENS.format("s.text") + """) AS doc FROM merged k JOIN sections s USING (section_id) JOIN acts a ON s.act_id = a.act_id, sw),
 qt AS (SELECT query_id, t, count(*) AS times FROM (SELECT query_id, unnest(""" + _TOKENS.format("raw_query") + """) AS t FROM queries, sw) GROUP BY query_id, t)
 """
 
 
+def _retrieved(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """Walks of all concepts of a query, merged: candidates, edges, confidence, and the companions that only bring remedies."""
+    queries = view(spark, d, "queries")
+    own = queries.select("query_id", F.col("concept").alias("name"), F.lit(0).alias("ord"))
+    grounded = cut(own.unionByName(queries.where(f"{_SECOND} != concept").select("query_id", F.expr(_SECOND).alias("name"), F.lit(1).alias("ord"))))
+    adjacency = grounded.select(F.col("name").alias("trigger_name"), F.expr(_COMPANION.format("name")).alias("companion_name"), F.lit(0).alias("companion_ord")).distinct()
+    companions = cut(grounding.companions_for(grounded, adjacency).select("query_id", "name"))
+    concepts = grounded.select("query_id", "name", "ord").unionByName(companions.select("query_id", "name", F.lit(2).alias("ord"))).withColumnRenamed("name", "concept")
+    asked = concepts.join(queries.select("query_id", F.col("jurisdiction").alias("query_jurisdiction")), "query_id").join(view(spark, d, "applies_to").withColumnRenamed("concept_id", "concept"), "concept").join(_nodes(spark, d), "section_id")
+    walks = traversal.traverse(asked.drop("ord"), view(spark, d, "cites"), _nodes(spark, d), 2, 12)
+    walked = walks["sections"].select("query_id", "concept", "section_id", "hop").join(concepts.select("query_id", "concept", F.col("ord").alias("concept_ord")), ["query_id", "concept"])
+    direct = temporal.direct_lookups(temporal.resolve_section_refs(queries, view(spark, d, "acts")), _nodes(spark, d), queries)
+    ids = view(spark, d, "concepts").select("concept_id", F.col("concept_id").alias("name"))
+    relevance = grounding.relevance_for(grounded.select("query_id", "name"), companions, ids, view(spark, d, "applies_to"))
+    merged = ranking.merge_hits(walked, direct.select("query_id", "section_id"), relevance, companions)
+    return {"cands": cut(merged.join(_about(spark, d), "section_id")), "edges": walks["edges"], "confidence": walks["confidence"], "companions": companions}
+
+
 def _ranked(p: str, among: str) -> str:
     """SQL for the scores and ranks ({p}rk) of the candidates in ``among``, each query's by themselves."""
     return f""",
@@ -255,37 +296,85 @@ def _ranked(p: str, among: str) -> str:
 """
 
 
-@query(_LIVE.rstrip() + _WALKED + _CANDS + _ranked("a_", "cands") + "SELECT query_id, section_id, score, rank FROM a_rk", recursive=True)
+@query(_CHAIN + _CANDS + _ranked("a_", "cands") + "SELECT query_id, section_id, score, rank FROM a_rk", recursive=True)
 def five_signal_score(spark: SparkSession, d: str) -> DataFrame:
-    """Scores of five signals and the order that they give."""
-    return ranking.rank(view(spark, d, "queries"), cut(_candidates(spark, d))).select("query_id", "section_id", "score", "rank")
+    """Scores of five signals over all that the walks of a query's concepts and its own references found, and the order that they give."""
+    return ranking.rank(view(spark, d, "queries"), _retrieved(spark, d)["cands"]).select("query_id", "section_id", "score", "rank")
 
 
 _BUDGETED = _CANDS + _ranked("a_", "cands") + """,
 base AS (SELECT * FROM cands WHERE NOT remedy), rem AS (SELECT * FROM cands WHERE remedy)
 """ + _ranked("b_", "base") + _ranked("r_", "rem") + """,
 budget AS (SELECT query_id, least(3, count(*)) AS budget FROM rem GROUP BY query_id),
-own AS (SELECT query_id, section_id FROM (SELECT b.*, coalesce(budget, 0) AS budget, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN prim THEN 0 ELSE 1 END, rank) AS place FROM b_rk b LEFT JOIN budget USING (query_id)) WHERE place <= 8 - budget),
-used AS (SELECT query_id, count(*) AS used FROM own GROUP BY query_id),
+mine AS (SELECT query_id, section_id FROM (SELECT b.*, coalesce(budget, 0) AS budget, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN prim THEN 0 ELSE 1 END, rank) AS place FROM b_rk b LEFT JOIN budget USING (query_id)) WHERE place <= 8 - budget),
+used AS (SELECT query_id, count(*) AS used FROM mine GROUP BY query_id),
 extra AS (SELECT query_id, section_id FROM r_rk LEFT JOIN used USING (query_id) WHERE rank <= 8 - coalesce(used, 0)),
-low AS (SELECT a.query_id, a.section_id, a.rank, """ + _half_up("a.score * CASE WHEN q.jurisdiction IS NULL AND a.jurisdiction <> 'Central' THEN 0.6::DOUBLE ELSE 1.0::DOUBLE END", 6) + """ AS score, remedy FROM a_rk a JOIN (SELECT * FROM own UNION ALL SELECT * FROM extra) USING (query_id, section_id) JOIN queries q USING (query_id))
+low AS (SELECT a.query_id, a.section_id, a.rank, """ + _half_up("a.score * CASE WHEN q.jurisdiction IS NULL AND a.jurisdiction <> 'Central' THEN 0.6::DOUBLE ELSE 1.0::DOUBLE END", 6) + """ AS score, remedy FROM a_rk a JOIN (SELECT * FROM mine UNION ALL SELECT * FROM extra) USING (query_id, section_id) JOIN queries q USING (query_id))
 """
 
 
-@query(_LIVE.rstrip() + _WALKED + _BUDGETED + "SELECT query_id, section_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) AS rank, score, remedy AS via_remedy FROM low", recursive=True)
-def rank_companion_budget(spark: SparkSession, d: str) -> DataFrame:
-    """The ranked evidence of each query, remedies within their places, state law last where no state was named."""
-    cands = cut(_candidates(spark, d).withColumn("via_remedy", F.col("section_id").endswith("7")))
+_FINAL = _CHAIN + _BUDGETED + """, final AS (SELECT query_id, section_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) AS rank, score, remedy FROM low)
+"""
+
+
+def _ranked_evidence(spark: SparkSession, d: str, found: dict[str, DataFrame]) -> DataFrame:
     queries = view(spark, d, "queries")
-    final = ranking.unstated_penalty(ranking.companion_budget(queries, cands, 8, 3), queries)
-    return final.select("query_id", "section_id", "rank", "score", "via_remedy")
+    return ranking.unstated_penalty(ranking.companion_budget(queries, found["cands"], 8, 3), queries)
 
 
-@query(_LIVE.rstrip() + _WALKED + _CANDS + _ranked("a_", "cands") + """, top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN prim THEN 0 ELSE 1 END, rank) AS place FROM a_rk), five AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n FROM top WHERE place <= 5)
-SELECT query_id, string_agg(concat('#', n, ' [', section_id, '] (', CASE WHEN prim THEN 'PRIMARY' ELSE 'SUPPORTING' END, ') ', act_name, ' — Section ', section_number, ': ', title, chr(10), text), chr(10) || chr(10) ORDER BY n) AS pack FROM five GROUP BY query_id""", recursive=True)
+@query(_FINAL + "SELECT query_id, section_id, rank, score, remedy AS via_remedy FROM final", recursive=True)
+def rank_companion_budget(spark: SparkSession, d: str) -> DataFrame:
+    """The ranked evidence of each query, remedies within their places, state law last where no state was named."""
+    return _ranked_evidence(spark, d, _retrieved(spark, d)).select("query_id", "section_id", "rank", "score", "via_remedy")
+
+
+@query(
+    _FINAL + """, sure AS (SELECT query_id, max(CASE WHEN relevance = 'primary' THEN 1.0::DOUBLE ELSE 0.6::DOUBLE END) AS confidence FROM live JOIN gq USING (query_id, concept) WHERE NOT remedy GROUP BY query_id),
+acted AS (SELECT query_id, act_id, min(f.rank) AS r FROM final f JOIN (SELECT query_id, section_id, act_id FROM cands) c USING (query_id, section_id) GROUP BY query_id, act_id),
+per AS (SELECT query_id, string_agg(act_id, ' ' ORDER BY r) AS acts_covered FROM acted GROUP BY query_id),
+states AS (SELECT query_id, string_agg(DISTINCT jurisdiction, ', ' ORDER BY jurisdiction) AS s FROM final JOIN (SELECT query_id, section_id, jurisdiction FROM cands) c USING (query_id, section_id) WHERE jurisdiction <> 'Central' GROUP BY query_id)
+SELECT q.query_id, (SELECT count(*) FROM final f WHERE f.query_id = q.query_id) AS total_found, coalesce(acts_covered, '') AS acts_covered, coalesce(confidence, 0) AS confidence, coalesce(jurisdiction, 'Central') AS jurisdiction_applied,
+  CASE WHEN jurisdiction IS NULL AND s IS NOT NULL THEN concat('no state was specified; applies only in ', s) ELSE '' END AS warnings FROM queries q LEFT JOIN per USING (query_id) LEFT JOIN sure USING (query_id) LEFT JOIN states USING (query_id)""",
+    recursive=True,
+)
+def retrieval_summaries(spark: SparkSession, d: str) -> DataFrame:
+    """What was retrieved for each query, from grounded concepts to the last cap; companions don't make it surer."""
+    found = _retrieved(spark, d)
+    out = ranking.retrieval_summary(cut(_ranked_evidence(spark, d, found)), found["confidence"], found["companions"], view(spark, d, "queries"))
+    return out.withColumns({"acts_covered": F.array_join("acts_covered", " "), "warnings": F.array_join("warnings", " "), "total_found": F.col("total_found").cast("bigint")})
+
+
+@query(
+    _FINAL + """SELECT DISTINCT a.query_id, c.source_section_id, c.target_section_id FROM final a JOIN (SELECT * FROM cites) c ON c.source_section_id = a.section_id JOIN final b ON b.query_id = a.query_id AND b.section_id = c.target_section_id
+WHERE EXISTS (SELECT 1 FROM kept x JOIN kept y ON x.query_id = y.query_id AND x.concept = y.concept WHERE x.n <= 12 AND y.n <= 12 AND x.query_id = a.query_id AND x.section_id = c.source_section_id AND y.section_id = c.target_section_id)""",
+    recursive=True,
+)
+def retrieved_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Citations that any of a query's walks saw, with both ends in its ranked evidence."""
+    found = _retrieved(spark, d)
+    return ranking.union_edges(found["edges"], cut(_ranked_evidence(spark, d, found))).select("query_id", "source_section_id", "target_section_id")
+
+
+@query(_CHAIN + _CANDS + _ranked("a_", "cands") + """, top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN prim THEN 0 ELSE 1 END, rank) AS place FROM a_rk), five AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n FROM top WHERE place <= 5)
+SELECT query_id, string_agg(concat('#', n, ' [', section_id, '] (', CASE WHEN remedy THEN 'REMEDY' WHEN prim THEN 'PRIMARY' ELSE 'SUPPORTING' END, ') ', act_name, ' — Section ', section_number, ': ', title, chr(10), text), chr(10) || chr(10) ORDER BY n) AS pack FROM five GROUP BY query_id""", recursive=True)
 def evidence_packs(spark: SparkSession, d: str) -> DataFrame:
-    cands = cut(_candidates(spark, d).withColumn("via_remedy", F.lit(False)))
-    return ranking.evidence_pack(ranking.rank_and_cap(view(spark, d, "queries"), cands, 5))
+    return ranking.evidence_pack(ranking.rank_and_cap(view(spark, d, "queries"), _retrieved(spark, d)["cands"], 5))
+
+
+_PREVIEWED = "SELECT section_id, act_id, section_number, title, string_agg(s, ' ' ORDER BY k, s) AS text FROM (SELECT section_id, act_id, section_number, title, l_linenumber AS k, concat_ws(' ', text, l_shipdate::DATE, 'and so on') AS s FROM sections JOIN lineitem ON l_partkey = ord) GROUP BY section_id, act_id, section_number, title"
+
+
+@query(
+    f"+ t AS ({_PREVIEWED}) SELECT act_name, section_id, CASE WHEN length(text) <= 300 THEN text ELSE concat(rtrim(CASE WHEN regexp_matches(left(text, 300), '(?s).[ ][^ ]*$') THEN regexp_replace(left(text, 300), '[ ][^ ]*$', '') ELSE left(text, 300) END), '...') END AS preview, count(*) OVER (PARTITION BY act_name) AS n FROM t JOIN acts USING (act_id)"
+)
+def section_previews(spark: SparkSession, d: str) -> DataFrame:
+    """All sections that were sold, listed by act, with the beginnings of their texts up to a word's end."""
+    said = table(spark, d, "lineitem").select("l_partkey", "l_linenumber", F.col("l_shipdate").cast("date").cast("string").alias("on"))
+    rows = view(spark, d, "sections").join(said, F.col("ord") == F.col("l_partkey")).withColumn("s", F.concat_ws(" ", "text", "on", F.lit("and so on")))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "s"))), lambda x: x["s"]), " ")
+    rows = rows.groupBy("section_id", "act_id", "section_number", "title").agg(text.alias("text")).join(view(spark, d, "acts").select("act_id", "act_name"), "act_id")
+    listed = ranking.section_preview(rows.select(F.lit(0).alias("query_id"), "act_name", F.lit(0).alias("place"), "section_id", "section_number", "title", "text"))
+    return listed.select("act_name", "n", F.explode("entries").alias("e")).select("act_name", "e.section_id", "e.preview", "n")
 
 
 @query("SELECT q.query_id, c.concept_id FROM queries q JOIN concepts c ON contains(q.raw_query, c.name) OR contains(q.raw_query, c.alias1) OR contains(q.raw_query, c.alias2)")
@@ -367,7 +456,7 @@ def repeal_notes(spark: SparkSession, d: str) -> DataFrame:
     return temporal.repeal_notes(view(spark, d, "acts"))
 
 
-@query("+ n AS (SELECT query_id, jurisdiction AS qj, raw_query, regexp_extract(raw_query, 'section ([0-9]+)', 1) AS no FROM queries), hit AS (SELECT n.query_id, a.act_id FROM n JOIN acts a ON a.status <> 'repealed' AND (contains(lower(raw_query), lower(act_name)) OR contains(lower(raw_query), lower(short_name)))), tgt AS (SELECT query_id, act_id FROM hit UNION ALL SELECT n.query_id, a.act_id FROM n JOIN acts a ON a.status <> 'repealed' WHERE n.query_id NOT IN (SELECT query_id FROM hit)) SELECT DISTINCT n.query_id, s.section_id FROM n JOIN tgt USING (query_id) JOIN sections s ON s.section_id = concat(tgt.act_id, '_S', n.no) JOIN acts a ON a.act_id = tgt.act_id WHERE NOT (qj IS NOT NULL AND a.jurisdiction <> 'Central' AND a.jurisdiction <> qj)")
+@query("+ " + _DIRECT + " SELECT query_id, section_id FROM direct")
 def direct_references(spark: SparkSession, d: str) -> DataFrame:
     """Sections that a query names by number, in acts it names or in all, if they exist and apply."""
     queries = view(spark, d, "queries")
@@ -550,7 +639,7 @@ def walked_edges(spark: SparkSession, d: str) -> DataFrame:
     return _traversed(spark, d)["edges"].select("query_id", "source_section_id", "target_section_id")
 
 
-@query(_LIVE.rstrip() + _BFS.replace("w.hop < 3", "w.hop < 2") + "SELECT query_id, max(hop) AS hops_taken FROM (SELECT query_id, section_id, min(hop) AS hop FROM walk GROUP BY query_id, section_id) WHERE hop > 0 GROUP BY query_id", recursive=True)
+@query(_LIVE.rstrip() + _BFS + "SELECT query_id, max(hop) AS hops_taken FROM (SELECT query_id, section_id, min(hop) AS hop FROM walk GROUP BY query_id, section_id) WHERE hop > 0 GROUP BY query_id", recursive=True)
 def hops_taken(spark: SparkSession, d: str) -> DataFrame:
     return _traversed(spark, d)["hops"].select("query_id", "hops_taken")
 

@@ -137,7 +137,7 @@ def walks_to_deepen(spark: SparkSession, d: str) -> DataFrame:
     return traversal.needs_expansion(spark.sql(_STATE.format("{orders}"), orders=table(spark, d, "orders")))
 
 
-@query(_LIVE.rstrip() + _BFS.replace("w.hop < 3", "w.hop < 2") + "SELECT query_id, section_id, min(hop) AS hop FROM walk GROUP BY query_id, section_id HAVING min(hop) BETWEEN 1 AND 1 + query_id % 2", recursive=True)
+@query(_LIVE.rstrip() + _BFS + "SELECT query_id, section_id, min(hop) AS hop FROM walk GROUP BY query_id, section_id HAVING min(hop) BETWEEN 1 AND 1 + query_id % 2", recursive=True)
 def deepened_walks(spark: SparkSession, d: str) -> DataFrame:
     """One hop for all; a second one, from where they stopped, for queries that weren't satisfied."""
     kept, _ = traversal.find_anchors(_asked(spark, d))
