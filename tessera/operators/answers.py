@@ -18,6 +18,8 @@ DISCLAIMER = "For information only; this is not legal advice."
 NOT_FLAGS = ("none", "null", "nil", "false", "no", "n/a", "na", "-", "not applicable")
 #: Labels of the two personas.
 LAWYER_LABELS = ("lawyer", "judge", "advocate", "legal", "professional")
+#: What the part of an answer that lists its sections begins with.
+RESTS_ON, CHECKED = "This rests on: ", "Sections checked: "
 STRUCT_ORDERED = lambda df_col: F.transform(F.sort_array(F.collect_list(df_col)), lambda x: x["v"])
 
 
@@ -135,7 +137,7 @@ def assemble_answers(states: DataFrame, lines: DataFrame, scope: str = "", warni
         when(partial, F.when(lawyer, "Evidence incomplete: some of the query has no section behind it.").otherwise("Some of your question is left open by the sections found."), gap, F.lit("\n")),
         F.when(body == "", "There is no draft for this query, so nothing is cited.").otherwise(body),
         when(has("amounts"), F.when(lawyer, "\nAmounts by rule:\n").otherwise("\nWhat the rules come to:\n"), F.array_join("amounts", "\n\n")),
-        F.concat(F.lit("\n"), F.when(lawyer, F.concat(F.lit("Sections checked: "), F.when(has("ids"), F.array_join(ids, ", ")).otherwise("none"))).otherwise(F.when(has("ids"), F.concat(F.lit("This rests on: "), F.array_join("names", "; "))).otherwise("None of the cited sections passed the checks."))),
+        F.concat(F.lit("\n"), F.when(lawyer, F.concat(F.lit(CHECKED), F.when(has("ids"), F.array_join(ids, ", ")).otherwise("none"))).otherwise(F.when(has("ids"), F.concat(F.lit(RESTS_ON), F.array_join("names", "; "))).otherwise("None of the cited sections passed the checks."))),
         when(has("since"), F.when(lawyer, "Commencement: ").otherwise("These laws began on: "), F.array_join("since", "; "), F.lit(".")),
         when(has("replaced"), F.when(lawyer, F.concat(F.lit("Left out, repealed: "), F.array_join("repealed", " "))).otherwise(F.concat(F.lit("Older law you may come across: "), F.array_join("replaced", " ")))),
         F.when(lawyer, F.concat(F.lit("Score: "), F.format_number("confidence", 2))).otherwise(F.concat(F.lit("Certainty: "), confidence_band(F.col("confidence"), weak), F.lit("."))),

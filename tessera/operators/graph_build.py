@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.snapshots import publish
+
 
 def upsert(existing: DataFrame, new: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
     """existing with the rows of new merged in: fields that new gives win; the last row of a key in ``order`` wins."""
@@ -81,10 +83,9 @@ def build_overrides(meta: DataFrame, annotated: DataFrame) -> tuple[DataFrame, D
     return each.join(older, "older_act_id").select("newer_act_id", "older_act_id", "authority"), each.join(older, "older_act_id", "left_anti").select("newer_act_id", "older_act_id")
 
 
-def reload_tables(tables: dict[str, DataFrame], path: str) -> None:
-    """Replace everything that was there."""
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
+def reload_tables(tables: dict[str, DataFrame], path: str) -> int:
+    """Replace everything that was there, tables that aren't given too; if any can't be written, all stay as they were."""
+    return publish(tables, path)
 
 
 def duplicate_keys(df: DataFrame, key: str) -> DataFrame:
