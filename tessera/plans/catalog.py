@@ -3,6 +3,6 @@
 from __future__ import annotations
 
 from tessera.plans import queries as first
-from tessera.plans import upkeep  # noqa: F401  (registers its queries)
+from tessera.plans import checks, upkeep  # noqa: F401  (register their queries)
 
 queries, oracle_sql = first.queries, first.oracle_sql

@@ -18,11 +18,13 @@ from tessera.sources.tables import cut, table
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
+_RAW: dict[str, str] = {}
 
 
 def query(sql: str | None = None, recursive: bool = False) -> Callable[[Query], Query]:
     def keep(f: Query) -> Query:
         _QUERIES[f.__name__] = f
+        _RAW[f.__name__] = sql or ""
         if sql:
             _SQL[f.__name__] = with_views(sql, recursive) if any(x in sql for x in ("acts", "sections", "cites", "concepts", "applies_to", "queries")) else sql
         return f
@@ -30,6 +32,12 @@ def query(sql: str | None = None, recursive: bool = False) -> Callable[[Query],
     return keep
 
 
+def raw_sql(name: str) -> str:
+    """A query's SQL as a subquery of another one that has the views."""
+    sql = _RAW[name].lstrip()
+    return f"WITH {sql[1:].lstrip()}" if sql.startswith("+") else sql
+
+
 def _nodes(spark: SparkSession, d: str) -> DataFrame:
     return graph_reads.with_act_meta(view(spark, d, "sections"), view(spark, d, "acts"))
 
@@ -431,14 +439,6 @@ def phrase_ngrams(spark: SparkSession, d: str) -> DataFrame:
     return phrases.select("phrase_id", F.posexplode(T.word_ngrams(F.col("phrase"))).alias("place", "gram")).select("phrase_id", (F.col("place") + 1).cast("bigint").alias("place"), "gram")
 
 
-@query()
-def ground_phrases(spark: SparkSession, d: str) -> DataFrame:
-    """All three stages over benchmark texts and market segments."""
-    phrases = table(spark, d, "customer").groupBy("c_mktsegment").agg(F.min("c_custkey").alias("phrase_id")).select("phrase_id", F.concat(F.lower("c_mktsegment"), F.lit(" large gadgt promo")).alias("phrase"))
-    more = table(spark, d, "part").select((F.col("p_partkey") + 1_000_000).alias("phrase_id"), F.lower(F.concat_ws(" ", "p_type", "p_name")).alias("phrase"))
-    return grounding.ground(phrases.unionByName(more), _concepts(spark, d))
-
-
 @query("SELECT o_orderkey, date_diff('day', DATE '1990-01-01', o_orderdate::DATE) AS days, strftime(o_orderdate, '%-d %B %Y') AS shown FROM orders")
 def flexible_dates(spark: SparkSession, d: str) -> DataFrame:
     iso = F.date_format("o_orderdate", "yyyy-MM-dd")
@@ -501,35 +501,6 @@ def verify_citations(spark: SparkSession, d: str) -> DataFrame:
     return verified.select("query_id", "section_id")
 
 
-@query()
-def answers_assembled(spark: SparkSession, d: str) -> DataFrame:
-    """Drafts rendered, verified, scored and put together, for every order."""
-    drafts = _drafts(spark, d)
-    cited = cut(answers.parse_citations(drafts))
-    retrieved = cited.select("query_id", "section_id")
-    verified, stripped = answers.verify_citations(cited, retrieved, view(spark, d, "sections"))
-    n = lambda df, c: df.groupBy("query_id").agg(F.count("*").alias(c))
-    facts = drafts.select("query_id").join(n(cited, "n_cited"), "query_id", "left").join(n(verified, "n_verified"), "query_id", "left").fillna(0)
-    facts = facts.selectExpr("query_id", "3 AS n_extracted", "cast(query_id % 3 AS int) AS n_ungrounded", "1 AS n_grounded", "0.6D AS seed", "query_id % 2 = 0 AS sufficient", "n_cited AS n_retrieved", "n_cited", "n_verified", "query_id % 7 = 0 AS has_conflict")
-    scored = answers.confidence(facts)
-    states = drafts.join(scored.select("query_id", "confidence", F.col("status").alias("guardrail_status")), "query_id").selectExpr("*", "CASE WHEN query_id % 2 = 0 THEN 'judge' ELSE 'user' END AS persona", "CASE WHEN query_id % 50 = 1 THEN 'failed' END AS error", "CASE WHEN query_id % 50 = 2 THEN 'evasion' ELSE 'None.' END AS safety_flag", "query_id % 50 != 3 AS in_domain", "query_id % 2 = 0 AS sufficient", "'the rest' AS missing")
-    none = lambda schema: spark.createDataFrame([], schema)
-    named = answers.display_names(verified, _nodes(spark, d))
-    lines = answers.answer_lines(named, none("query_id bigint, ord int, label string, amount double, note string"), none("query_id bigint, act_id string, act_name string, since string, predecessor string"), none("query_id bigint, act_name string, since string, n int"), none("query_id bigint, act_id string, repeal_note string, replacement_note string"))
-    return answers.assemble_answers(states, lines, "scope", stripped)
-
-
-@query()
-def evaluation_metrics(spark: SparkSession, d: str) -> DataFrame:
-    made = cut(answers_assembled(spark, d))
-    cited = made.select("query_id", F.explode("verified_section_ids").alias("section_id"))
-    cases = made.select("query_id", F.when(F.col("query_id") % 3 == 0, "ASIA").alias("jurisdiction_hint"))
-    acts, sections = view(spark, d, "acts"), view(spark, d, "sections").withColumnsRenamed({"title": "section_title", "text": "section_text"})
-    failures = cut(evaluation.check_invariants(made, cited, sections, acts, cases))
-    flagged = evaluation.unsourced_numbers(made, sections, made.select("query_id", F.lit("").alias("raw_query")))
-    return evaluation.integrity_metrics(made, failures, flagged, sections, acts)
-
-
 _CITE_TEXT = "concat('This Act applies. Subject to section ', {0}, ' and to sections ', {1}, ' to ', {2}, ' of this Act, it holds.')"
 
 
@@ -675,14 +646,6 @@ def clean_pages(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", T.clean_text(F.col("html")).alias("text"))
 
 
-@query()
-def quantities_said(spark: SparkSession, d: str) -> DataFrame:
-    """Amounts with units in orders' terms, spelled numbers included."""
-    words = F.array(*[F.lit(w) for w in (*T.UNITS, *T.TENS)])
-    said = F.concat_ws(" ", F.element_at(words, (F.col("o_orderkey") % F.size(words) + 1).cast("int")), F.lit("days and"), (F.col("o_custkey") % 90 + 1).cast("string"), F.lit("calendar months"))
-    return table(spark, d, "orders").select("o_orderkey", F.explode(T.quantities(said)).alias("q")).select("o_orderkey", "q.amount", "q.unit")
-
-
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
