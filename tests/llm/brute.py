@@ -236,3 +236,70 @@ def op9_rows(rows, width):
                 gone[i : i + width] = b"\1" * width
         out.append((len(w), sum(gone), sha(b" ".join(x for x, g in zip(w, gone) if not g))))
     return out
+
+
+def op5_perplexities(rows, order=5, width=6):
+    """{row number: (n-grams, perplexity, worst perplexity)} of rows (text, lang, fold), by the textbook's formulas."""
+    import math
+
+    raw = ["".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in (t or "")).encode() for t, _, _ in rows]
+    cut_up = lambda b: [b[i : i + order] for i in range(len(b) - order + 1)]
+    out = {}
+    for lang in {x for _, x, _ in rows}:
+        counts = defaultdict(int)
+        for b, (_, x, fold) in zip(raw, rows):
+            for g in cut_up(b) if (x, fold) == (lang, 0) else ():
+                counts[g] += 1
+        tables = {order: dict(counts)}
+        for n in range(order - 1, 0, -1):
+            left = defaultdict(int)
+            for g in tables[n + 1]:
+                left[g[1:]] += 1
+            tables[n] = dict(left)
+        ds, sums = {}, {}
+        for n, t in tables.items():
+            m = [sum(c == k for c in t.values()) for k in range(5)]
+            y = m[1] / max(m[1] + 2 * m[2], 1)
+            ds[n] = [0, *[min(max(k - (k + 1) * y * m[k + 1] / max(m[k], 1), 0.1), k - 0.05) for k in (1, 2, 3)]]
+            sums[n] = defaultdict(lambda: [0, 0, 0, 0])
+            for g, c in t.items():
+                s = sums[n][g[:-1]]
+                s[0] += c
+                s[min(c, 3)] += 1
+        known = {}
+
+        def p(g):
+            if not g:
+                return 1 / 256
+            if g not in known:
+                n, lower = len(g), p(g[1:])
+                if (s := sums[n].get(g[:-1])) is None:
+                    known[g] = lower
+                else:
+                    c = tables[n].get(g, 0)
+                    known[g] = (c - ds[n][min(c, 3)]) / s[0] * (c > 0) + sum(d * k for d, k in zip(ds[n][1:], s[1:])) / s[0] * lower
+            return known[g]
+
+        for i, (b, (_, x, _)) in enumerate(zip(raw, rows)):
+            if x == lang:
+                logs = [math.log(p(g)) for g in cut_up(b)] if counts else None
+                n = max(0, len(b) - order + 1)
+                mean = math.exp(-sum(logs) / n) if counts and n else None
+                out[i] = (n, mean, math.exp(-min(sum(logs[j : j + width]) for j in range(n - width + 1)) / width) if counts and n >= width else None)
+    return out
+
+
+def op5_kept(scored, quantiles, least=100, last=0.99):
+    """[kept] of rows (lang, fold, n-grams, perplexity, worst): limits are the pair of quantiles that parts best."""
+    import math
+
+    limits = {}
+    at = lambda values, q: sorted(values)[max(0, math.ceil(q * len(values)) - 1)]
+    for lang in {r[0] for r in scored}:
+        good, bad = ([r[3:] for r in scored if r[0] == lang and r[1] == f and r[2] >= least and r[3] is not None] for f in (1, 3))
+        if good:
+            means, worsts = ([at([g[k] for g in good], q) for q in quantiles] for k in (0, 1))
+            inside = lambda rows, a, b: sum(x <= means[a] and y <= worsts[b] for x, y in rows)
+            best = [(round(inside(good, a, b) / len(good) + 1 - inside(bad, a, b) / len(bad), 9), inside(good, a, b), a, b) for a in range(len(quantiles)) for b in range(len(quantiles))] if bad else []
+            limits[lang] = (means[max(best)[2]], worsts[max(best)[3]]) if best else (at([g[0] for g in good], last), at([g[1] for g in good], last))
+    return [not (n >= least and lang in limits and m is not None and (m > limits[lang][0] or w > limits[lang][1])) for lang, _, n, m, w in scored]

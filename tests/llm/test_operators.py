@@ -222,6 +222,27 @@ def test_op5_probabilities_and_both_ways(spark):
     assert (sums.s <= 1 + 1e-9).all() and (table.where("logp > 0").count() == 0)
 
 
+@pytest.mark.parametrize("options", [{}, {"broadcast_grams": 0}])
+def test_op5_against_brute_force(spark, options):
+    rng = random.Random(12)
+    words = ["".join(rng.choice(["ta", "re", "nö", "li", "se"]) for _ in range(rng.randint(1, 4))) for _ in range(120)]
+    text = lambda n, odd: " ".join(rng.choice(["zqx", "Jkv!"]) if rng.random() < odd else rng.choice(words) for _ in range(n))
+    rows = [(i, text(rng.choice([3, 30, 60]), (0, 0, 0, 0.1, 0.4)[i % 5]), ("en", "fr", None, "xx")[i * 7 % 4], "s", 0) for i in range(240)] + [(240, None, "en", "s", 0), (241, "", "fr", "s", 0), (242, "abcd", "en", "s", 0)]
+    df = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame([(i, int(i % 5 < 3), int(i % 5 == 4)) for i in range(0, 240) if i * 7 % 4 != 3], "doc_id long, quality int, toxic int")
+    fold = {r.doc_id: r.fold for r in kneser_ney.with_trust(df, labels).collect()}
+    got = {r.doc_id: r for r in kneser_ney.quality_scores(df, labels, **options).collect()}
+    want = brute.op5_perplexities([(t, x or "", fold[i]) for i, t, x, _, _ in rows])
+    assert {fold[i] for i in got} == {0, 1, 2, 3} and len(got) == len(rows)
+    for i, (n, mean, worst) in want.items():
+        assert got[i].n_grams == n
+        for mine, other in ((got[i].perplexity, mean), (got[i].worst_perplexity, worst)):
+            assert (mine is None) == (other is None) and (other is None or abs(mine - other) <= 1e-4 * other)
+    order = sorted(got)
+    kept = brute.op5_kept([(got[i].lang, fold[i], got[i].n_grams, got[i].perplexity, got[i].worst_perplexity) for i in order], kneser_ney.QUANTILES)
+    assert [got[i].kept for i in order] == kept and 0 < sum(kept) < len(kept)
+
+
 def test_op5_one_bad_word_in_a_long_text(spark):
     rng = random.Random(9)
     words = ["".join(rng.choice(["ta", "re", "no", "li", "se"]) for _ in range(rng.randint(1, 4))) for _ in range(300)]
