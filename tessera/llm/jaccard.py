@@ -2,8 +2,8 @@
 
 A document's set is sorted in one global order of its shingles (that of their hashes), and equal sets are one set.
 Two sets of a and b shingles that link differ in at most d = 15 * (a + b) / 185 of them.  So if the global order is
-cut into d + 1 + SPARE stretches, at least 1 + SPARE stretches hold the same shingles in both: whole paths of the prefix
-tree.  Each set names its stretches by a hash, all but the SPARE shortest; the longest shared one is always among them.
+cut into d + 1 + s stretches, at least 1 + s stretches hold the same shingles in both: whole paths of the prefix
+tree.  Each set names its stretches by a hash, all but the s shortest; the longest shared one is always among them.
 Sets are compared within classes of sizes (a ratio of 100 to THRESHOLD each) and with the class above, so d follows
 the size.  Sets that name a stretch alike, and those tied to them, form a bunch; few other sets ever do, however frequent a
 shingle is.
@@ -12,7 +12,7 @@ Each bunch is joined by a trie of its own: sequences sorted by the bunch's own f
 a set goes down the trie with the overlap of each shared beginning counted once, and a subtree is left as soon as what remains on
 both sides can't reach the threshold any more, or all in it are tied to the set already.  Overlaps are exact.
 
-A bunch with more than BUNCH_CELLS shingles is dealt in chunks.  In a first round each chunk meets the first one.
+A bunch with more than BUNCH_CELLS shingles is dealt in chunks.  In a first round each chunk meets some of the first one.
 Sets that the links so found tie to the bunch's largest component need no more comparing with each other; only the others
 meet all chunks, in batches.  So a group of near copies costs what its size is, and no link between different texts is lost.
 
@@ -34,13 +34,15 @@ from pyspark.sql import functions as F
 from tessera.llm.components import connected_components
 from tessera.llm.repeats import bit_table
 from tessera.llm.shared import cut, release
-from tessera.llm.textblock import LOWER, NOT_SPACE, blocks, mix, signed, whole_text, word_bounds, word_ids
+from tessera.llm.textblock import LOWER, NOT_SPACE, blocks, lists, mix, signed, whole_text, word_bounds, word_ids
 
 SHINGLE, THRESHOLD = 4, 85
-#: Stretches that a set doesn't name.
-SPARE = 2
+#: A set leaves so many stretches unnamed, its shortest ones, and one more for each SHARE of differences: short ones are shared by chance.
+SPARE, SHARE = 2, 4
 #: Shingles of a chunk.
 BUNCH_CELLS = 1 << 13
+#: One in so many sets of the first chunk meets all other chunks in the first round.
+LEADERS = 4
 BLOCK = 1 << 20
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], dtype=np.uint64)
 
@@ -54,7 +56,9 @@ def shingle_sets(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     starts, ends, at = word_bounds(low, off, NOT_SPACE)
     if not len(starts):
         return np.zeros(0, dtype=np.uint64), np.zeros(len(off), dtype=np.int64)
-    _, first, ids = np.unique(word_ids(low, starts, ends), return_index=True, return_inverse=True)
+    ids = word_ids(low, starts, ends)
+    first = np.zeros(int(ids.max()) + 1, dtype=np.int64)
+    first[ids[::-1]] = np.arange(len(ids) - 1, -1, -1)
     raw = low.tobytes()
     digests = b"".join([hashlib.blake2b(raw[a:b], digest_size=8).digest() for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)])
     value = np.frombuffer(digests, dtype=np.uint64)[ids]
@@ -68,8 +72,14 @@ def shingle_sets(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
         there = j < width[begins]
         h[there] += mix(value[begins[there] + j] ^ _FACTORS[j]) * (_FACTORS[j + 1] | np.uint64(1))
     h = mix(h + width[begins].astype(np.uint64))
-    order = np.lexsort((h, text[begins]))
-    h, text = h[order], text[begins][order]
+    text = text[begins]
+    bits = np.uint64(int(len(count)).bit_length())
+    head = (text.astype(np.uint64) << (np.uint64(64) - bits)) | (h >> bits)
+    order = np.argsort(head)
+    h, text = h[order], text[order]
+    if ((h[1:] < h[:-1]) & (text[1:] == text[:-1])).any():  # alike in the bits that the sort saw
+        order = np.lexsort((h, text))
+        h, text = h[order], text[order]
     new = np.ones(len(h), dtype=bool)
     new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
     h, text = h[new], text[new]
@@ -96,7 +106,8 @@ def stretch_keys(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
         top = starts[np.minimum(level[many] + 1, len(starts) - 1)] - 1
         differ = (100 - THRESHOLD) * (top + top * 100 // THRESHOLD) // (100 + THRESHOLD)
         many, differ = many[differ > 0], differ[differ > 0]  # else only equal sets link
-        pieces = differ + 1 + SPARE
+        spare = SPARE + differ // SHARE
+        pieces = differ + 1 + spare
         first = np.cumsum(pieces) - pieces
         who = np.repeat(np.arange(len(many)), size[many])
         inside = np.arange(len(who)) - np.repeat(np.cumsum(size[many]) - size[many], size[many])
@@ -110,8 +121,8 @@ def stretch_keys(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
             key[piece[begin]] = np.add.reduceat(mix(token ^ _FACTORS[5]), begin)
         of = np.repeat(np.arange(len(many)), pieces)
         number = np.arange(total) - first[of]
-        order = np.lexsort((number, length, of))
-        named = order[np.arange(total) - first[of] >= SPARE]  # the shortest SPARE are left out
+        order = np.argsort((of << 42) | (np.minimum(length, (1 << 18) - 1) << 24) | number)
+        named = order[np.arange(total) - first[of] >= spare[of]]  # the shortest ones are left out
         level = level[many][of[named]].astype(np.uint64)
         key = mix(mix(key[named] + number[named].astype(np.uint64) * _FACTORS[0]) + level * _FACTORS[1])
         out.append((many[of[named]], key, np.full(len(named), back == 0)))
@@ -246,98 +257,109 @@ def _links(groups: DataFrame) -> DataFrame:
                 right = probes or tree
                 yield pa.RecordBatch.from_arrays([pa.array([tree[i]["name"] for i, _ in found], pa.binary()), pa.array([right[j]["name"] for _, j in found], pa.binary())], names=["a", "b"])
 
-    packed = groups.groupBy("bunch", "i", "j").agg(F.collect_list(F.struct("name", "tokens", "label", "probe")).alias("sets"))
+    packed = groups.groupBy("bunch", "i", "j").agg(F.collect_set(F.struct("name", "tokens", "label", "probe")).alias("sets"))
     return packed.select("sets").mapInArrow(meet, "a binary, b binary")
 
 
-def _tied(docs: DataFrame) -> DataFrame:
-    """(node, root): short names of sets that share a named stretch, and their bunch."""
+def named_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, rid, n, name, s, own, above) of each row: the set's size and name, half of it, and the stretches it names in its own class and as one of the class above."""
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, buf, off in blocks(batch.column(0), BLOCK):
+            for lo, hi, buf, off in blocks(batch.column(2), BLOCK):
                 h, bounds = shingle_sets(buf, off)
-                short = _short(set_names(h, bounds))
+                names = set_names(h, bounds)
                 who, key, lower = stretch_keys(h, bounds)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(short[who]), pa.array(lower)], names=["key", "s", "lower"])
+                listed = [lists(signed(key[lower == kind]), np.bincount(who[lower == kind], minlength=hi - lo)) for kind in (True, False)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0)[lo:hi], batch.column(1)[lo:hi], pa.array(np.diff(bounds)), pa.array(names, pa.binary()), pa.array(_short(names)), *listed], names=["doc_id", "rid", "n", "name", "s", "own", "above"]
+                )
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", F.xxhash64("doc_id", whole_text()).alias("rid"), whole_text().alias("text"))
+    return rows.mapInArrow(name, f"doc_id {kind}, rid bigint, n bigint, name binary, s bigint, own array<bigint>, above array<bigint>")
 
-    texts = docs.select(whole_text().alias("text"))
-    named = texts.mapInArrow(name, "key bigint, s bigint, lower boolean")
-    shared = named.groupBy("key").agg(F.min("s").alias("m"), F.max("s").alias("x"), F.max("lower").alias("lower")).where("m != x and lower")
+
+def _bunches(rows: DataFrame) -> DataFrame:
+    """(node, root): short names of sets that share a named stretch, and their bunch."""
+    each = rows.select("s", F.explode("own").alias("key"), F.lit(True).alias("lower")).unionByName(rows.select("s", F.explode("above").alias("key"), F.lit(False).alias("lower")))
+    shared = each.groupBy("key").agg(F.min("s").alias("m"), F.max("s").alias("x"), F.max("lower").alias("lower")).where("m != x and lower")
     shared = cut(shared.select("key", "m"))
-    seen = docs.sparkSession.sparkContext.broadcast(bit_table(shared, "key", shared.count()))
+    seen = rows.sparkSession.sparkContext.broadcast(bit_table(shared, "key", shared.count()))
 
     def again(batches: Iterator[pa.RecordBatch], seen=seen) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, buf, off in blocks(batch.column(0), BLOCK):
-                h, bounds = shingle_sets(buf, off)
-                short = _short(set_names(h, bounds))
-                who, key, _ = stretch_keys(h, bounds)
-                hit = seen.value.has(key)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(key[hit])), pa.array(short[who[hit]])], names=["key", "s"])
-
-    ties = texts.mapInArrow(again, "key bigint, s bigint").join(shared, "key").where("s != m").select(F.col("m").alias("a"), F.col("s").alias("b")).distinct()
-    return connected_components(ties)
+            s = batch.column(0).to_numpy()
+            for c in (1, 2):
+                key = batch.column(c).flatten().to_numpy()
+                hit = np.flatnonzero(seen.value.has(key.view(np.uint64)))
+                of = np.repeat(s, np.diff(batch.column(c).offsets.to_numpy()))
+                yield pa.RecordBatch.from_arrays([pa.array(key[hit]), pa.array(of[hit])], names=["key", "s"])
+
+    again_named = rows.select("s", "own", "above").mapInArrow(again, "key bigint, s bigint")
+    ties = cut(again_named.join(shared, "key").where("s != m").select(F.col("m").alias("a"), F.col("s").alias("b")).distinct())
+    release(shared)
+    out = cut(connected_components(ties))
+    release(ties)
+    return out
 
 
-def linked_sets(docs: DataFrame, cells: int = BUNCH_CELLS) -> DataFrame:
-    """(node, root): names of sets that link with others, and the least name of their component."""
-    bunches = cut(_tied(docs))
-    inside = docs.sparkSession.sparkContext.broadcast(bit_table(bunches, "node", bunches.count()))
+def _with_tokens(docs: DataFrame, placed: DataFrame) -> DataFrame:
+    """placed (rid, name, bunch, chunk, chunks) with the sets' tokens, read from the texts again."""
+    inside = docs.sparkSession.sparkContext.broadcast(bit_table(placed, "rid", placed.count()))
 
     def tokens(batches: Iterator[pa.RecordBatch], inside=inside) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, buf, off in blocks(batch.column(0), BLOCK):
+            hit = np.flatnonzero(inside.value.has(batch.column(0).to_numpy().view(np.uint64)))
+            for _, _, buf, off in blocks(batch.column(1).take(pa.array(hit)), BLOCK):
                 h, bounds = shingle_sets(buf, off)
                 names = set_names(h, bounds)
-                short = _short(names)
-                hit = [i for i in np.flatnonzero(inside.value.has(short.view(np.uint64))).tolist() if names[i]]
-                # a set that occurs again in the block is sent once
-                once = list({names[i]: i for i in hit}.values())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(short[once]), pa.array([names[i] for i in once], pa.binary()), pa.array([h[bounds[i] : bounds[i + 1]].tobytes() for i in once], pa.binary())], names=["node", "name", "tokens"]
-                )
+                once = [i for n, i in {n: i for i, n in enumerate(names)}.items() if n]  # a set that occurs again in the block is sent once
+                yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in once], pa.binary()), pa.array([h[bounds[i] : bounds[i + 1]].tobytes() for i in once], pa.binary())], names=["name", "tokens"])
+
+    texts = docs.select(F.xxhash64("doc_id", whole_text()).alias("rid"), whole_text().alias("text"))
+    return texts.mapInArrow(tokens, "name binary, tokens binary").join(placed.drop("rid"), "name")
 
-    sets = docs.select(whole_text().alias("text")).mapInArrow(tokens, "node bigint, name binary, tokens binary")
-    sets = sets.join(bunches, "node").groupBy("name").agg(F.first("root").alias("bunch"), F.first("tokens").alias("tokens"))
+
+def linked_sets(docs: DataFrame, rows: DataFrame, cells: int = BUNCH_CELLS) -> DataFrame:
+    """(node, root): names of sets that link with others, and the least name of their component."""
+    bunches = _bunches(rows)
+    sets = rows.select("rid", "n", "name", "s").join(bunches, F.col("s") == F.col("node")).groupBy("name").agg(F.min("rid").alias("rid"), F.first("n").alias("n"), F.first("root").alias("bunch"))
     sets = cut(sets)
-    sizes = sets.groupBy("bunch").agg(F.ceil(F.sum(F.length("tokens")) / (8 * cells)).cast("int").alias("chunks"))
-    placed = sets.join(sizes, "bunch").withColumn("chunk", F.pmod(F.xxhash64("name"), F.col("chunks")).cast("int"))
+    release(bunches)
+    sizes = sets.groupBy("bunch").agg(F.ceil(F.sum("n") / cells).cast("int").alias("chunks"))
+    hashed = F.pmod(F.xxhash64("name"), LEADERS * F.col("chunks"))
+    placed = cut(sets.join(sizes, "bunch").select("rid", "name", "n", "bunch", "chunks", (hashed / LEADERS).cast("int").alias("chunk"), (hashed == 0).alias("leader")))
+    release(sets)
+    placed_sets = cut(_with_tokens(docs, placed))
     columns = ["bunch", "i", "j", "name", "tokens", "label", "probe"]
     none, zero = F.lit(None).cast("binary"), F.lit(0)
-    # each chunk with the first one
-    first = placed.withColumns({"i": F.explode(F.when((F.col("chunk") == 0) & (F.col("chunks") > 1), F.sequence(F.lit(1), F.col("chunks") - 1)).otherwise(F.array("chunk"))), "j": zero, "label": none, "probe": F.lit(False)})
+    # each chunk with the leaders of the first one
+    everywhere = F.col("leader") & (F.col("chunks") > 1)
+    first = placed_sets.withColumns({"i": F.explode(F.when(everywhere, F.sequence(zero, F.col("chunks") - 1)).otherwise(F.array("chunk"))), "j": zero, "label": none, "probe": F.lit(False)})
     links = cut(_links(first.select(*columns)))
     large = placed.where("chunks > 1")
     if not large.isEmpty():
         comps = connected_components(links).select(F.col("node").alias("name"), F.col("root").alias("label"))
         large = cut(large.join(comps, "name", "left").withColumn("label", F.coalesce("label", "name")))
-        most = large.groupBy("bunch", "label").agg(F.count("*").alias("n")).groupBy("bunch").agg(F.max(F.struct("n", "label"))["label"].alias("main"))
+        most = large.groupBy("bunch", "label").agg(F.count("*").alias("k")).groupBy("bunch").agg(F.max(F.struct("k", "label"))["label"].alias("main"))
         large = large.join(most, "bunch")
-        others = large.where("label != main")
-        batches = others.groupBy("bunch").agg(F.ceil(F.sum(F.length("tokens")) / (8 * cells)).cast("int").alias("batches"))
-        trees = large.join(batches, "bunch").withColumns({"i": F.col("chunk"), "j": F.explode(F.sequence(zero, F.col("batches") - 1)), "probe": F.lit(False)})
-        probes = others.join(batches, "bunch").withColumns({"i": F.explode(F.sequence(zero, F.col("chunks") - 1)), "j": F.pmod(F.xxhash64("name", F.lit(7)), F.col("batches")).cast("int"), "probe": F.lit(True)})
-        links = links.unionByName(_links(trees.select(*columns).unionByName(probes.select(*columns))))
-    out = cut(connected_components(links))
-    release(sets, bunches)
-    return out
+        batches = large.where("label != main").groupBy("bunch").agg(F.ceil(F.sum("n") / cells).cast("int").alias("batches"))
+        large = cut(large.join(batches, "bunch").select("name", "label", "main", "batches"))
+        again = placed_sets.join(large, "name")
+        trees = again.withColumns({"i": F.col("chunk"), "j": F.explode(F.sequence(zero, F.col("batches") - 1)), "probe": F.lit(False)})
+        probes = again.where("label != main").withColumns({"i": F.explode(F.sequence(zero, F.col("chunks") - 1)), "j": F.pmod(F.xxhash64("name", F.lit(7)), F.col("batches")).cast("int"), "probe": F.lit(True)})
+        links = cut(links.unionByName(_links(trees.select(*columns).unionByName(probes.select(*columns)))))
+    release(placed_sets, placed)
+    return cut(connected_components(links))
 
 
 def jaccard_components(docs: DataFrame, cells: int = BUNCH_CELLS) -> DataFrame:
     """(doc_id, n_shingles, component_id)."""
-    roots = linked_sets(docs, cells)
-
-    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, buf, off in blocks(batch.column(1), BLOCK):
-                h, bounds = shingle_sets(buf, off)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(np.diff(bounds)), pa.array(set_names(h, bounds), pa.binary())], names=["doc_id", "n_shingles", "node"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = cut(docs.select("doc_id", whole_text().alias("text")).mapInArrow(name, f"doc_id {kind}, n_shingles bigint, node binary"))
-    whole = rows.where("node is not null").join(roots, "node", "left").select("doc_id", "n_shingles", F.coalesce("root", "node").alias("c"))
+    rows = cut(named_rows(docs))
+    roots = linked_sets(docs, rows, cells)
+    whole = rows.where("name is not null").select("doc_id", "n", "name").join(roots, F.col("name") == F.col("node"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "name").alias("c"))
     whole = cut(whole)
     least = whole.groupBy("c").agg(F.min("doc_id").alias("component_id"))
     out = whole.join(least, "c").select("doc_id", "n_shingles", "component_id")
-    return out.unionByName(rows.where("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return out.unionByName(rows.where("name is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
