@@ -6,7 +6,7 @@ from tessera.plans import catalog as graph
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-FAST = ["concept_sections_live", "bounded_bfs", "section_neighbors", "suppressed_reasons", "direct_references", "extract_cites", "segment_hard_documents", "verify_citations", "merge_aliases", "citation_evidence", "merged_hits", "expectation_failures", "ground_by_substring"]
+FAST = ["concept_sections_live", "bounded_bfs", "section_neighbors", "suppressed_reasons", "direct_references", "extract_cites", "segment_hard_documents", "verify_citations", "merge_aliases", "citation_evidence", "merged_hits", "expectation_failures", "ground_by_substring", "records_read", "bad_record_lines", "reloaded_graph", "amounts_listed", "invariant_failures", "evaluation_metrics", "answers_assembled", "retrieval_summaries", "ground_phrases"]
 
 
 def test_entry_runs(spark):

@@ -297,6 +297,39 @@ def test_supporting_anchor_rediscovered_keeps_hop_zero(spark):
     assert rows(got["edges"], "source_section_id", "target_section_id") == [("q", "p"), ("q", "r")]
 
 
+def test_queries_that_share_a_walk_get_what_each_gets_alone(spark):
+    rng = random.Random(2)
+    names = [f"s{i}" for i in range(40)]
+    node_rows = [(s, f"A{i % 4}", ("Central", "Goa", "Asia", "Central")[i % 4], "repealed" if i % 9 == 8 else "in_force", str(i)) for i, s in enumerate(names)]
+    nodes = df(spark, "section_id string, act_id string, jurisdiction string, in_force_status string, section_number string", node_rows)
+    cites = df(spark, "source_section_id string, target_section_id string", [(rng.choice(names), rng.choice(names)) for _ in range(90)] + [("s0", s) for s in names])
+    anchors = {"c": names[:3], "d": names[5:9]}
+    asked_rows = [(q, c, s, ("primary", "supporting")[i % 2], place) for q, c, place in ((1, "c", None), (2, "c", None), (3, "c", "Goa"), (4, "d", None), (4, "c", None), (5, "d", "Asia")) for i, s in enumerate(anchors[c])]
+    asked = df(spark, "query_id int, concept string, section_id string, relevance string, query_jurisdiction string", asked_rows).join(nodes, "section_id")
+    every = traversal.traverse(asked, cites, nodes, 2, 12)
+    columns = {"sections": ("concept", "section_id", "hop", "part"), "edges": ("concept", "source_section_id", "target_section_id"), "hops": ("concept", "hops_taken"), "confidence": ("concept", "confidence"), "suppressed": ("concept", "section_id", "hop")}
+    for q in (1, 3, 4, 5):
+        alone = traversal.traverse(asked.where(F.col("query_id") == q), cites, nodes, 2, 12)
+        for k, cols in columns.items():
+            assert rows(every[k].where(F.col("query_id") == q), *cols) == rows(alone[k], *cols), (q, k)
+    assert rows(every["sections"].where("query_id = 1"), *columns["sections"]) == rows(every["sections"].where("query_id = 2"), *columns["sections"])
+    # by a plain walk
+    valid = lambda s, place: (n := node_rows[names.index(s)])[3] != "repealed" and not (place and n[2] not in ("Central", place))
+    near = {}
+    for a, b in {(r.source_section_id, r.target_section_id) for r in cites.collect()}:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    for q, place in ((1, None), (3, "Goa")):
+        seen = {s: 0 for i, s in enumerate(anchors["c"]) if i % 2 == 0 and valid(s, place)}
+        for hop in (1, 2):
+            for s in [s for s, h in seen.items() if h == hop - 1]:
+                for t in near.get(s, ()):
+                    if valid(t, place):
+                        seen.setdefault(t, hop)
+        got = {r.section_id: r.hop for r in traversal.traverse(asked.where(F.col("query_id") == q), cites, nodes, 2, 1000)["sections"].collect()}
+        assert {s: h for s, h in got.items() if h > 0} == {s: h for s, h in seen.items() if h > 0 and s not in anchors["c"]}
+
+
 def test_bm25_and_ranking(spark):
     import math
 
