@@ -121,21 +121,23 @@ def _pieces(opened: DataFrame) -> DataFrame:
     return pieces.groupBy(*run).agg(F.sort_array(F.collect_list(F.struct("f.i", "n", F.col("f.w").alias("seg"), F.col("f.w2").alias("seg2")))).alias("pieces"))
 
 
-def segments(docs: DataFrame, width: int = WIDTH, k: int = K) -> tuple[DataFrame, list[DataFrame]]:
-    """(row, doc_id, th, at, n, seg, seg2): every occurrence of every repeated segment; and the written tables that it reads."""
+def segments(docs: DataFrame, width: int = WIDTH, k: int = K) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """(row, doc_id, at, n, seg, seg2): every occurrence of every repeated segment; (row, doc_id, th), one row of each text; and the written tables that the first reads."""
     runs = repeated_runs(docs, "word", width, k)
     places = cut(_candidates(docs, runs, width, k).join(runs, "gram").withColumn("gram", F.when(F.col("kinds") > 1, F.col("gram"))))  # the k-gram of others is of no more use
-    plain = places.where("kinds = 1").select("row", "doc_id", "th", F.col("lo").alias("at"), "n", "seg", "seg2")
+    # equal rows have equal places: the least of them speaks for all
+    names = cut(places.select("row", "doc_id", "th").distinct().groupBy("doc_id", "th").agg(F.min("row").alias("row")))
+    plain = places.where("kinds = 1").select("row", "doc_id", F.col("lo").alias("at"), "n", "seg", "seg2")
     # counted anew under the names of 128 bits: runs that only share a digest are told apart here
     opened = places.where("kinds > 1").groupBy("gram", "seg", "seg2").agg(F.count("*").alias("cnt"), *[F.first(F.when(F.size(c) > 0, F.col(c)), ignorenulls=True).alias(c) for c in ("windows", "windows2")])
     pieces = cut(_pieces(opened.where("windows is not null")))  # written, so that a run with many places can be split in the join
-    mixed = places.where("kinds > 1").select("gram", "seg", "seg2", "row", "doc_id", "th", "lo").join(pieces, ["gram", "seg", "seg2"])
-    mixed = mixed.select("row", "doc_id", "th", "lo", F.explode("pieces").alias("p")).select("row", "doc_id", "th", (F.col("lo") + F.col("p.i")).alias("at"), F.col("p.n").alias("n"), F.col("p.seg").alias("seg"), F.col("p.seg2").alias("seg2"))
-    return plain.unionByName(mixed), [places, pieces]
+    mixed = places.where("kinds > 1").select("gram", "seg", "seg2", "row", "doc_id", "lo").join(pieces, ["gram", "seg", "seg2"])
+    mixed = mixed.select("row", "doc_id", "lo", F.explode("pieces").alias("p")).select("row", "doc_id", (F.col("lo") + F.col("p.i")).alias("at"), F.col("p.n").alias("n"), F.col("p.seg").alias("seg"), F.col("p.seg2").alias("seg2"))
+    return plain.unionByName(mixed), names, [places, pieces]
 
 
 def paths(found: DataFrame, spent: list[DataFrame]) -> DataFrame:
-    """(row, doc_id, th, at, n, source, parts): every occurrence of every path without branches.
+    """(row, doc_id, at, n, source, parts): every occurrence of every path without branches.
 
     ``parts`` are its segments, each with its own first place.  Paths run within a row: rows with equal doc_id and text
     each have their own.  The tables ``spent`` aren't needed once the links are written.
@@ -152,11 +154,11 @@ def paths(found: DataFrame, spent: list[DataFrame]) -> DataFrame:
     glued = nodes.where("prev != 0").alias("b").join(nodes.where("next != 0").alias("a"), (F.col("b.prev") == F.col("a.seg")) & (F.col("a.next") == F.col("b.seg")) & (F.col("a.seg") != F.col("b.seg")))
     nodes = nodes.join(glued.select(F.col("b.seg").alias("seg"), F.col("b.seg2").alias("seg2"), F.lit(True).alias("glued")).distinct(), ["seg", "seg2"], "left")
     nodes = cut(nodes.select("seg", "seg2", "first", F.coalesce("glued", F.lit(False)).alias("glued")))  # likewise for a segment with many places
-    placed = linked.select("row", "doc_id", "th", "at", "n", "seg", "seg2", (F.col("prev") != 0).alias("joined")).join(nodes, ["seg", "seg2"])
+    placed = linked.select("row", "doc_id", "at", "n", "seg", "seg2", (F.col("prev") != 0).alias("joined")).join(nodes, ["seg", "seg2"])
     head = F.when(F.col("glued") & F.col("joined"), 0).otherwise(1)
     numbered = placed.withColumn("path", F.sum(head).over(text.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return numbered.groupBy("row", "path").agg(F.first("doc_id").alias("doc_id"), F.first("th").alias("th"), F.sort_array(F.collect_list(F.struct("at", "n", "seg", "seg2", "first"))).alias("parts")).select(
-        "row", "doc_id", "th", F.col("parts")[0]["at"].alias("at"), F.aggregate("parts", F.lit(0).cast("bigint"), lambda acc, p: acc + p["n"]).alias("n"), F.col("parts")[0]["first"].alias("source"), "parts"
+    return numbered.groupBy("row", "path").agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct("at", "n", "seg", "seg2", "first"))).alias("parts")).select(
+        "row", "doc_id", F.col("parts")[0]["at"].alias("at"), F.aggregate("parts", F.lit(0).cast("bigint"), lambda acc, p: acc + p["n"]).alias("n"), F.col("parts")[0]["first"].alias("source"), "parts"
     )
 
 
@@ -166,14 +168,15 @@ def later_spans(docs: DataFrame, width: int = WIDTH, k: int = K) -> DataFrame:
     An occurrence is held against its source segment by segment: each is named by 128 bits of its words, and
     stands at the source's own distance from the path's start, or else is judged against its own first place.
     """
-    found = paths(*segments(docs, width, k))
+    occurrences, names, spent = segments(docs, width, k)
+    found = paths(occurrences, spent)
     at_source = lambda place, source: (source["doc_id"].eqNullSafe(F.col("doc_id"))) & (source["at"] == place)
     whole = F.forall("parts", lambda p: p["first"]["doc_id"].eqNullSafe(F.col("source.doc_id")) & (p["first"]["at"] - F.col("source.at") == p["at"] - F.col("at")))
     later = F.filter("parts", lambda p: ~at_source(p["at"], p["first"]))
     spans = F.when(whole, F.when(~at_source(F.col("at"), F.col("source")), F.array(F.struct(F.col("at").alias("at"), F.col("n").alias("n"))))).otherwise(F.transform(later, lambda p: F.struct(p["at"].alias("at"), p["n"].alias("n"))))
-    spans = found.select("doc_id", "th", F.explode(spans).alias("x"))
-    # equal rows have the same spans, each kept once
-    return spans.groupBy("doc_id", "th").agg(F.collect_set(F.struct(F.col("x.at").alias("a"), (F.col("x.at") + F.col("x.n") - 1 + width).alias("b"))).alias("spans"))
+    spans = found.select("row", F.explode(spans).alias("x"))
+    spans = spans.groupBy("row").agg(F.collect_list(F.struct(F.col("x.at").alias("a"), (F.col("x.at") + F.col("x.n") - 1 + width).alias("b"))).alias("spans"))
+    return spans.join(names, "row").select("doc_id", "th", "spans")
 
 
 def remove_later(docs: DataFrame, width: int = WIDTH, k: int = K) -> DataFrame:
