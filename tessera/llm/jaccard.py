@@ -4,7 +4,7 @@ A document's set is sorted in one global order of its shingles (that of their ha
 Two sets of a and b shingles that link differ in at most d = 15 * (a + b) / 185 of them.  So if the global order is
 cut into d + 1 + s stretches, at least 1 + s stretches hold the same shingles in both: whole paths of the prefix
 tree.  Each set names its stretches by a hash, all but the s shortest; the longest shared one is always among them.
-Sets are compared within classes of sizes (a ratio of 100 to THRESHOLD each) and with the class above, so d follows
+Sets are compared within classes of sizes (a ratio of CLASS_RATIO each) and, where they are small enough, with the class below, so d follows
 the size.  Sets that name a stretch alike, and those tied to them, form a bunch; few other sets ever do, however frequent a
 shingle is.
 
@@ -39,8 +39,10 @@ from tessera.llm.textblock import LOWER, NOT_SPACE, blocks, lists, mix, signed,
 SHINGLE, THRESHOLD = 4, 85
 #: A set leaves so many stretches unnamed, its shortest ones, and one more for each SHARE of differences: short ones are shared by chance.
 SPARE, SHARE = 2, 4
+#: Largest over least size of a class: wider ones need fewer names a set, but shorter stretches.
+CLASS_RATIO = 1.35
 #: Shingles of a chunk.
-BUNCH_CELLS = 1 << 13
+BUNCH_CELLS = 1 << 16
 #: One in so many sets of the first chunk meets all other chunks in the first round.
 LEADERS = 4
 BLOCK = 1 << 20
@@ -90,7 +92,7 @@ def class_starts(largest: int) -> np.ndarray:
     """The least size of each class; a set links with sets of its own class and the ones beside only."""
     out = [1]
     while out[-1] <= largest:
-        out.append(out[-1] * 100 // THRESHOLD + 1)
+        out.append(max(out[-1] * 100 // THRESHOLD, int(out[-1] * CLASS_RATIO)) + 1)
     return np.array(out)
 
 
@@ -102,8 +104,9 @@ def stretch_keys(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
     out = []
     for back in (0, 1):  # as a set of the level's own class, and as one of the class above
         level = own - back
-        many = np.flatnonzero((level >= 0) & (size > 0))
-        top = starts[np.minimum(level[many] + 1, len(starts) - 1)] - 1
+        top = starts[np.clip(level + 1, 0, len(starts) - 1)] - 1  # the largest of the level's own class
+        many = np.flatnonzero((level >= 0) & (size > 0) & (size <= top * 100 // THRESHOLD))
+        top = top[many]
         differ = (100 - THRESHOLD) * (top + top * 100 // THRESHOLD) // (100 + THRESHOLD)
         many, differ = many[differ > 0], differ[differ > 0]  # else only equal sets link
         spare = SPARE + differ // SHARE
