@@ -349,7 +349,7 @@ def linked_sets(docs: DataFrame, rows: DataFrame, cells: int = BUNCH_CELLS) -> D
         large = large.join(most, "bunch")
         batches = large.where("label != main").groupBy("bunch").agg(F.ceil(F.sum("n") / cells).cast("int").alias("batches"))
         large = cut(large.join(batches, "bunch").select("name", "label", "main", "batches"))
-        again = placed_sets.join(large, "name")
+        again = placed_sets.where("chunks > 1").join(large, "name")
         trees = again.withColumns({"i": F.col("chunk"), "j": F.explode(F.sequence(zero, F.col("batches") - 1)), "probe": F.lit(False)})
         probes = again.where("label != main").withColumns({"i": F.explode(F.sequence(zero, F.col("chunks") - 1)), "j": F.pmod(F.xxhash64("name", F.lit(7)), F.col("batches")).cast("int"), "probe": F.lit(True)})
         links = cut(links.unionByName(_links(trees.select(*columns).unionByName(probes.select(*columns)))))
