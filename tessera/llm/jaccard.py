@@ -45,6 +45,8 @@ CLASS_RATIO = 1.35
 BUNCH_CELLS = 1 << 16
 #: One in so many sets of the first chunk meets all other chunks in the first round.
 LEADERS = 4
+#: Row ids that a task remembers at a time.
+SENT = 1 << 18
 BLOCK = 1 << 20
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], dtype=np.uint64)
 
@@ -308,20 +310,39 @@ def _bunches(rows: DataFrame) -> DataFrame:
 
 
 def _with_tokens(docs: DataFrame, placed: DataFrame) -> DataFrame:
-    """placed (rid, name, bunch, chunk, chunks) with the sets' tokens, read from the texts again."""
+    """placed (rid, name, bunch, chunk, chunks, leader) with the sets' tokens, made from the texts again.
+
+    The texts travel to their places rather than the tokens: these take twice the room and don't compress.
+    """
     inside = docs.sparkSession.sparkContext.broadcast(bit_table(placed, "rid", placed.count()))
 
-    def tokens(batches: Iterator[pa.RecordBatch], inside=inside) -> Iterator[pa.RecordBatch]:
+    def wanted(batches: Iterator[pa.RecordBatch], inside=inside) -> Iterator[pa.RecordBatch]:
+        sent: set[int] = set()
         for batch in batches:
-            hit = np.flatnonzero(inside.value.has(batch.column(0).to_numpy().view(np.uint64)))
-            for _, _, buf, off in blocks(batch.column(1).take(pa.array(hit)), BLOCK):
+            rid = batch.column(0).to_numpy()
+            once = []
+            for k in np.flatnonzero(inside.value.has(rid.view(np.uint64))).tolist():
+                if (r := int(rid[k])) not in sent:  # a row that occurs again is sent once
+                    sent.add(r)
+                    once.append(k)
+            if len(sent) > SENT:
+                sent.clear()
+            if once:
+                yield batch.take(pa.array(once))
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            expected = batch.column("name").to_pylist()
+            for lo, hi, buf, off in blocks(batch.column("text"), BLOCK):
                 h, bounds = shingle_sets(buf, off)
-                names = set_names(h, bounds)
-                once = [i for n, i in {n: i for i, n in enumerate(names)}.items() if n]  # a set that occurs again in the block is sent once
-                yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in once], pa.binary()), pa.array([h[bounds[i] : bounds[i + 1]].tobytes() for i in once], pa.binary())], names=["name", "tokens"])
+                same = [i for i, n in enumerate(set_names(h, bounds)) if n == expected[lo + i]]  # ids of rows are short, so two texts may share one
+                made = pa.array([h[bounds[i] : bounds[i + 1]].tobytes() for i in same], pa.binary())
+                yield pa.RecordBatch.from_arrays([*[batch.column(c)[lo:hi].take(pa.array(same, pa.int64())) for c in kept], made], names=[*kept, "tokens"])
 
     texts = docs.select(F.xxhash64("doc_id", whole_text()).alias("rid"), whole_text().alias("text"))
-    return texts.mapInArrow(tokens, "name binary, tokens binary").join(placed.drop("rid"), "name")
+    kept = [c for c in placed.columns if c != "rid"]
+    met = texts.mapInArrow(wanted, "rid bigint, text string").join(placed, "rid").drop("rid")
+    return met.mapInArrow(tokens, ", ".join([*[f"{c} {placed.schema[c].dataType.simpleString()}" for c in kept], "tokens binary"]))
 
 
 def linked_sets(docs: DataFrame, rows: DataFrame, cells: int = BUNCH_CELLS) -> DataFrame:
