@@ -341,8 +341,10 @@ def _with_tokens(docs: DataFrame, placed: DataFrame) -> DataFrame:
 
     texts = docs.select(F.xxhash64("doc_id", whole_text()).alias("rid"), whole_text().alias("text"))
     kept = [c for c in placed.columns if c != "rid"]
-    met = texts.mapInArrow(wanted, "rid bigint, text string").join(placed, "rid").drop("rid")
-    return met.mapInArrow(tokens, ", ".join([*[f"{c} {placed.schema[c].dataType.simpleString()}" for c in kept], "tokens binary"]))
+    texts = cut(texts.mapInArrow(wanted, "rid bigint, text string"))  # a stage of its own, so that no task needs two Python workers
+    out = cut(texts.join(placed, "rid").drop("rid").mapInArrow(tokens, ", ".join([*[f"{c} {placed.schema[c].dataType.simpleString()}" for c in kept], "tokens binary"])))
+    release(texts)
+    return out
 
 
 def linked_sets(docs: DataFrame, rows: DataFrame, cells: int = BUNCH_CELLS) -> DataFrame:
@@ -355,7 +357,7 @@ def linked_sets(docs: DataFrame, rows: DataFrame, cells: int = BUNCH_CELLS) -> D
     hashed = F.pmod(F.xxhash64("name"), LEADERS * F.col("chunks"))
     placed = cut(sets.join(sizes, "bunch").select("rid", "name", "n", "bunch", "chunks", (hashed / LEADERS).cast("int").alias("chunk"), (hashed == 0).alias("leader")))
     release(sets)
-    placed_sets = cut(_with_tokens(docs, placed))
+    placed_sets = _with_tokens(docs, placed)
     columns = ["bunch", "i", "j", "name", "tokens", "label", "probe"]
     none, zero = F.lit(None).cast("binary"), F.lit(0)
     # each chunk with the leaders of the first one
