@@ -443,3 +443,15 @@ def test_warnings_come_with_the_answer(spark):
     got = {r.query_id: r.warnings for r in answers.assemble_answers(states, lines, "", warnings).collect()}
     assert got == {0: [], 1: ["first", "second"], 2: ["only"]}
     assert all(r.warnings == [] for r in answers.assemble_answers(states, lines).collect())
+
+
+def test_rows_of_pieces_are_never_broadcast(spark, monkeypatch):
+    plans = []
+    keep = graph_reads.cut
+    monkeypatch.setattr(graph_reads, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(graph_reads, "cut", lambda df: plans.append(df) or keep(df))
+    texts, needles = spark.createDataFrame([(0, "topic 123 and more"), (1, "topic 12")], "i int, text string"), spark.createDataFrame([(0, "topic 12"), (1, "topic 123")], "j int, needle string")
+    out = graph_reads.join_contained(texts, "text", needles, "needle")
+    assert sorted((r.i, r.j) for r in out.collect()) == [(0, 0), (0, 1), (1, 0)]
+    # tiny files say nothing of what they hold, so only counted rows may be broadcast
+    assert not [p for p in [*plans, out] if "Broadcast" in p._jdf.queryExecution().sparkPlan().toString()]
