@@ -455,3 +455,21 @@ def test_rows_of_pieces_are_never_broadcast(spark, monkeypatch):
     assert sorted((r.i, r.j) for r in out.collect()) == [(0, 0), (0, 1), (1, 0)]
     # tiny files say nothing of what they hold, so only counted rows may be broadcast
     assert not [p for p in [*plans, out] if "Broadcast" in p._jdf.queryExecution().sparkPlan().toString()]
+
+
+def test_walks_end_when_their_cap_is_full(spark, monkeypatch):
+    rng = random.Random(5)
+    names = [f"s{i}" for i in range(60)]
+    nodes = df(spark, "section_id string, act_id string, jurisdiction string, in_force_status string, section_number string", [(s, f"A{i % 4}", ("Central", "Goa")[i % 2], "repealed" if i % 9 == 8 else "in_force", str(i)) for i, s in enumerate(names)])
+    cites = df(spark, "source_section_id string, target_section_id string", [(rng.choice(names[:50]), rng.choice(names[:50])) for _ in range(70)])
+    asked_rows = [(q, c, s, ("primary", "supporting")[i % 3 == 2], place) for q, c, place in ((1, "c", None), (2, "c", "Goa"), (3, "d", "Asia"), (4, "e", None)) for i, s in enumerate({"c": names[:4], "d": names[20:29], "e": names[55:57]}[c])]
+    asked = df(spark, "query_id int, concept string, section_id string, relevance string, query_jurisdiction string", asked_rows).join(nodes, "section_id")
+    every = traversal.traverse(asked, cites, nodes, 2, 5)
+    short = traversal.traverse(asked, cites, nodes, 2, 5, whole=False)
+    for k, cols in {"sections": ("query_id", "section_id", "hop", "part"), "edges": ("query_id", "source_section_id", "target_section_id"), "confidence": ("query_id", "confidence")}.items():
+        assert rows(short[k], *cols) == rows(every[k], *cols), k
+    assert rows(traversal.depths(asked, cites, nodes, 2), "query_id", "hops_taken") == rows(every["hops"], "query_id", "hops_taken")
+    assert rows(traversal.depths(asked, cites, nodes, 1), "query_id", "hops_taken") == [(q, 1) for q, _ in rows(every["hops"], "query_id", "hops_taken")]
+    # anchors alone fill a cap of one, so no edge is looked at
+    monkeypatch.setattr(traversal, "_ways", lambda *a: 1 / 0)
+    assert traversal.traverse(asked, cites, nodes, 2, 1, whole=False)["sections"].count() == 4
