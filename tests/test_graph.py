@@ -473,3 +473,29 @@ def test_walks_end_when_their_cap_is_full(spark, monkeypatch):
     # anchors alone fill a cap of one, so no edge is looked at
     monkeypatch.setattr(traversal, "_ways", lambda *a: 1 / 0)
     assert traversal.traverse(asked, cites, nodes, 2, 1, whole=False)["sections"].count() == 4
+
+
+def test_overlap_with_common_words_is_that_of_all_pairs(spark, monkeypatch):
+    rng = random.Random(11)
+    words = ["large", "small", "ring", "bolt", "plate", "topic", "economy", "cold", "brass", "wage"]
+    concept_rows = [(f"c{i}", f"{rng.choice(words)} {rng.choice(words)} topic {100 + i}" if i % 7 else rng.choice(words) + "x" * (i % 3), [f"topic {100 + i}", f"{rng.choice(words)} {rng.choice(words)}"], i) for i in range(80)]
+    concepts = df(spark, "concept_id string, name string, aliases array<string>, ord int", [r for i, r in enumerate(concept_rows) if r[1] not in {x[1] for x in concept_rows[:i]}])
+    phrases = df(spark, "phrase_id int, phrase string", [(i, " ".join(rng.choice([*words, str(100 + rng.randrange(90)), "unheard"]) for _ in range(1 + i % 6))) for i in range(120)])
+    exploded, names, freq = grounding.build_vocabulary(concepts)
+    own = [(r.phrase_id, r.t) for r in phrases.select("phrase_id", grounding.T.content_tokens(F.col("phrase")).alias("t")).collect() if r.t]
+    terms, freq, whole = {}, {r.token: r.df for r in freq.collect()}, {r.name: r.name_tokens for r in names.collect()}
+    for r in exploded.collect():
+        terms.setdefault((r.name, r.ord, r.term_ord), set()).add(r.token)
+    want = []
+    for pid, said in own:
+        scores = {}
+        for (name, ord_, _), toks in terms.items():
+            both = toks & set(said)
+            if both and max(map(len, both)) >= 4 and (len(both) > 1 or whole[name] == list(both) or min(freq[t] for t in both) <= grounding.MAX_DF):
+                share = max(len(both) / len(said), len(both) / len(toks))
+                if share >= grounding.MIN_SHARE:
+                    scores[name, ord_] = max(share, scores.get((name, ord_), 0))
+        want += [(pid, name, n) for n, ((name, _), _) in enumerate(sorted(scores.items(), key=lambda x: (-x[1], x[0][1]))[: grounding.MAX_OVERLAP], 1)]
+    for common in (0, 3, 1000):
+        monkeypatch.setattr(grounding, "COMMON_TERMS", common)
+        assert rows(grounding.ground_overlap(phrases, concepts), "phrase_id", "name", "n") == sorted(want), common
