@@ -499,3 +499,11 @@ def test_overlap_with_common_words_is_that_of_all_pairs(spark, monkeypatch):
     for common in (0, 3, 1000):
         monkeypatch.setattr(grounding, "COMMON_TERMS", common)
         assert rows(grounding.ground_overlap(phrases, concepts), "phrase_id", "name", "n") == sorted(want), common
+
+
+def test_close_texts_meet_by_several_letters(spark):
+    keys = spark.createDataFrame([(["a1", "b1", "c1", "d1"], 1), (["a1", "b1", "c1", "d1"], 2), (["a1", "b1", "c1", "d1"], 3), (["a1", "b1"], 2)], "items array<string>, n int")
+    sizes = [len(r[0]) for r in keys.select(grounding._choices(F.col("items"), F.col("n"))).collect()]
+    assert sizes == [4, 6, 4, 1]  # all choices of one, two and three of four letters; of two of two
+    found = grounding.close_pairs(spark.createDataFrame([("tpic 1234",)], "gram string"), spark.createDataFrame([(f"topic {i}",) for i in range(1000, 1300)], "term string"))
+    assert "topic 1234" in {r.term for r in found.collect()}
