@@ -507,3 +507,14 @@ def test_close_texts_meet_by_several_letters(spark):
     assert sizes == [4, 6, 4, 1]  # all choices of one, two and three of four letters; of two of two
     found = grounding.close_pairs(spark.createDataFrame([("tpic 1234",)], "gram string"), spark.createDataFrame([(f"topic {i}",) for i in range(1000, 1300)], "term string"))
     assert "topic 1234" in {r.term for r in found.collect()}
+
+
+def test_relevance_is_dealt_by_query(spark, monkeypatch):
+    monkeypatch.setattr(graph_reads, "TASK_ROWS", 4)
+    names = df(spark, "concept_id string, name string", [("c0", "hot"), ("c1", "own")])
+    ap = df(spark, "section_id string, concept_id string, relevance string", [("S1", "c0", "primary"), ("S2", "c0", "primary"), ("S2", "c1", "primary")])
+    asked = df(spark, "query_id int, name string", [(i, "own") for i in range(12)])
+    hot = df(spark, "query_id int, name string", [(i, "hot") for i in range(12)])
+    found = grounding.relevance_for(asked, hot, names, ap)
+    assert found.rdd.getNumPartitions() == 9  # 36 rows before they are grouped
+    assert rows(found.where("query_id = 3"), "section_id", "relevance") == [("S1", "supporting"), ("S2", "primary")]
