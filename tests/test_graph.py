@@ -518,3 +518,12 @@ def test_relevance_is_dealt_by_query(spark, monkeypatch):
     found = grounding.relevance_for(asked, hot, names, ap)
     assert found.rdd.getNumPartitions() == 9  # 36 rows before they are grouped
     assert rows(found.where("query_id = 3"), "section_id", "relevance") == [("S1", "supporting"), ("S2", "primary")]
+
+
+def test_commencement_is_dealt_by_query(spark, monkeypatch):
+    monkeypatch.setattr(graph_reads, "TASK_ROWS", 4)
+    qa = df(spark, "query_id int, act_id string, event_date string", [(i, "A", "1999") for i in range(10)] * 2)
+    acts = df(spark, "act_id string, act_name string, in_force_from string, repealed_by string, ord int", [("A", "Code", "2000-01-01", "", 0)])
+    found = temporal.commencement_conflicts(qa, acts)
+    assert found.rdd.getNumPartitions() == 5  # 20 rows before equal ones are brought together
+    assert found.count() == 10
