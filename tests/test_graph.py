@@ -541,3 +541,13 @@ def test_expectations_meet_their_cases_once(spark):
     ])
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join Inner") == 1
+
+
+def test_neighbors_read_edges_once(spark):
+    edges = df(spark, "src string, dst string, rel_type string", [("a", "b", "CITES"), ("a", "b", "CITES"), ("b", "b", "CITES"), ("x", "a", "HAS_SECTION")])
+    found = graph_reads.neighbors(df(spark, "section_id string", [("a",), ("b",), ("a",)]), edges)
+    assert rows(found, "section_id", "neighbor_id", "rel_type", "direction") == [
+        ("a", "b", "CITES", "outgoing"), ("a", "x", "HAS_SECTION", "incoming"), ("b", "a", "CITES", "incoming"), ("b", "b", "CITES", "incoming"), ("b", "b", "CITES", "outgoing"),
+    ]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1
