@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import answers, calculators, evaluation, graph_build, grounding, temporal
+from tessera.operators.graph_reads import tasks
 from tessera.plans import upkeep  # noqa: F401  (its SQL is used here)
 from tessera.plans.bindings import view
 from tessera.plans.queries import _concepts, _half_up, _nodes, _stems, query, raw_sql
@@ -170,7 +171,9 @@ def quantities_said(spark: SparkSession, d: str) -> DataFrame:
     words = F.array(*[F.lit(w) for w, _ in _WORDS])
     third = F.when(F.col("o_orderkey") % 2 == 0, "two hundred and forty-five per cent").otherwise("Twenty seven percent")
     said = F.concat_ws(" ", F.element_at(words, (F.col("o_orderkey") % len(_WORDS) + 1).cast("int")), F.lit("days and"), (F.col("o_custkey") % 90 + 1).cast("string"), F.lit("calendar months, or"), third)
-    return table(spark, d, "orders").select("o_orderkey", F.explode(T.quantities(said)).alias("q")).select("o_orderkey", "q.amount", "q.unit")
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    orders = orders.repartition(tasks(orders), "o_orderkey")  # a few large files would else be as few tasks
+    return orders.select("o_orderkey", F.explode(T.quantities(said)).alias("q")).select("o_orderkey", "q.amount", "q.unit")
 
 
 # ---- checks of answers
