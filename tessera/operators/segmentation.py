@@ -1,22 +1,25 @@
 """Documents into sections.
 
 A document is cut by a pointer into the list of expected numbers: a line opens a section only if it bears the next
-number.  The walk is a chain of pointers between header lines, followed by doubling; everything else is windows and joins, too.
+number.  In documents of many header lines the walk is a chain of pointers between them, followed by doubling; everything else is windows and joins, too.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.sources.tables import cut
+from tessera.sources.tables import FILE_FACTOR, cut
+
+#: Lines that may open a section, up to which a document is walked in one row.
+FOLDED = 64
 
 
 def document_lines(docs: DataFrame, col: str) -> DataFrame:
     """(doc_id, pos, line): cleaned lines that aren't empty."""
-    each = docs.select("doc_id", F.posexplode(T.lines(F.col(col))).alias("pos", "raw"))
-    return each.select("doc_id", "pos", T.clean_line(F.col("raw")).alias("line")).where("line != ''")
+    # cleaned before they are dealt to rows, else the filter would clean them once more
+    return docs.select("doc_id", F.posexplode(F.transform(T.lines(F.col(col)), T.clean_line)).alias("pos", "line")).where("line != ''")
 
 
 def headers(lines: DataFrame) -> DataFrame:
@@ -36,12 +39,31 @@ def expected_sections(arrangement: DataFrame) -> DataFrame:
 def opened_lines(candidates: DataFrame, expected: DataFrame) -> DataFrame:
     """(doc_id, pos, number, ord) of header lines that bear the next expected number.
 
-    The pointer never skips: without a header for a number, later ones never open.  Each line that bears an expected number
-    points to the first later one with the number after it; what opens is the chain from the first line of the first
-    number.  The chain is followed by doubling: a round joins what is known to open with the lines that lie 1, 2, 4, ... pointers on, so a
-    document's lines are rows throughout, and the rounds grow with the logarithm of its sections.
+    The pointer never skips: without a header for a number, later ones never open.  Where a document has few such lines the pointer
+    passes over them in one row; longer ones are chains of pointers.
     """
     known = candidates.join(expected, ["doc_id", "number"]).select("doc_id", "number", "ord", "pos")
+    known = cut(known.withColumn("n", F.count("*").over(Window.partitionBy("doc_id"))))
+    short, long = known.where(F.col("n") <= FOLDED), known.where(F.col("n") > FOLDED).drop("n")
+    walked = short.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "number", "ord"))).alias("lines")).select("doc_id", F.explode(_walk(F.col("lines"))).alias("x"))
+    opened = walked.select("doc_id", "x.pos", "x.number", "x.ord")
+    return opened if long.isEmpty() else opened.unionByName(_chained(long))
+
+
+def _walk(lines: Column) -> Column:
+    """Of lines (pos, number, ord) those that open, one after the other."""
+    start = F.struct(F.lit(0).alias("next"), F.slice(lines, F.lit(1), F.lit(0)).alias("out"))
+    step = lambda at, x: F.when(x["ord"] == at["next"], F.struct((at["next"] + 1).alias("next"), F.concat(at["out"], F.array(x)).alias("out"))).otherwise(at)
+    return F.aggregate(lines, start, step, lambda at: at["out"])
+
+
+def _chained(known: DataFrame) -> DataFrame:
+    """The same for rows (doc_id, number, ord, pos) of any number.
+
+    Each line that bears an expected number points to the first later one with the number after it; what opens is the chain
+    from the first line of the first number.  The chain is followed by doubling: a round joins what is known to open with the
+    lines that lie 1, 2, 4, ... pointers on, so a document's lines are rows throughout, and the rounds grow with the logarithm of its sections.
+    """
     # a number's lines and those of the next one, from the last to the first: the last seen of the next one is the first that follows
     both = known.select("doc_id", F.col("ord").alias("level"), "pos", "number", F.lit(None).cast("int").alias("next")).unionByName(
         known.where("ord > 0").select("doc_id", (F.col("ord") - 1).alias("level"), "pos", F.lit(None).cast("string").alias("number"), F.col("pos").alias("next"))
@@ -100,6 +122,7 @@ def parse_documents(docs: DataFrame, configs: DataFrame) -> tuple[DataFrame, Dat
     An explicit list of numbers overrides the one in the arrangement; no list at all,
     or a mode that is not known, is a problem of that document.
     """
+    docs.sparkSession.conf.set("spark.sql.sources.fileCompressionFactor", FILE_FACTOR)  # else all lines look few enough to broadcast
     joined = docs.join(configs, "doc_id")
     arranged = joined.where("parser_mode = 'arrangement_based'").withColumn("ab", T.split_arrangement(F.col("text"), F.col("start_marker"), F.col("fallback_start_marker")))
     arranged = arranged.select("doc_id", F.col("ab.arrangement").alias("arrangement"), T.cut_at_markers(F.col("ab.body"), F.col("stop_markers")).alias("body"), "expected_sections")

@@ -551,3 +551,18 @@ def test_neighbors_read_edges_once(spark):
     ]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") == 1
+
+
+def test_short_documents_are_walked_in_a_row(spark, monkeypatch):
+    rng = random.Random(3)
+    lines = [(f"d{i}", pos, str(rng.randrange(5))) for i in range(30) for pos in range(rng.randrange(1, 16))]
+    expected = df(spark, "doc_id string, ord int, number string", [(f"d{i}", k, str(k)) for i in range(30) for k in range(4)])
+    found = lambda: rows(segmentation.opened_lines(df(spark, "doc_id string, pos int, number string", lines), expected), "doc_id", "pos", "number", "ord")
+    in_rows = found()
+    monkeypatch.setattr(segmentation, "FOLDED", 0)
+    assert in_rows == found() != []
+    monkeypatch.setattr(segmentation, "FOLDED", 8)
+    assert in_rows == found()
+    monkeypatch.undo()
+    monkeypatch.setattr(segmentation, "_chained", None)  # short ones do without
+    assert in_rows == found()
