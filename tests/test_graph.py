@@ -566,3 +566,38 @@ def test_short_documents_are_walked_in_a_row(spark, monkeypatch):
     monkeypatch.undo()
     monkeypatch.setattr(segmentation, "_chained", None)  # short ones do without
     assert in_rows == found()
+
+
+def _exchanges(frame):
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    return plan.count("Exchange hashpartitioning"), plan.count("Join")
+
+
+def test_companion_budget_is_windows_of_one_query(spark):
+    q = df(spark, "query_id int, raw_query string, jurisdiction string", [(1, "pay the late wage", None), (2, "wage", "Goa"), (3, "none", None)])
+    rng = random.Random(5)
+    say = lambda: " ".join(rng.choice(["wage", "pay", "late", "leave", "hours"]) for _ in range(6))
+    made = [(k, f"s{i}", rng.choice(["primary", "supporting"]), rng.randint(0, 2), rng.randint(1, 3), rng.randint(0, 4), say(), say(), rng.random() < 0.4) for k in (1, 2, 3) for i in range(14)]
+    c = df(spark, "query_id int, section_id string, relevance string, hop int, concept_hits int, act_priority int, title string, text string, via_remedy boolean", made).localCheckpoint()
+    got = ranking.companion_budget(q, c, 5, 2)
+    exchanges, joins = _exchanges(got)
+    assert exchanges <= 2 and joins <= 1  # the query's words join; all else is windows
+    # the two sides by themselves, then all
+    base, remedy = c.where("not via_remedy"), c.where("via_remedy")
+    many = {k: remedy.where(F.col("query_id") == k).count() for k in (1, 2, 3)}
+    want = set()
+    for k in (1, 2, 3):
+        mine = [r.section_id for r in ranking.rank_and_cap(q, base.where(F.col("query_id") == k), 5 - min(2, many[k])).collect()]
+        extra = [r.section_id for r in ranking.rank(q, remedy.where(F.col("query_id") == k)).orderBy("rank").collect()][: 5 - len(mine)]
+        want |= {(k, s) for s in mine + extra}
+    every = {(r.query_id, r.section_id): (r.score, r["rank"]) for r in ranking.rank(q, c).collect()}
+    assert {(r.query_id, r.section_id): (r.score, r["rank"]) for r in got.collect()} == {k: every[k] for k in want}
+
+
+def test_words_once_are_words_of_each_ranking(spark):
+    q = df(spark, "query_id int, raw_query string", [(1, "wage wage pay"), (2, "other")])
+    c = df(spark, "query_id int, section_id string, title string, text string", [(1, "a", "pay", "wage wage"), (1, "b", None, "leave"), (1, "c", "wage", None), (2, "a", "pay", "wage wage"), (9, "a", "pay", "pay")])
+    cols = ("query_id", "section_id", "lexical")
+    once = ranking.with_words(q, ranking.spoken(c).drop("title", "text"))
+    assert rows(ranking.bm25(q, once), *cols) == rows(ranking.bm25(q, c), *cols)
+    assert rows(ranking.bm25(q, c).where("lexical = 0"), "query_id", "section_id") == [(1, "b"), (2, "a"), (9, "a")]
