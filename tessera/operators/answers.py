@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.citations import act_of, cited_ids, render_markers
 from tessera.operators.calculators import rupees
+from tessera.sources.tables import cut
 
 WEIGHTS = {"concept_coverage": 0.35, "seed_strength": 0.25, "sufficiency_score": 0.20, "citation_validity": 0.20}
 MIN_CONFIDENCE, CONFLICT_CAP = 0.4, 0.5
@@ -44,10 +45,13 @@ def verify_citations(cited: DataFrame, retrieved: DataFrame, sections: DataFrame
 
 
 def verify_calculations(calculations: DataFrame, retrieved: DataFrame, sections: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The same two checks for amounts."""
-    ok = calculations.join(retrieved.select("query_id", "section_id").distinct(), ["query_id", "section_id"], "left_semi").join(sections.select("section_id").distinct(), "section_id", "left_semi")
-    ok = ok.select(*calculations.columns)
-    lost = calculations.join(ok.select("query_id", "ord"), ["query_id", "ord"], "left_anti").select("query_id", "ord", F.concat(F.lit("Dropped calculation "), "label", F.lit(".")).alias("warning"))
+    """The same two checks for amounts, which are marked and written once."""
+    shown = retrieved.select("query_id", "section_id").distinct().withColumn("__shown", F.lit(True))
+    known = sections.select("section_id").distinct().withColumn("__known", F.lit(True))
+    marked = calculations.join(shown, ["query_id", "section_id"], "left").join(known, "section_id", "left")
+    marked = cut(marked.select(*calculations.columns, (F.col("__shown").isNotNull() & F.col("__known").isNotNull()).alias("__ok")))
+    ok = marked.where("__ok").drop("__ok")
+    lost = marked.where("not __ok").join(ok.select("query_id", "ord"), ["query_id", "ord"], "left_anti").select("query_id", "ord", F.concat(F.lit("Dropped calculation "), "label", F.lit(".")).alias("warning"))
     return ok, lost
 
 

@@ -624,3 +624,12 @@ def test_walks_shared_before_their_sections(spark):
     own, _ = traversal.expand(seeds, cites, nodes, 2)
     dealt, _ = traversal.expand(seeds, cites, nodes, 2, whole=False, members=members)
     assert rows(dealt, *cols) == rows(traversal.by_query(own, members), *cols) != []
+
+
+def test_amounts_are_marked_once(spark):
+    sums = df(spark, "query_id int, ord int, label string, section_id string", [(1, 1, "a", "s1"), (1, 2, "b", "s2"), (1, 3, "c", "s9"), (2, 1, "d", "s1"), (3, 1, "e", None), (4, 1, "f", "s2"), (4, 1, "g", "s2"), (4, 1, "h", "s1")])
+    shown = df(spark, "query_id int, section_id string", [(1, "s1"), (1, "s1"), (1, "s9"), (4, "s2")])
+    ok, lost = answers.verify_calculations(sums, shown, df(spark, "section_id string", [("s1",), ("s2",), ("s2",)]))
+    assert rows(ok, "query_id", "ord", "label") == [(1, 1, "a"), (4, 1, "f"), (4, 1, "g")]
+    assert rows(lost, "query_id", "ord", "warning") == [(1, 2, "Dropped calculation b."), (1, 3, "Dropped calculation c."), (2, 1, "Dropped calculation d."), (3, 1, "Dropped calculation e.")]
+    assert _exchanges(ok)[1] == 0  # checked before, not again by whoever reads it
