@@ -457,6 +457,21 @@ def test_rows_of_pieces_are_never_broadcast(spark, monkeypatch):
     assert not [p for p in [*plans, out] if "Broadcast" in p._jdf.queryExecution().sparkPlan().toString()]
 
 
+@pytest.mark.parametrize(("rows_few", "words"), [(200_000, 4), (8, 4), (8, 1), (0, 4)])
+def test_pieces_are_dealt_by_their_number(spark, monkeypatch, rows_few, words):
+    rng = random.Random(3)
+    said = ["".join(rng.choice("abc ") for _ in range(rng.randrange(60))) for _ in range(40)] + ["", "abababababab" * 30]
+    terms = sorted({"".join(rng.choice("abc ") for _ in range(rng.randrange(1, 12))) for _ in range(60)} | {"abababab", "abababababab"})
+    texts, needles = spark.createDataFrame(list(enumerate(said)), "i int, text string"), spark.createDataFrame(list(enumerate(terms)), "j int, needle string")
+    for name, value in {"BROADCAST_ROWS": rows_few, "BIT_WORDS": words, "TASK_PIECES": 100}.items():
+        monkeypatch.setattr(graph_reads, name, value)
+    out = graph_reads.join_contained(texts, "text", needles, "needle")
+    assert sorted((r.i, r.j) for r in out.collect()) == sorted((i, j) for i, s in enumerate(said) for j, t in enumerate(terms) if t in s)
+    # a row becomes many in as many tasks as its pieces need, however few rows and files there are
+    dealt = re.search(r"RoundRobinPartitioning\((\d+)\)", out._jdf.queryExecution().sparkPlan().toString())
+    assert int(dealt[1]) >= sum(map(len, set(said))) // 100
+
+
 def test_walks_end_when_their_cap_is_full(spark, monkeypatch):
     rng = random.Random(5)
     names = [f"s{i}" for i in range(60)]
