@@ -472,6 +472,15 @@ def test_pieces_are_dealt_by_their_number(spark, monkeypatch, rows_few, words):
     assert int(dealt[1]) >= sum(map(len, set(said))) // 100
 
 
+def test_equal_phrases_are_grounded_once(spark, monkeypatch):
+    asked, keep = [], grounding.ground_substring
+    monkeypatch.setattr(grounding, "ground_substring", lambda phrases, terms: asked.append(phrases.count()) or keep(phrases, terms))
+    concepts = df(spark, "name string, ord int, aliases array<string>", [("gratuity", 0, ["parting pay"]), ("notice pay", 1, [])])
+    phrases = df(spark, "phrase_id int, phrase string", [(1, "Gratuity  due"), (2, "gratuity due"), (3, " gratuity due"), (4, "notise pay"), (5, "Notise pay"), (6, "")])
+    assert rows(grounding.ground(phrases, concepts), "phrase_id", "name", "ord") == [(1, "gratuity", 1), (2, "gratuity", 1), (3, "gratuity", 1), (4, "notice pay", 1), (5, "notice pay", 1)]
+    assert asked == [2]
+
+
 def test_walks_end_when_their_cap_is_full(spark, monkeypatch):
     rng = random.Random(5)
     names = [f"s{i}" for i in range(60)]
