@@ -592,6 +592,23 @@ def test_short_documents_are_walked_in_a_row(spark, monkeypatch):
     assert in_rows == found()
 
 
+def test_usual_documents_are_cut_in_a_row(spark, monkeypatch):
+    rng = random.Random(5)
+    pool = ["{}. Head{}—text"] * 6 + ["[{}. In brackets]] ", "3[ran on-", "CHAPTER V", "12", "Subs. by Act 3", "State amendment", "local words", "  blank \u2003 ends\xa0", "", "x ] ]", "\r", "ſections", "{}A. Other", "{} no dot", "THE FIRST SCHEDULE"]
+    line = lambda: rng.choice(pool).format(rng.randint(1, 4), rng.choice([".", " ", ". ", ".-", ""]))
+    texts = [("ACT\n" + "\n".join(f"{i}. T" for i in range(1, rng.randint(2, 7))) + "\nACT\n" if i % 2 else "BEGIN\u2028") + rng.choice(["\n", "\x0c", "\r\n"]).join(line() for _ in range(rng.randint(0, 60))) + rng.choice(["", "\nThe  End\n2. no"]) for i in range(40)]
+    about = [("A", "Act", 2000, "Central", "A", "f", "arrangement_based" if i % 2 else "body_only", "ACT" if i % 2 else "begin", None, ["ANNEX", "THE END"], [] if i % 2 else ["1", "2", "2", "3"][: i % 5]) for i in range(40)]
+    cfg = "doc_id int, act_id string, act_name string, year int, jurisdiction string, short_name string, source_file string, parser_mode string, start_marker string, fallback_start_marker string, stop_markers array<string>, expected_sections array<string>"
+    docs, configs = df(spark, "doc_id int, text string", [*enumerate(texts), (99, None)]), df(spark, cfg, [(i, f"A{i}", *x[1:]) for i, x in enumerate(about)] + [(99, "N", *about[0][1:-1], ["1"])])
+    found = lambda: [rows(x, *x.columns) for x in segmentation.parse_documents(docs, configs)]
+    in_rows = found()
+    assert len(in_rows[0]) > 40 and in_rows[1]
+    assert found() == [rows(x, *x.columns) for x in segmentation.parse_documents(docs.join(configs, "doc_id"))] == in_rows
+    assert _exchanges(segmentation.parse_documents(docs, configs)[0]) == (0, 0)
+    monkeypatch.setattr(segmentation, "FOLDED_LINES", 8)
+    assert in_rows == found()
+
+
 def _exchanges(frame):
     plan = frame._jdf.queryExecution().executedPlan().toString()
     return plan.count("Exchange hashpartitioning"), plan.count("Join")
