@@ -51,16 +51,20 @@ def _before(lines: Column, at: Column) -> Column:
     return T.once(at.cast("int"), lambda n: F.when(n > 0, F.slice(lines, F.lit(1), n - 1)).otherwise(lines))
 
 
+def _opened(lines: Column, expected: Column) -> Column:
+    """Places of a document's cleaned lines that open a section, one for each expected number as far as these come."""
+    start = F.struct(F.lit(0).alias("next"), F.array().cast("array<int>").alias("at"))
+    heads = lambda numbers: F.filter(F.transform(numbers, lambda n, i: F.when(n != "", i)), F.isnotnull)
+    opens = lambda acc, number: T.section_number(number) == F.try_element_at(expected, acc["next"] + 1)
+    step = lambda numbers: lambda acc, i: F.when(opens(acc, F.try_element_at(numbers, i + 1)), F.struct((acc["next"] + 1).alias("next"), F.concat(acc["at"], F.array(i)).alias("at"))).otherwise(acc)
+    return T.once(F.transform(lines, _number), lambda numbers: F.aggregate(heads(numbers), start, step(numbers), lambda acc: acc["at"]))
+
+
 def folded_sections(lines: Column, expected: Column) -> Column:
     """[(ord, number, buffer)] of a document's cleaned lines and expected numbers: ``segment`` in one row.
 
     First the places of lines that open, then for each of them what stands up to the next.
     """
-    start = F.struct(F.lit(0).alias("next"), F.array().cast("array<int>").alias("at"))
-    heads = lambda numbers: F.filter(F.transform(numbers, lambda n, i: F.when(n != "", i)), F.isnotnull)
-    opens = lambda acc, number: T.section_number(number) == F.try_element_at(expected, acc["next"] + 1)
-    step = lambda numbers: lambda acc, i: F.when(opens(acc, F.try_element_at(numbers, i + 1)), F.struct((acc["next"] + 1).alias("next"), F.concat(acc["at"], F.array(i)).alias("at"))).otherwise(acc)
-    walked = lambda x: T.once(F.transform(x, _number), lambda numbers: F.aggregate(heads(numbers), start, step(numbers), lambda acc: acc["at"]))
     body = lambda x: F.filter(_before(x, F.array_position(F.transform(x, F.upper), F.lit(AMENDMENT))), T.tells)
     rest = lambda line: T.strip(F.regexp_extract(line, T.SECTION_START, 2))
 
@@ -69,7 +73,7 @@ def folded_sections(lines: Column, expected: Column) -> Column:
         parts = lambda at, k: F.concat(F.array(rest(F.try_element_at(x, at + 1))), T.once(F.slice(x, at + 2, upto(k) - at - 1), body))
         return F.transform(opened, lambda at, k: F.struct(k.alias("ord"), F.try_element_at(expected, k + 1).alias("number"), F.array_join(parts(at, k), " ").alias("buffer")))
 
-    return T.once(lines, lambda x: T.once(walked(x), lambda opened: sections(x, opened)))
+    return T.once(lines, lambda x: T.once(_opened(x, expected), lambda opened: sections(x, opened)))
 
 
 def opened_lines(candidates: DataFrame, expected: DataFrame) -> DataFrame:
@@ -182,3 +186,18 @@ def parse_documents(docs: DataFrame, configs: DataFrame | None = None) -> tuple[
     unknown = joined.where("parser_mode is null or parser_mode not in ('arrangement_based', 'body_only')").select("doc_id", F.lit("unknown parser mode").alias("problem"))
     unlisted = read.where(F.size("expected") == 0).select("doc_id", F.lit("no expected sections").alias("problem"))
     return section_records(folded), unknown.unionByName(unlisted)
+
+
+def missing_numbers(docs: DataFrame, configs: DataFrame | None = None) -> DataFrame:
+    """(doc_id, number): expected numbers that no section of ``parse_documents`` bears, without making the sections."""
+    docs.sparkSession.conf.set("spark.sql.sources.fileCompressionFactor", FILE_FACTOR)  # as in parse_documents
+    read = _read(docs if configs is None else docs.join(configs, "doc_id"))
+    found = F.slice("expected", F.lit(1), F.size(_opened(F.col("lines"), F.col("expected"))))
+    missing = T.once(found, lambda have: F.filter("expected", lambda number: ~F.array_contains(have, number)))
+    folded = read.where(F.col("n") <= FOLDED_LINES).select("doc_id", F.explode(missing).alias("number"))
+    long = read.where(F.col("n") > FOLDED_LINES)
+    if long.isEmpty():
+        return folded
+    lines, expected = long.select("doc_id", F.posexplode("lines").alias("pos", "line")), long.select("doc_id", F.posexplode("expected").alias("ord", "number"))
+    opened = opened_lines(headers(lines).where("number is not null").select("doc_id", "pos", "number"), expected)
+    return folded.unionByName(missing_sections(expected, opened).select("doc_id", "number"))

@@ -605,8 +605,13 @@ def test_usual_documents_are_cut_in_a_row(spark, monkeypatch):
     assert len(in_rows[0]) > 40 and in_rows[1]
     assert found() == [rows(x, *x.columns) for x in segmentation.parse_documents(docs.join(configs, "doc_id"))] == in_rows
     assert _exchanges(segmentation.parse_documents(docs, configs)[0]) == (0, 0)
+    bare = lambda: rows(segmentation.missing_numbers(docs, configs), "doc_id", "number")
+    missing = bare()
+    borne = {(f"A{i}" if i < 99 else "N", n) for i, x in [*enumerate(about), (99, (["1"],))] for n in x[-1]} - {(r[0], r[6]) for r in in_rows[0]}
+    assert {x for x in missing if not x[0] % 2 or x[0] == 99} == {(int(a[1:] or 99), n) for a, n in borne}
+    assert _exchanges(segmentation.missing_numbers(docs, configs)) == (0, 0)
     monkeypatch.setattr(segmentation, "FOLDED_LINES", 8)
-    assert in_rows == found()
+    assert in_rows == found() and missing == bare()
 
 
 def _exchanges(frame):
