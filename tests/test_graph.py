@@ -640,6 +640,32 @@ def test_companion_budget_is_windows_of_one_query(spark):
     assert {(r.query_id, r.section_id): (r.score, r["rank"]) for r in got.collect()} == {k: every[k] for k in want}
 
 
+def test_budget_without_scores(spark):
+    q = df(spark, "query_id int, raw_query string, jurisdiction string", [(1, "pay the late wage", None), (2, "wage", "Goa"), (3, "none", None)])
+    rng = random.Random(6)
+    say = lambda: " ".join(rng.choice(["wage", "pay", "late", "leave", "hours"]) for _ in range(6))
+    made = [(k, f"s{i}", rng.choice(["primary", "supporting"]), rng.randint(0, 2), rng.randint(1, 3), rng.randint(0, 4), say(), say(), rng.random() < 0.4) for k in (1, 2, 3) for i in range(14)]
+    c = df(spark, "query_id int, section_id string, relevance string, hop int, concept_hits int, act_priority int, title string, text string, via_remedy boolean", made).localCheckpoint()
+    whole, bare = ranking.companion_budget(q, c, 5, 2), ranking.within_budget(q, c, 5, 2)
+    assert rows(bare, "query_id", "section_id") == rows(whole, "query_id", "section_id") != []
+    windows = lambda x: x._jdf.queryExecution().optimizedPlan().toString().count("Window [")
+    assert windows(bare) < windows(whole)
+
+
+def test_who_asks_for_citations_ranks_queries_with_citations(spark, tmp_path):
+    from tessera.plans import queries as plans
+
+    for t in ("region", "nation", "part", "lineitem", "customer"):
+        given = spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet")
+        (given.where("l_orderkey % 20 = 0") if t == "lineitem" else given).write.parquet(f"{tmp_path}/{t}.parquet")
+    every, edged = (plans._retrieved(spark, str(tmp_path), **x) for x in ({}, {"edged": True}))
+    cols = ["query_id", "section_id", "relevance", "hop", "concept_hits", "via_remedy"]
+    mine, whole = rows(edged["cands"], *cols), rows(every["cands"], *cols)
+    asked = {r.query_id for r in every["edges"].select("query_id").distinct().collect()}
+    assert mine == [x for x in whole if x[0] in asked]
+    assert 0 < len(mine) < len(whole)
+
+
 def test_words_once_are_words_of_each_ranking(spark):
     q = df(spark, "query_id int, raw_query string", [(1, "wage wage pay"), (2, "other")])
     c = df(spark, "query_id int, section_id string, title string, text string", [(1, "a", "pay", "wage wage"), (1, "b", None, "leave"), (1, "c", "wage", None), (2, "a", "pay", "wage wage"), (9, "a", "pay", "pay")])
