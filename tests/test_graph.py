@@ -652,6 +652,18 @@ def test_budget_without_scores(spark):
     assert windows(bare) < windows(whole)
 
 
+def test_edges_are_dealt_once(spark):
+    pairs = [("a", "b"), ("b", "a"), ("a", "b"), ("c", "c"), ("b", "d")]
+    cites = df(spark, "source_section_id string, target_section_id string", pairs).localCheckpoint()
+    nodes = df(spark, "section_id string, jurisdiction string, in_force_status string", [(x, "Central", "in_force") for x in "abcd"]).localCheckpoint()
+    ways = traversal._ways(cites, nodes.hint("merge"))
+    assert _exchanges(ways) == (2, 1)  # edges and sections, each once
+    assert rows(ways, "src", "dst") == sorted({x for a, b in pairs if a != b for x in ((a, b), (b, a))})
+    kept = df(spark, "query_id int, concept string, section_id string", [(1, "C", "a"), (1, "C", "b"), (2, "C", "b"), (2, "D", "d")]).localCheckpoint()
+    found = traversal.filter_edges(kept, cites.hint("merge"))
+    assert rows(found, "query_id", "concept", "source_section_id", "target_section_id") == [(1, "C", "a", "b"), (1, "C", "b", "a")]
+
+
 def test_who_asks_for_citations_ranks_queries_with_citations(spark, tmp_path):
     from tessera.plans import queries as plans
 
